@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -36,11 +37,17 @@ def base_counts(seq: Column) -> dict[str, Column]:
     return n | {"N": F.length(s) - n["A"] - n["C"] - n["G"] - n["T"]}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it (within another lambda it would be computed for every element)."""
+    return F.transform(F.array(value), f)[0]
+
+
 def count_overlapping(seq: Column, pattern: str) -> Column:
     """Occurrences of a pattern, overlaps included, in any case."""
-    p = F.lit(pattern.upper())
-    ends = F.sequence(F.lit(1), F.greatest(F.length(seq) - len(pattern) + 1, F.lit(1)))
-    return F.size(F.filter(ends, lambda i: F.substring(F.upper(seq), i, F.lit(len(pattern))) == p)) if pattern else F.lit(0)
+    if not pattern:
+        return F.lit(0)
+    places = F.sequence(F.lit(1), F.greatest(F.length(seq) - len(pattern) + 1, F.lit(1)))
+    return let(F.upper(seq), lambda s: F.size(F.filter(places, lambda i: F.substring(s, i, F.lit(len(pattern))) == pattern.upper())))
 
 
 def find_end(seq: Column, pattern: str) -> Column:
@@ -58,11 +65,21 @@ def dust_score(seq: Column, window: int = DUST_WINDOW) -> Column:
     """Low-complexity score: 10 * sum over triplets of n(n-1)/2, over the number of triplets less one.
 
     Letters that are no bases count as A.  Null where fewer than two triplets fit."""
-    s = F.translate(F.regexp_replace(F.substring(F.upper(seq), 1, window), "[^CGTU]", "A"), "U", "T")
-    n = F.length(s) - 2
-    triplets = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))
-    pairs = F.aggregate(F.array_distinct(triplets), F.lit(0).cast("long"), lambda a, t: a + (lambda m: m * (m - 1) / 2)(F.size(F.filter(triplets, lambda u: u == t))).cast("long"))
-    return F.when(n >= 2, F.lit(10.0) * pairs / (n - 1).cast("double"))
+    plain = F.translate(F.regexp_replace(F.substring(F.upper(seq), 1, window), "[^CGTU]", "A"), "U", "T")
+
+    def step(a: Column, t: Column) -> Column:
+        """Over sorted triplets, each adds the number of like ones before it."""
+        run = F.when(a["last"] == t, a["run"] + 1).otherwise(0)
+        return F.struct(t.alias("last"), run.alias("run"), (a["pairs"] + run).alias("pairs"))
+
+    def score(s: Column) -> Column:
+        n = F.length(s) - 2
+        triplets = F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("pairs"))
+        pairs = F.aggregate(triplets, start, step)["pairs"]
+        return F.when(n >= 2, F.lit(10.0) * pairs / (n - 1).cast("double"))
+
+    return let(plain, score)
 
 
 def umi_key(seq: Column) -> Column:
@@ -128,8 +145,9 @@ def register(spark: SparkSession) -> None:
     """Make the scalar functions callable from SQL.  They are SQL expressions, not Python code."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION revcomp(s STRING) RETURNS STRING RETURN translate(reverse(upper(s)), 'ACGTU', 'TGCAA')")
     spark.sql(
-        """CREATE OR REPLACE TEMPORARY FUNCTION dust_score(seq STRING) RETURNS DOUBLE RETURN (
-        WITH s AS (SELECT translate(regexp_replace(substring(upper(seq), 1, 64), '[^CGTU]', 'A'), 'U', 'T') AS s)
-        SELECT CASE WHEN length(s) >= 4 THEN 10D * aggregate(transform(array_distinct(transform(sequence(1, length(s) - 2), i -> substring(s, i, 3))),
-          t -> size(filter(sequence(1, length(s) - 2), j -> substring(s, j, 3) = t))), 0D, (a, m) -> a + m * (m - 1) / 2D) / (length(s) - 3) END FROM s)"""
+        """CREATE OR REPLACE TEMPORARY FUNCTION dust_score(seq STRING) RETURNS DOUBLE RETURN
+        transform(array(translate(regexp_replace(substring(upper(seq), 1, 64), '[^CGTU]', 'A'), 'U', 'T')), s ->
+          CASE WHEN length(s) >= 4 THEN 10D * aggregate(sort_array(transform(sequence(1, length(s) - 2), i -> substring(s, i, 3))),
+            named_struct('last', '', 'run', 0, 'pairs', 0), (a, t) -> named_struct('last', t, 'run', IF(a.last = t, a.run + 1, 0), 'pairs', a.pairs + IF(a.last = t, a.run + 1, 0)),
+            a -> a.pairs) / (length(s) - 3) END)[0]"""
     )
