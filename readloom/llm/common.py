@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,16 @@ def checkpoint_ready(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives lost executors."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage with a reliable checkpoint, which outlives lost executors.
+
+    Spark drops the shuffle files of plans that are over when the driver's JVM collects garbage, which it may
+    not do for long; the disk of a long plan would grow with its number of steps."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    out = df.checkpoint()
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,41 +20,72 @@ columns stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WHITE, cut
 
 THRESHOLD = 0.8
 RARITY_BITS = 18
-#: Words of a form by which it finds the earliest form of a group.
+#: Of so many of its rarest words, each pair leads a form to the earliest form that has both among its own.
 LEADS = 3
+#: Larger sets have two parity sketches.
+SHORT = 48
 
 
 def _words(line: Column) -> Column:
-    return F.split(line, f"{WHITE}+")
+    """The words of a line, with empty strings between adjoining spaces."""
+    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, WHITE, " ")).otherwise(line)
+    return F.split(plain, " ")
+
+
+def _in_order(counted: DataFrame, bits: int, value: Callable[[Column], Column]) -> DataFrame:
+    """One row with one array of 2**bits longs: ``value`` of (b, n, i), where i is the rank of b's count n, by b."""
+    every = counted.sparkSession.range(1 << bits).select(F.col("id").alias("b")).join(counted, "b", "left").select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "b").alias("x"))
+    order = F.sort_array(F.collect_list("x"))
+    place = F.sort_array(F.transform(order, lambda x, i: F.struct(x["b"].alias("b"), x["n"].alias("n"), i.cast("long").alias("i"))))
+    return cut(every.agg(F.transform(place, value).alias("entries")))
 
 
 def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> DataFrame:
-    """One row with one array: for each value of a word hash's first ``bits``, the rank of its number of words.
+    """One row with one array of 2**bits longs: for each value of a hash's first ``bits``, what turns the hash
+    (by exclusive or) into a long that begins with the rank of that value's number of words.
+
+    The array's size does not depend on the input."""
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    counted = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    flip = 1 << (bits - 1)  # signed longs sort by this bit first
+    return _in_order(counted, bits, lambda x: F.shiftleft(x["b"].bitwiseXOR(x["i"]).bitwiseXOR(F.lit(flip)), 64 - bits))
 
-    The array has 2**bits entries whatever the input holds."""
-    counts = docs.select(F.explode(_words(F.col("text"))).alias("w")).select(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("b")).groupBy("b").count()
-    every = docs.sparkSession.range(1 << bits).select(F.col("id").alias("b")).join(counts, "b", "left").select(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "b").alias("x"))
-    order = F.sort_array(F.collect_list("x"))
-    place = F.sort_array(F.transform(order, lambda x, i: F.shiftleft(x["b"], 32).bitwiseOR(i.cast("long"))))
-    return every.agg(F.transform(place, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("ranks"))
 
+def _ordered(line: Column, turn: Column, bits: int) -> Column:
+    """The set of a line's words as longs, rarest first."""
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: h.bitwiseXOR(F.get(turn, F.shiftrightunsigned(h, 64 - bits).cast("int"))))))
 
-def _ordered(line: Column, ranks: Column, bits: int) -> Column:
-    """The set of a line's words as longs, rarest first: the rank in place of the hash's first bits."""
-    low = F.lit((1 << (64 - bits)) - 1)
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.get(ranks, F.shiftrightunsigned(h, 64 - bits).cast("int")).cast("long")
-        return F.shiftleft(rank, 63 - bits).bitwiseOR(F.shiftrightunsigned(h.bitwiseAND(low), 1))
+class _Sieve:
+    """A Bloom filter of one hash and 2**bits bits, to leave out rows before a shuffle.
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), key)))
+    Its size does not depend on the input; where it is full it lets everything through."""
+
+    BITS = 24
+
+    def __init__(self, rows: DataFrame, *cols: str) -> None:
+        spot = self._spot(*cols)
+        word = rows.select(F.shiftright(spot, 6).alias("b"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+        self.table = _in_order(word.groupBy("b").agg(F.bit_or("bit").alias("n")), self.BITS - 6, lambda x: x["n"])
+
+    def _spot(self, *cols: str) -> Column:
+        return F.xxhash64(*cols).bitwiseAND(F.lit((1 << self.BITS) - 1))
+
+    def split(self, rows: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
+        """The rows that may be among those the filter was made of, and those that are not."""
+        spot = self._spot(*cols)
+        entry = F.get(self.table.scalar(), F.shiftright(spot, 6).cast("int"))
+        hit = F.call_function("shiftright", entry, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return rows.where(hit), rows.where(~hit)
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -72,19 +103,21 @@ def _after(a: str, b: str) -> Column:
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
-    """Length, position and sketch filters; positions count from 0."""
+    """Length, position and sketch filters; positions count from 0.  The sketches of one set in two add up to that in one."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     both = na + nb
     need = both * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)  # least overlap
     rest = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at")) + F.least(F.col(f"{a}.at"), F.col(f"{b}.at"))
-    sketch = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    even, odd = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("bits", "odd"))
+    sketch = F.when((na > SHORT) & (nb > SHORT), F.bit_count(even) + F.bit_count(odd)).otherwise(F.bit_count(even.bitwiseXOR(odd)))
     return (sketch <= both - 2 * need) & (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - F.lit(1e-6)) & (rest >= need)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str) -> DataFrame:
     """(doc, line) of the later forms of candidate pairs (doc, line, doc2, line2) whose whole sets match."""
     wanted = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct()
-    text = _lines(docs, id_col).where(F.length("s") > 0).select("doc", "line", "s").join(wanted, ["doc", "line"])
+    wanted = cut(wanted)
+    text = _Sieve(wanted, "doc", "line").split(_lines(docs, id_col).where("s <> ''").select("doc", "line", "s"), "doc", "line")[0].join(wanted, ["doc", "line"])
     sets = cut(text.select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("s")), ""), lambda w: F.xxhash64(w))).alias("words")))
     other = sets.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(sets, ["doc", "line"]).join(other, ["doc2", "line2"])
@@ -98,23 +131,37 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     doc is the id (the least long for null) and version a hash of the text."""
     docs = docs.select(F.col(id_col), F.col("text"))
     keys = F.col("keys")
-    ranks = cut(rarity(docs, bits))
+    turn = rarity(docs, bits)
     # the optimizer puts the subquery in the place of the column, so no row holds the array
-    lines = _lines(docs, id_col).select("*", ranks.scalar().alias("ranks")).select("doc", "version", "line", _ordered(F.col("s"), F.col("ranks"), bits).alias("keys")).where(F.size("keys") > 0)
-    sketch = F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.when(F.size(keys) > 3, F.transform(F.slice(keys, F.lit(1), prefix_length(F.size(keys), threshold)), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    lines = cut(lines.select("doc", "version", "line", F.size(keys).alias("n"), F.xxhash64("keys").alias("sig1"), F.xxhash64("keys", F.lit(1)).alias("sig2"), sketch.alias("bits"), prefix.alias("prefix")))
-    forms = cut(lines.groupBy("sig1", "sig2").agg(F.min(F.struct("doc", "line", "n", "bits", "prefix")).alias("f"), F.count("*").alias("copies")).select("sig1", "sig2", "f.*", "copies"))
-    rows = forms.where("prefix is not null").select("doc", "line", "n", "bits", F.posexplode("prefix").alias("at", "key"))
-
-    lead = rows.where(F.col("at") < LEADS)
-    first = lead.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "bits", "at")).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "r.*")
-    near = lead.alias("a").join(first.alias("b"), "key").where(_after("a", "b") & _possible("a", "b", threshold))
+    lines = _lines(docs, id_col).select("*", turn.scalar().alias("turn")).select("doc", "version", "line", _ordered(F.col("s"), F.col("turn"), bits).alias("keys")).where(F.size("keys") > 0)
+
+    def parity(words: Column) -> Column:
+        return F.aggregate(words, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    # one sketch of all words, or for large sets two, of the words whose hash has the next bit clear or set
+    long = F.size(keys) > SHORT
+    halves = [F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) == 0), F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) != 0)]
+    sketches = [F.when(long, parity(halves[0])).otherwise(parity(keys)).alias("bits"), F.when(long, parity(halves[1])).otherwise(0).alias("odd")]
+    # the prefix, and never less than the words that lead
+    first = F.when(F.size(keys) > 3, F.transform(F.slice(keys, F.lit(1), F.greatest(prefix_length(F.size(keys), threshold), F.lit(LEADS))), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    wide = cut(lines.select("doc", "version", "line", F.size(keys).alias("n"), F.xxhash64("keys").alias("sig1"), F.xxhash64("keys", F.lit(1)).alias("sig2"), *sketches, first.alias("first")))
+    forms = cut(wide.groupBy("sig1", "sig2").agg(F.min(F.struct("doc", "line", "n", "bits", "odd", "first")).alias("f"), F.count("*").alias("copies")).select("sig1", "sig2", "f.*", "copies"))
+    lines = cut(wide.select("doc", "version", "line", "sig1", "sig2"))
+    del wide
+
+    leads = F.array(*[F.xxhash64(F.get("first", F.lit(i)), F.get("first", F.lit(j))) for j in range(LEADS) for i in range(j)])
+    lead = forms.where("first is not null").select("doc", "line", "n", "bits", "odd", F.lit(0).alias("at"), F.explode(leads).alias("key"))
+    head = lead.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "bits", "odd", "at")).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "r.*")
+    near = lead.alias("a").join(head.alias("b"), "key").where(_after("a", "b") & _possible("a", "b", threshold))
     pairs = cut(near.select("a.doc", "a.line", F.col("b.doc").alias("doc2"), F.col("b.line").alias("line2")).distinct())
     settled = cut(_verified(pairs, docs, threshold, id_col))
 
-    marked = rows.join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
-    near = marked.alias("a").join(marked.alias("b"), "key").where(F.col("a.settled").isNull() & _after("a", "b") & _possible("a", "b", threshold))
+    marked = forms.where("first is not null").join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
+    prefix = F.slice("first", F.lit(1), prefix_length(F.col("n"), threshold))
+    marked = marked.select("doc", "line", "n", "bits", "odd", F.when(F.col("settled"), 0).otherwise(1).alias("open"), F.posexplode(prefix).alias("at", "key"))
+    # the condition on the later form names both sides: pushed below the join, it would keep the sides from sharing one shuffle
+    later_is_open = F.col("a.open") * 2 + F.col("b.open") >= 2
+    near = marked.alias("a").join(marked.alias("b"), "key").where(later_is_open & _after("a", "b") & _possible("a", "b", threshold))
     pairs = cut(near.select("a.doc", "a.line", F.col("b.doc").alias("doc2"), F.col("b.line").alias("line2")).distinct())
     matched = settled.union(_verified(pairs, docs, threshold, id_col)).withColumn("matched", F.lit(True))
 
@@ -125,14 +172,20 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", removed_col: str | None = None) -> DataFrame:
     """``docs`` without the removed lines; with ``removed_col``, their numbers (from 0) in that column."""
-    gone = removed_lines(docs, threshold, id_col).toDF("\x00doc", "\x00version", "\x00removed")
-    key = F.coalesce(F.col(f"d.{id_col}").cast("long"), F.lit(-(1 << 63)))
-    joined = docs.alias("d").join(gone, (key == F.col("`\x00doc`")) & (F.xxhash64("d.text") == F.col("`\x00version`")), "left")
+    gone = cut(removed_lines(docs, threshold, id_col)).toDF("\x00doc", "\x00version", "\x00removed")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.withColumns({"\x00key": key, "\x00hash": F.xxhash64("text")})
+    some, others = _Sieve(gone, "`\x00doc`", "`\x00version`").split(keyed, "`\x00key`", "`\x00hash`")
+    some = some.join(gone, (F.col("`\x00key`") == F.col("`\x00doc`")) & (F.col("`\x00hash`") == F.col("`\x00version`")), "left")
     gap = F.col("`\x00removed`")
-    left = F.filter(F.split("d.text", "\n"), lambda s, i: ~F.array_contains(gap, i))
-    text = F.when(gap.isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
-    cols = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
-    return joined.select(*cols, *([F.coalesce(gap, F.array().cast("array<int>")).alias(removed_col)] if removed_col else []))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains(gap, i)), "\n")
+    none = F.array().cast("array<int>")
+
+    def out(rows: DataFrame, text: Column, removed: Column) -> DataFrame:
+        cols = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+        return rows.select(*cols, *([removed.alias(removed_col)] if removed_col else []))
+
+    return out(some, F.when(gap.isNull(), F.col("text")).otherwise(left), F.coalesce(gap, none)).unionAll(out(others, F.col("text"), none))
 
 
 SQL = r"""
