@@ -36,8 +36,8 @@ class Plan:
 
     @property
     def real(self) -> int:
-        """Reads that are not random; the product is taken in single precision."""
-        return int(np.float32(self.reads) * np.float32(1 - np.float32(self.random_fraction)))
+        """Reads that are not random; the fraction is a number of single precision."""
+        return int(self.reads * (1.0 - float(np.float32(self.random_fraction))))
 
 
 def mutate(seq: str, rate: float, indels: float, rng: np.random.Generator) -> str:
