@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The characters that separate words in every operator of this package.
 WHITE = r"[\x20\x09-\x0D]"
@@ -36,3 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sample(df: DataFrame, n: int, *cols: str, id_col: str = "doc_id") -> list[tuple]:
+    """At most ``n`` rows (id, *cols), in a fixed order: those of the smallest id hashes, one row per id.
+
+    The ids are chosen first, so that no partition sends whole texts that are not wanted to the driver."""
+    ids = df.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)
+    chosen = [r[0] for r in ids.collect()]
+    if not chosen:
+        return []
+    # n is a documented parameter, so the ids are few enough for a broadcast
+    small = df.sparkSession.createDataFrame([(x,) for x in chosen], f"{id_col} {df.schema[id_col].dataType.simpleString()}")
+    rows = df.select(id_col, *cols).join(F.broadcast(small), id_col).groupBy(id_col).agg(F.min(F.struct(*cols)).alias("r")).collect()
+    place = {x: i for i, x in enumerate(chosen)}
+    return [(r[id_col], *r["r"]) for r in sorted(rows, key=lambda r: place[r[id_col]])]

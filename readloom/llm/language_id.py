@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, sample
 from .html_extract import tokens
 
 BITS = 14
@@ -75,9 +75,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     labelled = docs.where("lang is not null and text is not null")
     rows = []
     for (lang,) in labelled.select("lang").distinct().orderBy("lang").collect():
-        ids = labelled.where(F.col("lang") == lang).select("doc_id", "lang", "text")
-        rows += ids.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs).select("lang", "text").collect()
-    return fit([tuple(r) for r in rows])
+        rows += [(lang, text) for _, text in sample(labelled.where(F.col("lang") == lang), max_docs, "text")]
+    return fit(rows)
 
 
 def _scores(rows: DataFrame, model: Model, markup: bool) -> DataFrame:

@@ -88,15 +88,17 @@ def write_pcm(payload: bytes, lacing: str = "fixed", frame: int = FRAME) -> byte
     info = element(INFO, _uint(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / SAMPLE_RATE)) + element(0x4D80, b"readloom") + element(0x5741, b"readloom"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", SAMPLE_RATE)) + _uint(CHANNELS, 1) + _uint(DEPTH, 8))
     tracks = element(TRACKS, element(TRACK, _uint(NUMBER, 1) + _uint(UID, 1) + _uint(TYPE, 2) + _uint(LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio))
-    body, at, cues, ms = [info, tracks], len(info) + len(tracks), [], frame * 1000 // SAMPLE_RATE
-    per = FRAMES_PER_BLOCK * BLOCKS_PER_CLUSTER
+    body, at, cues = [info, tracks], len(info) + len(tracks), []
+    ms = lambda k: k * frame * 1000 // SAMPLE_RATE
+    # a block's offset from its cluster is a signed 16-bit number of milliseconds
+    per = max(1, min(FRAMES_PER_BLOCK * BLOCKS_PER_CLUSTER, 30 * SAMPLE_RATE // frame))
     for c in range(0, len(frames), per):
-        blocks = [_uint(TIMESTAMP, c * ms)]
+        blocks = [_uint(TIMESTAMP, ms(c))]
         for b in range(c, min(c + per, len(frames)), FRAMES_PER_BLOCK):
             flag, data = laced(frames[b : min(b + FRAMES_PER_BLOCK, c + per)], lacing)
-            blocks.append(element(SIMPLE_BLOCK, vint(1) + struct.pack(">hB", (b - c) * ms, 0x80 | flag) + data))
+            blocks.append(element(SIMPLE_BLOCK, vint(1) + struct.pack(">hB", ms(b) - ms(c), 0x80 | flag) + data))
         cluster = element(CLUSTER, b"".join(blocks))
-        cues.append(element(CUE_POINT, _uint(CUE_TIME, c * ms) + element(CUE_PLACE, _uint(CUE_TRACK, 1) + _uint(CUE_CLUSTER, at))))
+        cues.append(element(CUE_POINT, _uint(CUE_TIME, ms(c)) + element(CUE_PLACE, _uint(CUE_TRACK, 1) + _uint(CUE_CLUSTER, at))))
         body.append(cluster)
         at += len(cluster)
     return head + element(SEGMENT, b"".join([*body, element(CUES, b"".join(cues))]))

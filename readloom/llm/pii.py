@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import sample
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 WINDOW, STRIDE = 96, 48
@@ -31,7 +33,7 @@ HIDDEN = 16
 CODES = 131  # ASCII, other letters, other characters, padding
 PAD = 130
 TRAIN_DOCS = 300
-TRAIN_WINDOWS = 2400
+TRAIN_WINDOWS = 5000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -205,7 +207,7 @@ def gradients(t: Tagger, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.n
     return float((z - gold).mean()), [dwx, dwh, dwo, flat.sum(0), dtrans / b, dstart]
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 96, rate: float = 0.02, seed: int = 3) -> Tagger:
+def fit(x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 96, rate: float = 0.02, seed: int = 3) -> Tagger:
     """Adam over shuffled batches, with a rate that falls to a tenth."""
     rng = np.random.default_rng(seed)
     t = new_tagger(rng)
@@ -278,7 +280,7 @@ def labelled(texts: list[str], n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[
             size = len(part) if kind < 0 else len(part.rstrip(".,!*#"))
             if r.random() < 0.1:
                 part = part.upper()
-            sep = r.choice((" ",) * 12 + ("\n", ": ", " | "))
+            sep = r.choice((" ",) * 12 + ("\n", ": ", " | ", "  ", "\t", ", "))
             text += part + sep
             tags += ([0] * len(part) if kind < 0 else [1 + 2 * kind] + [2 + 2 * kind] * (size - 1) + [0] * (len(part) - size)) + [0] * len(sep)
         at = r.randrange(40)
@@ -289,9 +291,8 @@ def labelled(texts: list[str], n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS) -> Tagger:
     """A tagger whose sentences come from at most ``max_docs`` documents: those of the smallest id hashes."""
-    some = docs.where("text is not null").select("doc_id", F.substring("text", 1, 4000).alias("text"))
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs).collect()
-    return fit(*labelled([r["text"] for r in rows], windows))
+    rows = sample(docs.where("text is not null").withColumn("text", F.substring("text", 1, 4000)), max_docs, "text")
+    return fit(*labelled([text for _, text in rows], windows))
 
 
 # -- whole texts ------------------------------------------------------------------------------------
