@@ -79,3 +79,9 @@ def write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
     sink = fs.create(target, False)
     sink.write(bytearray(("\n".join(lines) + "\n").encode()))
     sink.close()
+
+
+def write_artifacts(output: DataFrame, directory: str) -> None:
+    """Output reads that match a contaminant, with its number in the name."""
+    name = F.concat(F.col("name"), F.lit(";ART:"), F.col("contaminant_ix").cast("string"))
+    output.where("outcome = 'artifact'").select(fastq(name, F.col("seq"), F.col("qual")).alias("value")).write.mode("errorifexists").text(directory)

@@ -166,3 +166,34 @@ def test_pairs_and_molecules(spark):
     assert pairs.trim_exact(left, "ANGT", 4).first()["seq"] == "ACGTTTGACCATTGACAGG"
     m = umi.molecules(spark.createDataFrame([(1, "c", 5), (1, "c", 5), (2, "c", 5)], "fp bigint, chrom string, pos int"))
     assert tuple(umi.per_chrom(m).first()) == ("c", 2, 3)
+
+
+def test_training_raises_the_likelihood(spark):
+    from readloom.operators.train import train
+
+    p = simulate.Plan(reads=120, barcodes=("ACAGTG", "TTAGGC"), read_length=22, error_rate=0.1, random_fraction=0.0)
+    m = build(L.parse("B:ACAGTG,TTAGGC R:N"), STATS, Options())
+    trained, logs = train(simulate.simulate(spark, p), m, 4)
+    assert all(b > a - 1e-3 for a, b in zip(logs, logs[1:], strict=False)) and logs[-1] > logs[0] + 1
+    assert abs(trained.step.sum(1) + trained.end - 1).max() < 1e-9
+    assert ((trained.step > 0) <= (m.step > 0)).all()
+
+
+def test_sql_functions(spark):
+    from readloom.functions.udfs import register_edit_search, register_label
+
+    S.register(spark)
+    register_edit_search(spark)
+    register_label(spark, build(L.parse("B:ACAGTG,TTAGGC R:N"), STATS, Options()))
+    row = spark.sql(f"SELECT revcomp('ACGN') AS rc, dust_score('{'A' * 20}') AS d, edit_search('ACGT', 'TTACTTT') AS e, edit_search_end('ACGT', 'ACGTT') AS g, label_read('ACAGTG{PAYLOAD}') AS r").first()
+    assert (row["rc"], row["e"], row["g"]) == ("NCGT", 1, 1) and row["d"] == pytest.approx(90) and row["r"]["q"] > 5
+    assert value(spark, S.dust_score(F.col("s")), s="A" * 20) == row["d"]
+
+
+def test_lcg():
+    from readloom.functions.lcg import Lcg
+
+    a, b = Lcg(7), Lcg(7)
+    x = [a.draw() for _ in range(1000)]
+    assert x == [b.draw() for _ in range(1000)] and min(x) >= 0 and max(x) < 32768 and 0.45 < sum(v / 32768 for v in x) / 1000 < 0.55
+    assert 0 <= Lcg(1).share() < 1
