@@ -28,8 +28,11 @@ from .common import WHITE, cut
 
 THRESHOLD = 0.8
 RARITY_BITS = 18
-#: Of so many of its rarest words, each pair leads a form to the earliest form that has both among its own.
-LEADS = 3
+#: Of so many of its first words, by an order of their own, each pair leads a form to the earliest form that has both
+#: there.  (The rarest words would not do: in a near copy they are the ones that were changed.)
+LEADS = 4
+#: Groups of more forms than CROWD are held against SLICES forms each.
+CROWD, SLICES = 4, 32
 #: Larger sets have two parity sketches.
 SHORT = 48
 
@@ -53,7 +56,7 @@ def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> DataFrame:
     (by exclusive or) into a long that begins with the rank of that value's number of words.
 
     The array's size does not depend on the input."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(_words(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     counted = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     flip = 1 << (bits - 1)  # signed longs sort by this bit first
     return _in_order(counted, bits, lambda x: F.shiftleft(x["b"].bitwiseXOR(x["i"]).bitwiseXOR(F.lit(flip)), 64 - bits))
@@ -103,14 +106,21 @@ def _after(a: str, b: str) -> Column:
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
-    """Length, position and sketch filters; positions count from 0.  The sketches of one set in two add up to that in one."""
+    """Length, position and sketch filters, which a match passes at its first shared word; positions count from 0.  The sketches of one set in two add up to that in one."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     both = na + nb
     need = both * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)  # least overlap
-    rest = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at")) + F.least(F.col(f"{a}.at"), F.col(f"{b}.at"))
+    # at a pair's first shared word, the words before it are not shared
+    rest = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
+    before = F.col(f"{a}.at") + F.col(f"{b}.at")
     even, odd = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("bits", "odd"))
     sketch = F.when((na > SHORT) & (nb > SHORT), F.bit_count(even) + F.bit_count(odd)).otherwise(F.bit_count(even.bitwiseXOR(odd)))
-    return (sketch <= both - 2 * need) & (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - F.lit(1e-6)) & (rest >= need)
+    return (sketch <= both - 2 * need) & (before <= both - 2 * need) & (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - F.lit(1e-6)) & (rest >= need)
+
+
+def _pairs(near: DataFrame) -> DataFrame:
+    """(doc, line, doc2, line2): each pair of a join of later (a) and earlier (b) forms once."""
+    return cut(near.select("a.doc", "a.line", F.col("b.doc").alias("doc2"), F.col("b.line").alias("line2")).distinct())
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str) -> DataFrame:
@@ -149,12 +159,22 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     lines = cut(wide.select("doc", "version", "line", "sig1", "sig2"))
     del wide
 
-    leads = F.array(*[F.xxhash64(F.get("first", F.lit(i)), F.get("first", F.lit(j))) for j in range(LEADS) for i in range(j)])
-    lead = forms.where("first is not null").select("doc", "line", "n", "bits", "odd", F.lit(0).alias("at"), F.explode(leads).alias("key"))
-    head = lead.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "bits", "odd", "at")).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "r.*")
+    mixed = F.sort_array(F.transform("first", lambda k: F.xxhash64(k)))
+    leads = F.array(*[F.xxhash64(F.get("mixed", F.lit(i)), F.get("mixed", F.lit(j))) for j in range(LEADS) for i in range(j)])
+    lead = forms.where("first is not null").withColumn("mixed", mixed).select("doc", "line", "n", "bits", "odd", F.lit(0).alias("at"), F.explode(leads).alias("key"))
+    head = lead.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "bits", "odd", "at")).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "m", "r.*")
+    head = cut(head)
     near = lead.alias("a").join(head.alias("b"), "key").where(_after("a", "b") & _possible("a", "b", threshold))
-    pairs = cut(near.select("a.doc", "a.line", F.col("b.doc").alias("doc2"), F.col("b.line").alias("line2")).distinct())
-    settled = cut(_verified(pairs, docs, threshold, id_col))
+    settled = cut(_verified(_pairs(near), docs, threshold, id_col))
+
+    # in a crowd the earliest form may lie at the edge: those left are held against the earliest of each slice of it
+    crowds = cut(head.where(F.col("m") > CROWD).select("key"))
+    crowd = cut(_Sieve(crowds, "key").split(lead, "key")[0].join(crowds, "key"))
+    part = F.pmod(F.xxhash64("doc", "line"), F.lit(SLICES))
+    heads = crowd.groupBy("key", part.alias("part")).agg(F.min(F.struct("doc", "line", "n", "bits", "odd", "at")).alias("r")).select("key", "r.*")
+    left = crowd.join(settled, ["doc", "line"], "left_anti")
+    near = left.alias("a").join(heads.alias("b"), "key").where(_after("a", "b") & _possible("a", "b", threshold))
+    settled = cut(settled.union(_verified(_pairs(near), docs, threshold, id_col)))
 
     marked = forms.where("first is not null").join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
     prefix = F.slice("first", F.lit(1), prefix_length(F.col("n"), threshold))
@@ -162,8 +182,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     # the condition on the later form names both sides: pushed below the join, it would keep the sides from sharing one shuffle
     later_is_open = F.col("a.open") * 2 + F.col("b.open") >= 2
     near = marked.alias("a").join(marked.alias("b"), "key").where(later_is_open & _after("a", "b") & _possible("a", "b", threshold))
-    pairs = cut(near.select("a.doc", "a.line", F.col("b.doc").alias("doc2"), F.col("b.line").alias("line2")).distinct())
-    matched = settled.union(_verified(pairs, docs, threshold, id_col)).withColumn("matched", F.lit(True))
+    matched = settled.union(_verified(_pairs(near), docs, threshold, id_col)).withColumn("matched", F.lit(True))
 
     verdict = forms.join(matched, ["doc", "line"], "left").where("copies > 1 or matched").select("sig1", "sig2", F.col("doc").alias("doc1"), F.col("line").alias("line1"), "matched")
     gone = lines.join(verdict, ["sig1", "sig2"]).where(F.col("matched").isNotNull() | (F.col("doc") > F.col("doc1")) | ((F.col("doc") == F.col("doc1")) & (F.col("line") > F.col("line1"))))
