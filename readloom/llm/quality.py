@@ -219,6 +219,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     return train([r["text"] for r in rows], [r["quality"] for r in rows])
 
 
+def verdicts(scorer: Scorer, texts: list[str | None], threshold: float) -> tuple[list, list[bool], np.ndarray, list[bool]]:
+    """Of each text: its counts and words, whether the base rules fail it, the probability of good quality, and whether it stays."""
+    got = [base_counts(t) for t in texts]
+    failed = [base_failed(c[0], c[4]) for c, *_ in got]
+    if scorer.model is None:
+        p = np.ones(len(got))
+    else:
+        scorer.learn(set().union(*(d for (*_, d), bad in zip(got, failed, strict=True) if not bad)))
+        p = scorer.model.probability(np.array([0.0 if bad else scorer.score(*g[1:]) for g, bad in zip(got, failed, strict=True)]))
+    return got, failed, p, [not bad and bool(x >= threshold) for x, bad in zip(p, failed, strict=True)]
+
+
 def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all if None), the five counts, base_failed, probability and kept, for every row.
 
@@ -236,25 +248,27 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, ke
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 500):
                 part = batch.slice(at, 500)
-                got = [base_counts(t) for t in part.column(0).to_pylist()]
-                failed = [base_failed(c[0], c[4]) for c, *_ in got]
-                if scorer.model is None:
-                    p = np.ones(len(got))
-                else:
-                    scorer.learn(set().union(*(d for (*_, d), bad in zip(got, failed, strict=True) if not bad)))
-                    p = scorer.model.probability(np.array([0.0 if bad else scorer.score(*g[1:]) for g, bad in zip(got, failed, strict=True)]))
+                got, failed, p, kept = verdicts(scorer, part.column(0).to_pylist(), threshold)
                 counts = np.array([c for c, *_ in got], np.int64).reshape(-1, 5)
                 cols = [pa.array(counts[:, i]) for i in range(5)]
                 prob = pa.array([None if bad else float(x) for x, bad in zip(p, failed, strict=True)], pa.float64())
-                kept = pa.array([not bad and bool(x >= threshold) for x, bad in zip(p, failed, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols, pa.array(failed, pa.bool_()), prob, kept], [*(f.name for f in fields), *new.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols, pa.array(failed, pa.bool_()), prob, pa.array(kept, pa.bool_())], [*(f.name for f in fields), *new.names])
 
     return source.mapInArrow(run, T.StructType([*fields, *new.fields]))
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns.
+    """The rows of ``docs`` that pass, with their own columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_text, holder = docs.columns.index("text"), []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holder:
+            holder.append(Scorer(shared.value))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                *_, kept = verdicts(holder[0], part.column(at_text).to_pylist(), threshold)
+                yield part.filter(pa.array(kept, pa.bool_()))
 
-    The verdict columns are given names that no input column has, so that extra columns stay."""
-    judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("\x00row"), F.col("text")), model, threshold, keep=["\x00row"])
-    return judged.where("kept").select("`\x00row`.*")
+    return docs.mapInArrow(run, docs.schema)
