@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from ..plans.layout import Layout
 from ..plans.model import Options, build
 from .label import log_likelihoods
-from .stats import prefix, sequence_stats
+from .stats import prefix, stats_of_all
 
 
 def posterior(log_likelihoods_: list[float]) -> np.ndarray:
@@ -22,7 +22,7 @@ def choose(reads: DataFrame, layouts: list[Layout], o: Options = Options()) -> t
     """The best of the layouts and its probability.  All are scored in one pass over the file's first reads."""
     if len(layouts) == 1:
         return layouts[0], 1.0
-    models = [build(a, sequence_stats(reads, a, o), o) for a in layouts]
+    models = [build(a, s, o) for a, s in zip(layouts, stats_of_all(reads, layouts, o), strict=True)]
     # one row per layout comes back
     rows = {r["layout_id"]: r["log_likelihood"] for r in log_likelihoods(prefix(reads, o.search_reads), models).collect()}
     p = posterior([rows.get(i, 0.0) for i in range(len(layouts))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sequence as S
@@ -14,26 +16,39 @@ def prefix(reads: DataFrame, n: int | None) -> DataFrame:
     return reads if n is None else reads.where(F.col("ord") < n)
 
 
-def stats_columns(adapter_5: str | None = None, adapter_3: str | None = None) -> dict[str, Column]:
+def stats_columns(adapters_5: Sequence[str] = (), adapters_3: Sequence[str] = ()) -> dict[str, Column]:
     """Aggregates over ``seq``: base counts (each one more than found), lengths, and cut adapters."""
     out = {f"n_{b.lower()}": F.coalesce(F.sum(n), F.lit(0)) + 1 for b, n in S.base_counts(F.col("seq")).items()}
     out |= {"reads": F.count("seq"), "avg_len": F.avg(F.length("seq")), "max_len": F.max(F.length("seq"))}
-    for side, adapter, length in (("5", adapter_5, S.partial_prefix), ("3", adapter_3, S.partial_suffix)):
-        if adapter:
-            hit = F.nullif(length(F.col("seq"), adapter), F.lit(0)).cast("double")
-            out |= {f"hits_{side}": F.count(hit), f"mean_{side}": F.avg(hit), f"sd_{side}": F.stddev_samp(hit)}
+    for side, adapters, length in (("5", adapters_5, S.partial_prefix), ("3", adapters_3, S.partial_suffix)):
+        for a in adapters:
+            hit = F.nullif(length(F.col("seq"), a), F.lit(0)).cast("double")
+            out |= {f"hits_{side}_{a}": F.count(hit), f"mean_{side}_{a}": F.avg(hit), f"sd_{side}_{a}": F.stddev_samp(hit)}
+    return out
+
+
+def _adapter(layout: Layout | None, place: int) -> str | None:
+    return layout.segments[place].seqs[0] if layout and layout.segments[place].kind == "P" else None
+
+
+def stats_of_all(reads: DataFrame, layouts: list[Layout | None], options: Options = Options()) -> list[Stats]:
+    """The figures for every layout, from one pass: layouts differ only in their outer adapters."""
+    sides = {"5": [_adapter(a, 0) for a in layouts], "3": [_adapter(a, -1) for a in layouts]}
+    distinct = [list(dict.fromkeys(filter(None, sides[s]))) for s in "53"]
+    row = prefix(reads, options.stats_reads).agg(*[c.alias(k) for k, c in stats_columns(*distinct).items()]).first()
+    counts = [row[f"n_{b}"] for b in "acgtn"]
+    out = []
+    for k in range(len(layouts)):
+        cut = {}
+        for side, adapters in sides.items():
+            if a := adapters[k]:
+                few = row[f"hits_{side}_{a}"] <= 1
+                cut[f"mean_{side}"] = float(len(a)) if few else row[f"mean_{side}_{a}"]
+                cut[f"sd_{side}"] = 1.0 if few else row[f"sd_{side}_{a}"] or 10_000.0
+        out.append(Stats(tuple(c / sum(counts) for c in counts), float(max(1, round(row["avg_len"] or 1))), row["max_len"] or 0, **cut))
     return out
 
 
 def sequence_stats(reads: DataFrame, layout: Layout | None = None, options: Options = Options()) -> Stats:
     """Background, lengths, and how much of the outer adapters the reads show."""
-    ends = {s: layout.segments[i].seqs[0] if layout and layout.segments[i].kind == "P" else None for s, i in (("5", 0), ("3", -1))}
-    row = prefix(reads, options.stats_reads).agg(*[c.alias(k) for k, c in stats_columns(ends["5"], ends["3"]).items()]).first()
-    counts = [row[f"n_{b}"] for b in "acgtn"]
-    cut = {}
-    for side, adapter in ends.items():
-        if adapter:
-            few = row[f"hits_{side}"] <= 1
-            cut[f"mean_{side}"] = float(len(adapter)) if few else row[f"mean_{side}"]
-            cut[f"sd_{side}"] = 1.0 if few else row[f"sd_{side}"] or 10_000.0
-    return Stats(tuple(c / sum(counts) for c in counts), float(max(1, round(row["avg_len"] or 1))), row["max_len"] or 0, **cut)
+    return stats_of_all(reads, [layout], options)[0]

@@ -2,13 +2,19 @@
 
 The files are split by Spark's text reader, so any file system and any codec that Spark knows works, and
 plain files are read in parallel.  Records have several lines: every line gets a number that follows the
-file's order, and lines are put together by that number without gathering a file in one task.
+file's order, from counts per block, and no task holds a whole file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.demux import numbered
+
 #: Kinds by the end of the name; a compression suffix is taken off first.  Fixed values.
 KINDS = {".fa": "fasta", ".fasta": "fasta", ".fq": "fastq", ".fastq": "fastq", ".fastaq": "fastq", ".sam": "sam"}
 CODECS = (".gz", ".bz2")
@@ -31,16 +37,21 @@ def kind_of(path: str) -> str:
     raise FormatError(f"{path}: not a FASTQ, FASTA or SAM file by its name")
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value, first, last): the lines of a file in order within each block, their numbers from 0, and the block's first and last number."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    counts = lines.groupBy("block").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+    # one row per block of the file
+    over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.withColumn("first", F.coalesce(F.sum("c").over(over), F.lit(0))).select("block", "low", "first", (F.col("first") + F.col("c") - 1).alias("last"))
+    return lines.join(F.broadcast(start), "block").select((F.col("first") + F.col("id") - F.col("low")).alias("n"), "value", "first", "last")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(n, value): the lines of a file with their numbers from 0.
 
     Lines come in order within each block of the file; counting the blocks once gives each its first number."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    counts = lines.groupBy("block").agg(F.count("*").alias("c"), F.min("id").alias("first"))
-    # one row per block of the file
-    over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("before", F.coalesce(F.sum("c").over(over), F.lit(0))).select("block", "first", "before")
-    return lines.join(F.broadcast(before), "block").select((F.col("before") + F.col("id") - F.col("first")).alias("n"), "value")
+    return _blocks(spark, path).select("n", "value")
 
 
 def clean_name(name: Column) -> Column:
@@ -48,10 +59,39 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, "^[@>]", ""), "[ \t]", ";")
 
 
+_RECORD = "ord bigint, l0 string, l1 string, l2 string, l3 string"
+
+
+def _fours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each four lines (n, value), which come in order, as one record."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+        whole = len(rows) // 4 * 4
+        rest = rows.slice(whole)
+        if whole:
+            value = rows.column("value").combine_chunks()
+            at = [np.arange(k, whole, 4) for k in range(4)]
+            number = rows.column("n").to_numpy()[at[0]] // 4
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), *(value.take(pa.array(a)).cast(pa.string()) for a in at)], ["ord", "l0", "l1", "l2", "l3"])
+
+
+def fastq_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, l0, l1, l2, l3): the lines of each record.
+
+    Records that lie within a block of the file are put together where they are read; only the lines of records
+    across two blocks are shuffled."""
+    lines = _blocks(spark, path).withColumn("ord", F.floor(F.col("n") / 4).cast("bigint"))
+    inside = (F.col("ord") * 4 >= F.col("first")) & (F.col("ord") * 4 + 3 <= F.col("last"))
+    whole = lines.where(inside).select("n", "value").mapInArrow(_fours, _RECORD)
+    across = lines.where(~inside).groupBy("ord").agg(*[F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(f"l{k}") for k in range(4)])
+    return whole.unionAll(across)
+
+
 def read_fastq(spark: SparkSession, path: str, file_ix: int = 0, strict: bool = True) -> DataFrame:
     """Records of four lines.  A record that is none raises in strict mode, and is left out otherwise."""
-    lines = numbered_lines(spark, path)
-    record = lines.groupBy(F.floor(F.col("n") / 4).cast("bigint").alias("ord")).agg(*[F.max(F.when(F.col("n") % 4 == k, F.rtrim("value"))).alias(f"l{k}") for k in range(4)])
+    record = fastq_lines(spark, path).select("ord", *[F.rtrim(f"l{k}").alias(f"l{k}") for k in range(4)])
     good = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
     out = record.where(~((F.coalesce(F.col("l0"), F.lit("")) == "") & F.col("l1").isNull()))
     if strict:
@@ -84,8 +124,9 @@ def read_sam(spark: SparkSession, path: str, file_ix: int = 0, without_flags: in
     f = F.split("value", "\t")
     nm = F.nullif(F.regexp_extract("value", r"\tNM:i:(\d+)", 1), F.lit("")).cast("int")
     kept = rows.where(F.size(f) >= 11).where(f[1].cast("int").bitwiseAND(F.lit(without_flags)) == 0)
+    kept = numbered(kept.withColumn("all", F.lit(0)), "all", "n")
     star = lambda c: F.when(c != "*", c)
-    return kept.select(F.lit(file_ix).alias("file_ix"), F.col("n").alias("ord"), F.regexp_replace(f[0], "[ ]", ";").alias("name"), F.upper(star(f[9])).alias("seq"), star(f[10]).alias("qual"), f[1].cast("int").alias("flag"), f[4].cast("double").alias("mapq"), nm.alias("nm"))
+    return kept.select(F.lit(file_ix).alias("file_ix"), (F.col("number") - 1).alias("ord"), F.regexp_replace(f[0], "[ ]", ";").alias("name"), F.upper(star(f[9])).alias("seq"), star(f[10]).alias("qual"), f[1].cast("int").alias("flag"), f[4].cast("double").alias("mapq"), nm.alias("nm"))
 
 
 def read(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
