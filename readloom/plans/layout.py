@@ -95,17 +95,26 @@ def parse(text: str) -> Layout:
     return Layout(tuple(parts))
 
 
+def _segment_words(line: str) -> list[str]:
+    """A line's segments, with their numbers if it has any; the values of other options are none."""
+    out: list[str] = []
+    before = ""
+    for word in line.split("#")[0].split():
+        numbered = re.fullmatch(r"-\d+", before)
+        if re.match("[A-Z]:", word) and (numbered or not before.startswith("-")):
+            out += [before, word] if numbered else [word]
+        before = word
+    return out
+
+
 def parse_file(lines: list[str]) -> list[Layout]:
     """The distinct layouts of a file, one a line; a leading command word and other options are skipped."""
-    out = []
-    for line in lines:
-        words = line.split("#")[0].split()
-        kept = [w for i, w in enumerate(words) if re.fullmatch(r"-\d+", w) or (re.match(r"[A-Z]:", w) and (i == 0 or re.fullmatch(r"-\d+", words[i - 1]) or re.match(r"[A-Z]:", words[i - 1]) or i == 1))]
-        if any(":" in w for w in kept):
-            layout = parse(" ".join(kept))
-            if layout in out:
-                raise LayoutError(f"{layout} stands twice")
-            out.append(layout)
+    out: list[Layout] = []
+    for words in filter(None, map(_segment_words, lines)):
+        layout = parse(" ".join(words))
+        if layout in out:
+            raise LayoutError(f"{layout} stands twice")
+        out.append(layout)
     return out
 
 
