@@ -49,6 +49,11 @@ def combine(reads: DataFrame) -> DataFrame:
     return reads.groupBy("ord").agg(worst.alias("outcome"), F.max("barcode").alias("barcode"), F.max("contaminant_ix").alias("contaminant_ix"), files.alias("files"))
 
 
+def alone(reads: DataFrame) -> DataFrame:
+    """The rows of ``combine`` for a single file, without a shuffle."""
+    return reads.select("ord", "outcome", "barcode", "contaminant_ix", F.array(F.struct("file_ix", "name", "payloads", "fp", "fp_seq", "q")).alias("files"))
+
+
 def output_reads(combined: DataFrame) -> DataFrame:
     """(ord, sample, read_ix, name, seq, qual, outcome): the payloads of all mates, numbered through all files."""
     parts = F.flatten(F.transform("files", lambda f: F.transform(f["payloads"], lambda p: F.struct(f["name"].alias("name"), p["seq"].alias("seq"), p["qual"].alias("qual"), f["fp"].alias("fp"), f["fp_seq"].alias("fp_seq"), f["q"].alias("q")))))

@@ -60,9 +60,11 @@ def extract_file(reads: DataFrame, fitted: Fitted, o: Options = Options(), refer
 
 
 def extract(reads: DataFrame, fitted: list[Fitted], o: Options = Options(), references: DataFrame | None = None) -> DataFrame:
-    """(ord, outcome, barcode, contaminant_ix, files) over all files; one shuffle brings mates together."""
+    """(ord, outcome, barcode, contaminant_ix, files) over all files; one shuffle brings mates together, and a single file needs none."""
     check(fitted)
     parts = [extract_file(reads.where(F.col("file_ix") == ix), f, o, references) for ix, f in enumerate(fitted)]
+    if len(parts) == 1:
+        return mates.alone(parts[0])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -103,6 +103,10 @@ def test_mates(spark):
     assert (got[0]["outcome"], got[0]["barcode"]) == ("success", "ACAGTG") and got[1]["outcome"] != "success"
     with pytest.raises(L.LayoutError):
         check([files[1], files[1]])
+    one = extract(a, files[:1])
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    labelled = label.label(a, files[0].model, 0.0).withColumn("contaminant_ix", F.lit(None).cast("int"))
+    assert sorted(map(str, one.collect())) == sorted(map(str, mates.combine(filters.low_complexity(labelled, 100.0)).collect()))
 
 
 def test_fit_and_choice(spark):
