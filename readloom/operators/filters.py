@@ -15,6 +15,8 @@ from .label import OUTCOMES
 PROBE = 32
 #: References are sent to the executors in parts of at most so many bases.
 PART_BASES = 4_000_000
+#: All references of a run together have at most so many bases; they pass through the driver.
+MOST_BASES = 256_000_000
 
 
 def rank(outcome: Column) -> Column:
@@ -87,6 +89,9 @@ def contaminants(reads: DataFrame, references: DataFrame, errors: int = 2) -> Da
     """Outcome artifact, and contaminant_ix, for successful reads whose first bases match a reference (ref_ix, seq).
 
     Only reads that are still successful are searched.  References go to the executors in parts of a bounded size; a read keeps its best match."""
+    total = references.agg(F.sum(F.length("seq"))).first()[0] or 0
+    if total > MOST_BASES:
+        raise ValueError(f"references of {total} bases; the most is {MOST_BASES}")
     parts, size = [[]], 0
     for r in references.select("ref_ix", "seq").orderBy("ref_ix").toLocalIterator():
         if size and size + len(r["seq"]) > PART_BASES:

@@ -5,6 +5,7 @@ Probabilities are scaled at every base, so the forward and backward sums are pla
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,7 +65,7 @@ def backward(m: Model, x: np.ndarray, n: np.ndarray, alpha: np.ndarray, scale: n
 
 def log_likelihood(m: Model, seqs: list[str]) -> np.ndarray:
     """log P(x | M) of each read."""
-    return _by_length(seqs, lambda part: forward(m, *encode(part))[2], float)
+    return _by_length(seqs, lambda part: forward(m, *encode(part))[2], float, len(m.start))
 
 
 def random_log_likelihood(m: Model, x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -74,15 +75,22 @@ def random_log_likelihood(m: Model, x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (bg[x] * inside).sum(1) + n * np.log(1 - 1 / a) + np.log(1 / a)
 
 
-def _by_length(seqs: list[str], f, kind, most: int = 512) -> np.ndarray:  # noqa: ANN001
+#: Numbers in one array of a batch; the batches of long reads are small.
+_CELLS = 8_000_000
+
+
+def _by_length(seqs: list[str], f: Callable[[list[str]], Sequence], kind: type, states: int, most: int = 512) -> np.ndarray:
     """Apply f to reads of like length together; results in the order of the reads."""
-    order = np.argsort([len(s) for s in seqs], kind="stable")
+    order = np.argsort([len(s) for s in seqs], kind="stable")[::-1]
     out = np.empty(len(seqs), kind)
-    for at in range(0, len(order), most):
-        part = order[at : at + most]
+    at = 0
+    while at < len(order):
+        width = max(1, len(seqs[order[at]]))
+        part = order[at : at + min(most, max(1, _CELLS // (width * states)))]
         got = f([seqs[i] for i in part])
         for k, i in enumerate(part):
             out[i] = got[k]
+        at += len(part)
     return out
 
 
@@ -164,7 +172,7 @@ def label(m: Model, seqs: list[str], decode: bool = True) -> Labelled:
         labels = best_path(m, post @ groups, n) if decode else np.zeros(x.shape, np.int32)
         return [(labels[i, : n[i]], q[i], log[i], random[i]) for i in range(len(part))]
 
-    out = _by_length(seqs, run, object)
+    out = _by_length(seqs, run, object, len(m.start))
     return Labelled([o[0] for o in out], *(np.array([o[k] for o in out], float) for k in (1, 2, 3)))
 
 

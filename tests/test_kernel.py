@@ -119,3 +119,12 @@ def test_overlap():
     assert (seq, share, at) == ("ACGTACGTTTGACCATTGACAGGCCCTTA", 1.0, 7) and len(qual) == len(seq)
     assert K.overlap("ACGT", None, "ACGT", None, 16) is None
     assert K.overlap("ACGTACGT", "IIIIIII!", "ACGTACGA", "IIIIIIII", 4)[0] == "ACGTACGA"
+
+
+def test_long_reads_go_in_small_batches(monkeypatch):
+    m = build(L.parse(LAYOUTS[0]), STATS, Options())
+    seqs = ["ACAGTG" + "GATTACA" * k for k in (1, 30, 3, 200)]
+    want = K.label(m, seqs)
+    monkeypatch.setattr(K, "_CELLS", 1000)
+    got = K.label(m, seqs)
+    assert all(np.array_equal(a, b) for a, b in zip(want.labels, got.labels, strict=True)) and np.allclose(want.q, got.q)
