@@ -20,8 +20,6 @@ columns stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WHITE, cut
@@ -34,7 +32,7 @@ LEADS = 4
 #: Groups of more forms than CROWD are held against SLICES forms each.
 CROWD, SLICES = 4, 32
 #: Larger sets have two parity sketches.
-SHORT = 48
+SHORT = 80
 
 
 def _words(line: Column) -> Column:
@@ -43,12 +41,9 @@ def _words(line: Column) -> Column:
     return F.split(plain, " ")
 
 
-def _in_order(counted: DataFrame, bits: int, value: Callable[[Column], Column]) -> DataFrame:
-    """One row with one array of 2**bits longs: ``value`` of (b, n, i), where i is the rank of b's count n, by b."""
-    every = counted.sparkSession.range(1 << bits).select(F.col("id").alias("b")).join(counted, "b", "left").select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "b").alias("x"))
-    order = F.sort_array(F.collect_list("x"))
-    place = F.sort_array(F.transform(order, lambda x, i: F.struct(x["b"].alias("b"), x["n"].alias("n"), i.cast("long").alias("i"))))
-    return cut(every.agg(F.transform(place, value).alias("entries")))
+def _every(counted: DataFrame, bits: int) -> DataFrame:
+    """(b, n) for each b below 2**bits: that of ``counted``, or 0."""
+    return counted.sparkSession.range(1 << bits).select(F.col("id").alias("b")).join(counted, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> DataFrame:
@@ -59,7 +54,9 @@ def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> DataFrame:
     words = docs.select(F.explode(_words(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     counted = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     flip = 1 << (bits - 1)  # signed longs sort by this bit first
-    return _in_order(counted, bits, lambda x: F.shiftleft(x["b"].bitwiseXOR(x["i"]).bitwiseXOR(F.lit(flip)), 64 - bits))
+    order = F.sort_array(F.collect_list(F.struct("n", "b")))
+    place = F.sort_array(F.transform(order, lambda x, i: F.struct(x["b"].alias("b"), F.shiftleft(x["b"].bitwiseXOR(i.cast("long")).bitwiseXOR(F.lit(flip)), 64 - bits).alias("turn"))))
+    return cut(_every(counted, bits).agg(F.transform(place, lambda x: x["turn"]).alias("entries")))
 
 
 def _ordered(line: Column, turn: Column, bits: int) -> Column:
@@ -73,12 +70,13 @@ class _Sieve:
 
     Its size does not depend on the input; where it is full it lets everything through."""
 
-    BITS = 24
+    BITS = 22
 
     def __init__(self, rows: DataFrame, *cols: str) -> None:
         spot = self._spot(*cols)
         word = rows.select(F.shiftright(spot, 6).alias("b"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-        self.table = _in_order(word.groupBy("b").agg(F.bit_or("bit").alias("n")), self.BITS - 6, lambda x: x["n"])
+        words = _every(word.groupBy("b").agg(F.bit_or("bit").alias("n")), self.BITS - 6)
+        self.table = cut(words.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "n"))), lambda x: x["n"]).alias("entries")))
 
     def _spot(self, *cols: str) -> Column:
         return F.xxhash64(*cols).bitwiseAND(F.lit((1 << self.BITS) - 1))
@@ -143,7 +141,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     keys = F.col("keys")
     turn = rarity(docs, bits)
     # the optimizer puts the subquery in the place of the column, so no row holds the array
-    lines = _lines(docs, id_col).select("*", turn.scalar().alias("turn")).select("doc", "version", "line", _ordered(F.col("s"), F.col("turn"), bits).alias("keys")).where(F.size("keys") > 0)
+    # blank lines go by their text: a condition on the words would compute them once more
+    worded = _lines(docs, id_col).where(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
+    lines = worded.select("*", turn.scalar().alias("turn")).select("doc", "version", "line", _ordered(F.col("s"), F.col("turn"), bits).alias("keys"))
 
     def parity(words: Column) -> Column:
         return F.aggregate(words, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
