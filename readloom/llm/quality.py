@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 DIM_BITS = 18
 CHAR_N = (2, 3, 4)
-MAX_TRAIN = 2000
+MAX_TRAIN = 1200
 THRESHOLD = 0.3
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\v\f\r"
@@ -107,10 +107,13 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
         pairs = pair_features(word_hashes(list(uniq))[back])
         f, times = np.concatenate((f, pairs)), np.concatenate((times, np.ones(len(pairs))))
         u, at = np.unique(f, return_inverse=True)
-        cols.append(u)
-        values.append(np.bincount(at, times) / len(words))
-        rows.append(np.full(len(u), i))
-    c, r, v = np.concatenate(cols), np.concatenate(rows), np.concatenate(values)
+        cols.append(u.astype(np.int32))
+        values.append((np.bincount(at, times) / len(words)).astype(np.float32))
+        rows.append(np.full(len(u), i, np.int32))
+    if not cols:
+        return None
+    c, r, v = (np.concatenate(x) for x in (cols, rows, values))
+    del cols, rows, values
     held = np.arange(len(y)) % 5 == 0
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 1:
         held = np.zeros(len(y), bool)
