@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import to_python
+
 BEGIN, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _ESCAPE, _BACK = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -128,7 +130,7 @@ def format_turns(conversations: DataFrame, path: str | None = None, pattern: str
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))], ["conv_id", "turn", "role", "text", "ids", "loss"])
 
     some = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return some.mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, loss array<boolean>")
+    return to_python(some).mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, loss array<boolean>")
 
 
 def formatted_text(conversations: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

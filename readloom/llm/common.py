@@ -21,6 +21,18 @@ def checkpoint_ready(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="readloom-checkpoint-"))
 
 
+#: Rows of a batch that goes to Python: at Spark's default of 10,000, batches of texts fill an executor's memory.
+BATCH_ROWS = 1000
+
+
+def to_python(df: DataFrame) -> DataFrame:
+    """The same rows; where the session has Spark's default, batches that go to Python get fewer rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which outlives lost executors.
 

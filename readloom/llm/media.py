@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import to_python
+
 # Element ids of the format.  Fixed values.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, SCALE, DURATION, TRACK, NUMBER, UID, TYPE, CODEC, LACING = 0x4282, 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C
@@ -288,7 +290,7 @@ def packet_table(df: DataFrame, media_col: str, id_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), packets, cues, pa.array([m.error for m in found], pa.string())], ["id", "packets", "cues", "error"])
 
     kind_of = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, f"id {kind_of}, {PACKETS}")
+    return to_python(df).select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, f"id {kind_of}, {PACKETS}")
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -328,4 +330,4 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [x.split()[0] for x in STORED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED)
+    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sample
+from .common import sample, to_python
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
@@ -378,7 +378,7 @@ def scan(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                 digest = pa.array([hashlib.sha256(show(b).encode()).hexdigest() for b, _ in found], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array([show(w) for _, w in found], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def mask(text: str, spans: list[Span]) -> str:

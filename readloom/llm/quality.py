@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import to_python
+
 DIM_BITS = 18
 CHAR_N = (2, 3, 4)
 MAX_TRAIN = 1200
@@ -257,7 +259,7 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, ke
                 prob = pa.array([None if bad else float(x) for x, bad in zip(p, failed, strict=True)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols, pa.array(failed, pa.bool_()), prob, pa.array(kept, pa.bool_())], [*(f.name for f in fields), *new.names])
 
-    return source.mapInArrow(run, T.StructType([*fields, *new.fields]))
+    return to_python(source).mapInArrow(run, T.StructType([*fields, *new.fields]))
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -273,5 +275,6 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
                 part = batch.slice(at, 500)
                 *_, kept = verdicts(holder[0], part.column(at_text).to_pylist(), threshold)
                 yield part.filter(pa.array(kept, pa.bool_()))
+            pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
-    return docs.mapInArrow(run, docs.schema)
+    return to_python(docs).mapInArrow(run, docs.schema)
