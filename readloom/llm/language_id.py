@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, sample
+from .common import cut, sample, to_python
 from .html_extract import tokens
 
 BITS = 14
@@ -97,7 +97,7 @@ def _scores(rows: DataFrame, model: Model, markup: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(said, pa.string()), pa.array([s.tolist() for s in score], pa.list_(pa.float64()))], [*keep, "declared", "loglik"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "content")
-    return rows.select(*keep, "content").mapInArrow(run, f"{schema}, declared string, loglik array<double>")
+    return to_python(rows).select(*keep, "content").mapInArrow(run, f"{schema}, declared string, loglik array<double>")
 
 
 def _counts(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -128,7 +128,9 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     base = F.array(*[F.lit((c + 1) / (total + n)) for c in whole])
 
     for key in ("declared", "suffix", "domain", "host"):
-        rows = rows.join(_counts(rows, key, n), key, "left")
+        # rows without the key match nothing; they are spread, or they would all meet in one task
+        spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(scored.columns[0]), F.lit(4096)).cast("string"))
+        rows = rows.withColumn("_key", F.coalesce(F.col(key), spread)).join(_counts(rows, key, n).withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
 
     def smoothed(counts: Column, prior: Column) -> Column:
         return F.when(counts.isNull(), prior).otherwise(F.zip_with(counts, prior, lambda c, p: (c.cast("double") + F.lit(KAPPA) * p) / (_total(counts) + F.lit(KAPPA))))
