@@ -234,8 +234,16 @@ def q_layout_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_merge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that overlap by 20 bases, merged."""
-    r = reads(spark, sf_dir).where("ord % 10 = 1")
+    """The part of merge_offsets_all that its SQL covers."""
+    return _merged(reads(spark, sf_dir).where("ord % 10 = 1"))
+
+
+def q_merge_offsets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of all reads that overlap by 20 bases, merged."""
+    return _merged(reads(spark, sf_dir))
+
+
+def _merged(r: DataFrame) -> DataFrame:
     left = r.select("ord", "name", F.substring("seq", 1, 26).alias("seq"), F.lit("I" * 26).alias("qual"))
     right = r.select("ord", "name", S.reverse_complement(F.substring("seq", 7, 26)).alias("seq"), F.lit("I" * 26).alias("qual"))
     return pairs.merge_pairs(left, right, 16).select("ord", "seq", F.length("qual").cast("bigint").alias("n_qual"), F.round("identity", 6).alias("identity"), F.col("shift").cast("bigint").alias("shift"))
@@ -254,10 +262,23 @@ def q_split_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_barcode_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least edit distance between the barcodes of each customer's reads, of those with a few."""
-    r = reads(spark, sf_dir).where("o_custkey % 50 = 1").select("o_custkey", "ord", F.substring("seq", 1, 6).alias("b"))
-    both = r.alias("x").join(r.alias("y"), "o_custkey").where("x.ord < y.ord")
-    return both.groupBy("o_custkey").agg(F.min(F.levenshtein("x.b", "y.b")).cast("bigint").alias("least"))
+    """The part of barcode_distance_all that its SQL covers."""
+    return _least_distance(reads(spark, sf_dir).where("o_custkey % 50 = 1"))
+
+
+def q_barcode_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least edit distance between the barcodes of each customer's reads, of all customers with a few."""
+    return _least_distance(reads(spark, sf_dir))
+
+
+def _least_distance(r: DataFrame) -> DataFrame:
+    """A barcode that a customer has twice makes it 0; only customers without one have theirs (at most 4**6) held against each other."""
+    one = r.where("o_custkey is not null and ord is not null").groupBy("o_custkey", F.substring("seq", 1, 6).alias("b")).agg((F.min("ord") < F.max("ord")).alias("again"))
+    per = one.groupBy("o_custkey").agg(F.max("again").alias("any"), F.count("*").alias("n"))
+    zero = per.where("any").select("o_custkey", F.lit(0).cast("bigint").alias("least"))
+    rest = one.join(per.where("not any and n > 1"), "o_custkey").select("o_custkey", "b")
+    both = rest.alias("x").join(rest.alias("y"), "o_custkey").where("x.b < y.b")
+    return zero.union(both.groupBy("o_custkey").agg(F.min(F.levenshtein("x.b", "y.b")).cast("bigint").alias("least")))
 
 
 def q_information(spark: SparkSession, sf_dir: str) -> DataFrame:
