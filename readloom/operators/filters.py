@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ PROBE = 32
 PART_BASES = 4_000_000
 #: All references of a run together have at most so many bases; they pass through the driver.
 MOST_BASES = 256_000_000
+_OTHER = re.compile(r"[^ACGT.]")
 
 
 def rank(outcome: Column) -> Column:
@@ -32,6 +34,11 @@ def low_complexity(reads: DataFrame, cut: float) -> DataFrame:
     return reads.withColumn("outcome", F.when(score > cut, "low_complexity").otherwise(F.col("outcome")))
 
 
+def _clean(seq: str) -> str:
+    """As ``sequence.clean``: the letters that the alignment tells apart."""
+    return _OTHER.sub("N", seq.upper().replace("U", "T"))
+
+
 class _References:
     """One part of the references, ready to search: both strands, and the pieces that occur in them.
 
@@ -39,8 +46,8 @@ class _References:
 
     def __init__(self, refs: list[tuple[int, str]], errors: int) -> None:
         self.errors, self.piece = errors, PROBE // (errors + 1)
-        flip = str.maketrans("ACGTU", "TGCAA")
-        self.texts = [(ix, s) for ix, seq in refs for s in (seq.upper(), seq.upper().translate(flip)[::-1])]
+        flip = str.maketrans("ACGT", "TGCA")
+        self.texts = [(ix, s) for ix, seq in refs for s in (_clean(seq), _clean(seq).translate(flip)[::-1])]
         self.known: dict[str, set[int]] = {}
         for k, (_, s) in enumerate(self.texts):
             for i in range(len(s) - self.piece + 1):
@@ -48,6 +55,7 @@ class _References:
 
     def best(self, probes: list[str]) -> list[tuple[int, int] | None]:
         """(errors, reference) of each probe's best match within the limit; the first reference wins ties."""
+        probes = [_clean(p) for p in probes]
         out: list[tuple[int, int] | None] = [None] * len(probes)
         wanted: dict[int, list[int]] = {}
         for i, p in enumerate(probes):
