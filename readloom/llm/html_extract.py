@@ -1,8 +1,8 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
 A page is read as a row of tokens: words and tags.  Words score positive and tags negative, with weights
-that are log-odds estimated from labelled pages; the contiguous run with the greatest sum (found in one
-linear scan) is the content region.  Parts that are never article text (menus, notices, adverts, forms,
+that are log-odds estimated from labelled pages, tags within an article or main element apart from others;
+the contiguous run with the greatest sum (found in one linear scan) is the content region.  Parts that are never article text (menus, notices, adverts, forms,
 scripts, comments of readers and the like, by their tag, role, class or id) are left out of the scan and of
 the text.  The region's blocks are joined in page order.
 
@@ -158,15 +158,26 @@ def labelled_pages() -> list[tuple[str, str]]:
     return out
 
 
+def named(toks: list[tuple[str, str]]) -> list[bool]:
+    """Whether each token lies within an article or main element; the element's own tags do not."""
+    out, depth = [], 0
+    for name, text in toks:
+        mark = name in ("article", "main")
+        depth -= mark and text == "/"
+        out.append(depth > 0)
+        depth += mark and text == ""
+    return out
+
+
 @lru_cache(maxsize=1)
-def weights() -> tuple[float, dict[tuple[str, str], float]]:
-    """Score of a word, and of each tag: how much likelier it is inside of the content than outside, bounded by sign."""
+def weights() -> tuple[float, dict[tuple[str, str, bool], float]]:
+    """Score of a word, and of each tag, within an article or main element or not: how much likelier it is inside of the content than outside, bounded by sign."""
     inside, outside = Counter(), Counter()
     for page, _ in labelled_pages():
-        on = False
-        for name, text in tokens(page):
+        on, toks = False, tokens(page)
+        for (name, text), within in zip(toks, named(toks), strict=True):
             if name:
-                (inside if on else outside)[name, text] += 1
+                (inside if on else outside)[name, text, within] += 1
                 continue
             for w in text.replace("[[", " [[ ").replace("]]", " ]] ").split():
                 if w in ("[[", "]]"):
@@ -182,8 +193,6 @@ def weights() -> tuple[float, dict[tuple[str, str], float]]:
 
 #: Of tags that no labelled page has.
 _OTHER_BLOCK, _OTHER_INLINE = -0.5, -0.05
-#: What is left of tag weights on pages that name their content.
-_DAMP = 0.01
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -223,27 +232,15 @@ def extract(page: str | None) -> str:
     return "\n\n".join(blocks(toks[lo:hi]))
 
 
-def landmark(toks: list[tuple[str, str]]) -> tuple[int, int] | None:
-    """Where a page's only article (or else main) element with words begins and ends."""
-    for name in ("article", "main"):
-        opens = [i for i, t in enumerate(toks) if t == (name, "")]
-        shuts = [i for i, t in enumerate(toks) if t == (name, "/")]
-        if len(opens) == 1 and shuts and any(not n and t.strip() for n, t in toks[opens[0] : shuts[-1]]):
-            return opens[0], shuts[-1]
-    return None
-
-
 def token_scores(toks: list[tuple[str, str]]) -> list[float]:
-    """Weights of the tokens.  Where a page names its content, tags within hardly count, and words outside count against."""
+    """Weights of the tokens; a tag that no labelled page has within an article weighs as it does elsewhere."""
     word, tags = weights()
-    scores = [word * len(text.split()) if not name else tags.get((name, text), _OTHER_BLOCK if name in BLOCKS else _OTHER_INLINE) for name, text in toks]
-    named = landmark(toks)
-    if named:
-        lo, hi = named
-        scores = [s if s > 0 else s * _DAMP for s in scores]
-        scores[:lo] = [-abs(s) for s in scores[:lo]]
-        scores[hi:] = [-abs(s) for s in scores[hi:]]
-    return scores
+
+    def tag(name: str, text: str, within: bool) -> float:
+        other = _OTHER_BLOCK if name in BLOCKS else _OTHER_INLINE
+        return tags.get((name, text, within), tags.get((name, text, False), other))
+
+    return [tag(name, text, within) if name else word * len(text.split()) for (name, text), within in zip(toks, named(toks), strict=True)]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
