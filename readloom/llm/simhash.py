@@ -11,7 +11,10 @@ components in linear time.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; equal texts get equal fingerprints; repeated ids yield one
-row each; an empty table gives an empty result; other columns of the input are ignored.
+row each, and rows are linked by their texts alone, whatever their ids; a row without an id links like
+any other, and a group of such rows only has no component id; of that group deduplication keeps one row
+(of the least hash of the text), of other groups the rows with the smallest id; an empty table gives an
+empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -54,15 +57,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text, as a signed long."""
+    """(doc_id, version, fp) of every row: version is a hash of the text, fp the fingerprint of all of it, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "version", "fp"])
             pa.default_memory_pool().release_unused()
 
-    return to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def block_count(n: int, distance: int = DISTANCE) -> int:
@@ -171,16 +174,32 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket_limit: int = BUCKET
     return pairs.union(stars)
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, bucket_limit: int) -> DataFrame:
+    """(doc_id, version, fp, centre, component_id) for every row; centre is the group's least fingerprint."""
+    prints = cut(fingerprints(docs, id_col, text_col))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance, bucket_limit))
+    centred = cut(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("centre")))
+    # written before it is joined, so that a large group's side can be split
+    named = cut(centred.groupBy("centre").agg(F.min("least").alias("component_id")))
+    return prints.join(centred.select("fp", "centre").join(named, "centre"), "fp")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the smallest id reachable."""
-    prints = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    found = components(links(nodes, distance, bucket_limit))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, distance, bucket_limit).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; equal rows with that id all stay."""
-    first = groups(docs, id_col, text_col, distance).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(first, id_col, "left_semi")
+    """The rows of ``docs`` whose id is the smallest of its group, which all stay, and one row of each group without ids."""
+    rows = cut(_grouped(docs, id_col, text_col, distance, BUCKET_LIMIT).select("doc_id", "version", "centre", "component_id"))
+    first = rows.where("doc_id = component_id").select(F.col("doc_id").alias("\x00id"), F.col("version").alias("\x00version")).distinct()
+    alone = rows.where("component_id is null").groupBy("centre").agg(F.min("version").alias("\x00version")).select("\x00version")
+    keyed = docs.withColumns({"\x00key": F.col(id_col).cast("long"), "\x00hash": F.xxhash64(text_col)})
+    same = F.col("`\x00hash`") == F.col("`\x00version`")
+    named = keyed.join(first, (F.col("`\x00key`") == F.col("`\x00id`")) & same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = keyed.where("`\x00key` is null").join(alone, same, "left_semi")
+    # equal texts: of these rows the one that is least as JSON
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rest.groupBy("`\x00hash`").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return named.unionAll(one)
