@@ -2,7 +2,8 @@
 
 A line is the set of its words, held as their 64-bit hashes; two lines match if the Jaccard similarity
 of their sets is at least the threshold.  A line is removed if it matches any line before it, in the
-order of (document id, line number); lines without a word always stay.
+order of (document id, hash of the text, line number), where the hash only counts among rows that share
+an id or have none; lines without a word always stay.
 
 Lines of one word set are one *form*, at the place of the first of them, so copies cost nothing but a
 row.  The words of a form are ordered by rarity, taken from a fixed-size table of counts over all words;
@@ -13,9 +14,9 @@ sketch of the sets (whose differing bits are at most the sets' differing words)
 of the whole sets.
 
 Only DataFrame operations are used.  Defined results: a null text has no lines and stays null; a text
-whose lines are all removed becomes empty; rows of one id are one document, so lines at the same number
-in them are not held against each other; null ids come first; an empty table gives an empty result; other
-columns stay as they are.
+whose lines are all removed becomes empty; rows of one id that differ in text are documents of their own,
+equal ones are one, so that neither loses lines to the other, and so are rows without an id; null ids come
+first; an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -81,11 +82,15 @@ class _Sieve:
     def _spot(self, *cols: str) -> Column:
         return F.xxhash64(*cols).bitwiseAND(F.lit((1 << self.BITS) - 1))
 
-    def split(self, rows: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
-        """The rows that may be among those the filter was made of, and those that are not."""
+    def hit(self, *cols: str) -> Column:
+        """Whether a row may be among those the filter was made of."""
         spot = self._spot(*cols)
         entry = F.get(self.table.scalar(), F.shiftright(spot, 6).cast("int"))
-        hit = F.call_function("shiftright", entry, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return F.call_function("shiftright", entry, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def split(self, rows: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
+        """The rows that may be among those the filter was made of, and those that are not."""
+        hit = self.hit(*cols)
         return rows.where(hit), rows.where(~hit)
 
 
@@ -94,13 +99,28 @@ def prefix_length(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
 
 
-def _lines(docs: DataFrame, id_col: str) -> DataFrame:
+#: A line's place.  row is the hash of the text where rows may share the id, else 0, which costs shuffles next to nothing.
+PLACE = ("doc", "row", "line")
+
+
+def _rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """(doc, row, version, text) for every row."""
     some = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text"))
-    return some.select("doc", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    shared = _Sieve(some.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "doc")
+    return some.select("doc", F.when(shared.hit("doc"), F.xxhash64("text")).otherwise(0).alias("row"), F.xxhash64("text").alias("version"), "text")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select("doc", "row", "version", F.posexplode(F.split("text", "\n")).alias("line", "s"))
 
 
 def _after(a: str, b: str) -> Column:
-    return (F.col(f"{a}.doc") > F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.line") > F.col(f"{b}.line")))
+    return _beyond([F.col(f"{a}.{c}") for c in PLACE], [F.col(f"{b}.{c}") for c in PLACE])
+
+
+def _beyond(a: list[Column], b: list[Column]) -> Column:
+    """Whether place a comes after place b."""
+    return (a[0] > b[0]) | ((a[0] == b[0]) & ((a[1] > b[1]) | ((a[1] == b[1]) & (a[2] > b[2]))))
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
@@ -117,20 +137,21 @@ def _possible(a: str, b: str, threshold: float) -> Column:
 
 
 def _pairs(near: DataFrame) -> DataFrame:
-    """(doc, line, doc2, line2): each pair of a join of later (a) and earlier (b) forms once."""
-    return cut(near.select("a.doc", "a.line", F.col("b.doc").alias("doc2"), F.col("b.line").alias("line2")).distinct())
+    """(*PLACE, *PLACE2): each pair of a join of later (a) and earlier (b) forms once."""
+    return cut(near.select(*[f"a.{c}" for c in PLACE], *[F.col(f"b.{c}").alias(f"{c}2") for c in PLACE]).distinct())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str) -> DataFrame:
-    """(doc, line) of the later forms of candidate pairs (doc, line, doc2, line2) whose whole sets match."""
-    wanted = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct()
+def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The places of the later forms of candidate pairs (*PLACE, *PLACE2) whose whole sets match."""
+    place2 = [f"{c}2" for c in PLACE]
+    wanted = pairs.select(*PLACE).union(pairs.select(*place2)).distinct()
     wanted = cut(wanted)
-    text = _Sieve(wanted, "doc", "line").split(_lines(docs, id_col).where("s <> ''").select("doc", "line", "s"), "doc", "line")[0].join(wanted, ["doc", "line"])
-    sets = cut(text.select("doc", "line", F.array_distinct(F.transform(F.array_remove(_words(F.col("s")), ""), lambda w: F.xxhash64(w))).alias("words")))
-    other = sets.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
-    both = pairs.join(sets, ["doc", "line"]).join(other, ["doc2", "line2"])
+    text = _Sieve(wanted, *PLACE).split(_lines(rows).where("s <> ''").select(*PLACE, "s"), *PLACE)[0].join(wanted, [*PLACE])
+    sets = cut(text.select(*PLACE, F.array_distinct(F.transform(F.array_remove(_words(F.col("s")), ""), lambda w: F.xxhash64(w))).alias("words")))
+    other = sets.select(*[F.col(c).alias(f"{c}2") for c in PLACE], F.col("words").alias("words2"))
+    both = pairs.join(sets, [*PLACE]).join(other, place2)
     common = F.size(F.array_intersect("words", "words2"))
-    return both.where(common >= F.lit(threshold) * (F.size("words") + F.size("words2") - common) - F.lit(1e-9)).select("doc", "line").distinct()
+    return both.where(common >= F.lit(threshold) * (F.size("words") + F.size("words2") - common) - F.lit(1e-9)).select(*PLACE).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", bits: int = RARITY_BITS) -> DataFrame:
@@ -138,12 +159,13 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     doc is the id (the least long for null) and version a hash of the text."""
     docs = docs.select(F.col(id_col), F.col("text"))
+    rows = _rows(docs, id_col)
     keys = F.col("keys")
     turn = rarity(docs, bits)
     # the optimizer puts the subquery in the place of the column, so no row holds the array
     # blank lines go by their text: a condition on the words would compute them once more
-    worded = _lines(docs, id_col).where(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
-    lines = worded.select("*", turn.scalar().alias("turn")).select("doc", "version", "line", _ordered(F.col("s"), F.col("turn"), bits).alias("keys"))
+    worded = _lines(rows).where(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
+    lines = worded.select("*", turn.scalar().alias("turn")).select(*PLACE, "version", _ordered(F.col("s"), F.col("turn"), bits).alias("keys"))
 
     def parity(words: Column) -> Column:
         return F.aggregate(words, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
@@ -154,38 +176,38 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     sketches = [F.when(long, parity(halves[0])).otherwise(parity(keys)).alias("bits"), F.when(long, parity(halves[1])).otherwise(0).alias("odd")]
     # the prefix, and never less than the words that lead
     first = F.when(F.size(keys) > 3, F.transform(F.slice(keys, F.lit(1), F.greatest(prefix_length(F.size(keys), threshold), F.lit(LEADS))), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    wide = cut(lines.select("doc", "version", "line", F.size(keys).alias("n"), F.xxhash64("keys").alias("sig1"), F.xxhash64("keys", F.lit(1)).alias("sig2"), *sketches, first.alias("first")))
-    forms = cut(wide.groupBy("sig1", "sig2").agg(F.min(F.struct("doc", "line", "n", "bits", "odd", "first")).alias("f"), F.count("*").alias("copies")).select("sig1", "sig2", "f.*", "copies"))
-    lines = cut(wide.select("doc", "version", "line", "sig1", "sig2"))
+    wide = cut(lines.select(*PLACE, "version", F.size(keys).alias("n"), F.xxhash64("keys").alias("sig1"), F.xxhash64("keys", F.lit(1)).alias("sig2"), *sketches, first.alias("first")))
+    forms = cut(wide.groupBy("sig1", "sig2").agg(F.min(F.struct(*PLACE, "n", "bits", "odd", "first")).alias("f"), F.count("*").alias("copies")).select("sig1", "sig2", "f.*", "copies"))
+    lines = cut(wide.select(*PLACE, "version", "sig1", "sig2"))
     del wide
 
     mixed = F.sort_array(F.transform("first", lambda k: F.xxhash64(k)))
     leads = F.array(*[F.xxhash64(F.get("mixed", F.lit(i)), F.get("mixed", F.lit(j))) for j in range(LEADS) for i in range(j)])
-    lead = forms.where("first is not null").withColumn("mixed", mixed).select("doc", "line", "n", "bits", "odd", F.lit(0).alias("at"), F.explode(leads).alias("key"))
-    head = lead.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "bits", "odd", "at")).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "m", "r.*")
+    lead = forms.where("first is not null").withColumn("mixed", mixed).select(*PLACE, "n", "bits", "odd", F.lit(0).alias("at"), F.explode(leads).alias("key"))
+    head = lead.groupBy("key").agg(F.min(F.struct(*PLACE, "n", "bits", "odd", "at")).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "m", "r.*")
     head = cut(head)
     near = lead.alias("a").join(head.alias("b"), "key").where(_after("a", "b") & _possible("a", "b", threshold))
-    settled = cut(_verified(_pairs(near), docs, threshold, id_col))
+    settled = cut(_verified(_pairs(near), rows, threshold))
 
     # in a crowd the earliest form may lie at the edge: those left are held against the earliest of each slice of it
     crowds = cut(head.where(F.col("m") > CROWD).select("key"))
     crowd = cut(_Sieve(crowds, "key").split(lead, "key")[0].join(crowds, "key"))
-    part = F.pmod(F.xxhash64("doc", "line"), F.lit(SLICES))
-    heads = crowd.groupBy("key", part.alias("part")).agg(F.min(F.struct("doc", "line", "n", "bits", "odd", "at")).alias("r")).select("key", "r.*")
-    left = crowd.join(settled, ["doc", "line"], "left_anti")
+    part = F.pmod(F.xxhash64(*PLACE), F.lit(SLICES))
+    heads = crowd.groupBy("key", part.alias("part")).agg(F.min(F.struct(*PLACE, "n", "bits", "odd", "at")).alias("r")).select("key", "r.*")
+    left = crowd.join(settled, [*PLACE], "left_anti")
     near = left.alias("a").join(heads.alias("b"), "key").where(_after("a", "b") & _possible("a", "b", threshold))
-    settled = cut(settled.union(_verified(_pairs(near), docs, threshold, id_col)))
+    settled = cut(settled.union(_verified(_pairs(near), rows, threshold)))
 
-    marked = forms.where("first is not null").join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
+    marked = forms.where("first is not null").join(settled.withColumn("settled", F.lit(True)), [*PLACE], "left")
     prefix = F.slice("first", F.lit(1), prefix_length(F.col("n"), threshold))
-    marked = marked.select("doc", "line", "n", "bits", "odd", F.when(F.col("settled"), 0).otherwise(1).alias("open"), F.posexplode(prefix).alias("at", "key"))
+    marked = marked.select(*PLACE, "n", "bits", "odd", F.when(F.col("settled"), 0).otherwise(1).alias("open"), F.posexplode(prefix).alias("at", "key"))
     # the condition on the later form names both sides: pushed below the join, it would keep the sides from sharing one shuffle
     later_is_open = F.col("a.open") * 2 + F.col("b.open") >= 2
     near = marked.alias("a").join(marked.alias("b"), "key").where(later_is_open & _after("a", "b") & _possible("a", "b", threshold))
-    matched = settled.union(_verified(_pairs(near), docs, threshold, id_col)).withColumn("matched", F.lit(True))
+    matched = settled.union(_verified(_pairs(near), rows, threshold)).withColumn("matched", F.lit(True))
 
-    verdict = forms.join(matched, ["doc", "line"], "left").where("copies > 1 or matched").select("sig1", "sig2", F.col("doc").alias("doc1"), F.col("line").alias("line1"), "matched")
-    gone = lines.join(verdict, ["sig1", "sig2"]).where(F.col("matched").isNotNull() | (F.col("doc") > F.col("doc1")) | ((F.col("doc") == F.col("doc1")) & (F.col("line") > F.col("line1"))))
+    verdict = forms.join(matched, [*PLACE], "left").where("copies > 1 or matched").select("sig1", "sig2", *[F.col(c).alias(f"{c}1") for c in PLACE], "matched")
+    gone = lines.join(verdict, ["sig1", "sig2"]).where(F.col("matched").isNotNull() | _beyond([F.col(c) for c in PLACE], [F.col(f"{c}1") for c in PLACE]))
     return gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
