@@ -103,6 +103,14 @@ def prefix_length(n: Column, threshold: float) -> Column:
 PLACE = ("doc", "row", "line")
 
 
+def least_joined(threshold: float) -> int:
+    """The size from which on a set can match one that it does not equal: one of n words can match one of n + 1."""
+    n = 1
+    while n < (n + 1) * threshold - 1e-9 and threshold < 1:
+        n += 1
+    return n
+
+
 def _rows(docs: DataFrame, id_col: str) -> DataFrame:
     """(doc, row, version, text) for every row."""
     some = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text"))
@@ -175,7 +183,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     halves = [F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) == 0), F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) != 0)]
     sketches = [F.when(long, parity(halves[0])).otherwise(parity(keys)).alias("bits"), F.when(long, parity(halves[1])).otherwise(0).alias("odd")]
     # the prefix, and never less than the words that lead
-    first = F.when(F.size(keys) > 3, F.transform(F.slice(keys, F.lit(1), F.greatest(prefix_length(F.size(keys), threshold), F.lit(LEADS))), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    first = F.when(F.size(keys) >= least_joined(threshold), F.transform(F.slice(keys, F.lit(1), F.greatest(prefix_length(F.size(keys), threshold), F.lit(LEADS))), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
     wide = cut(lines.select(*PLACE, "version", F.size(keys).alias("n"), F.xxhash64("keys").alias("sig1"), F.xxhash64("keys", F.lit(1)).alias("sig2"), *sketches, first.alias("first")))
     forms = cut(wide.groupBy("sig1", "sig2").agg(F.min(F.struct(*PLACE, "n", "bits", "odd", "first")).alias("f"), F.count("*").alias("copies")).select("sig1", "sig2", "f.*", "copies"))
     lines = cut(wide.select(*PLACE, "version", "sig1", "sig2"))

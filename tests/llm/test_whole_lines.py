@@ -49,3 +49,11 @@ def test_shared_and_missing_ids_by_brute_force(spark, seed):
         rows.append((r.choice((None, None, 1, 2, 3, *range(10, 40))), "\n".join(lines)))
     rows += rows[:3]
     assert result(spark, rows) == cleaned(spark, rows)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.66, 0.75, 0.8, 1.0])
+def test_short_lines_at_any_threshold(spark, threshold):
+    assert [L.least_joined(x) for x in (0.5, 0.66, 0.75, 0.8, 0.9)] == [1, 2, 3, 4, 9]
+    rows = [(1, "a b c"), (2, "a b c d"), (3, "e f"), (4, "e f g"), (5, "h"), (6, "h i"), (7, "j k l m n"), (8, "j k l m n o")]
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == cleaned(spark, rows, threshold)
