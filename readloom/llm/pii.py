@@ -33,6 +33,8 @@ HIDDEN = 16
 CODES = 131  # ASCII, other letters, other characters, padding
 PAD = 130
 TRAIN_DOCS = 300
+#: Of each of them, so many characters give the words around the generated sentences.
+TRAIN_CHARS = 4_000
 TRAIN_WINDOWS = 5000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -266,7 +268,7 @@ def _insert(r: random.Random) -> tuple[str, int]:
 def labelled(texts: list[str], n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Windows of codes and tags: words of the texts, and spans and look-alikes at known places."""
     r = random.Random(seed)
-    words = [w for t in texts for w in t[:4000].split() if not _TRIGGER.search(w)] or ["lorem", "ipsum", "dolor"]
+    words = [w for t in texts for w in t.split() if not _TRIGGER.search(w)] or ["lorem", "ipsum", "dolor"]
     x, y = np.full((n, WINDOW), PAD, np.int16), np.zeros((n, WINDOW), np.int16)
     for row in range(n):
         text, tags = "", []
@@ -289,9 +291,9 @@ def labelled(texts: list[str], n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[
     return x, y
 
 
-def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS) -> Tagger:
-    """A tagger whose sentences come from at most ``max_docs`` documents: those of the smallest id hashes."""
-    rows = sample(docs.where("text is not null").withColumn("text", F.substring("text", 1, 4000)), max_docs, "text")
+def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS, chars: int = TRAIN_CHARS) -> Tagger:
+    """A tagger whose sentences come from the first ``chars`` characters of at most ``max_docs`` documents: those of the smallest id hashes."""
+    rows = sample(docs.where("text is not null").withColumn("text", F.substring("text", 1, chars)), max_docs, "text")
     return fit(*labelled([text for _, text in rows], windows))
 
 
