@@ -1,14 +1,17 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
-A page is read as a row of tokens: words and tags.  Words score positive and tags negative, with weights
-that are log-odds estimated from labelled pages, tags within an article or main element apart from others;
-the contiguous run with the greatest sum (found in one linear scan) is the content region.  Parts that are never article text (menus, notices, adverts, forms,
-scripts, comments of readers and the like, by their tag, role, class or id) are left out of the scan and of
-the text.  The region's blocks are joined in page order.
-
-Defined results: a null or empty page, and a page without words outside such parts, has the empty text;
-unclosed and misnested tags are closed where HTML closes them; equal pages get equal texts; repeated rows
-get one result each; an empty table gives an empty result.
+A page is read as a row of tokens: words and tags.  Words score positive and tags negative, and the
+contiguous run with the greatest sum (found in one linear scan) is the content region, whose blocks are
+joined in page order.  All weights are log-odds estimated from labelled pages (``labelled_pages``).  A tag's
+weight depends on its name, on whether it lies in an article or main element, and on whether its element
+or one around it is boilerplate by the evidence of its name, role and the words of its class and id; words
+of such elements score nothing and are not shown, so that an advert within the article costs its two tags.
+
+Defined results: a null or empty page, and a page without words outside of boilerplate, has the empty text;
+what HTML does not render as text (scripts, styles, form controls, hidden elements) never shows; unclosed and
+misnested tags are closed where HTML closes them, a tag or comment without an end runs to the page's end;
+equal pages get equal texts; repeated rows get one result each; columns but page_id, url and html are ignored;
+an empty table gives an empty result.  The time is linear in the length of the page.
 """
 
 from __future__ import annotations
@@ -16,185 +19,340 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import to_python
+from .common import give_back, to_python
 
 # Element names of HTML.  Fixed values.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr frame".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements whose text is never shown as article text.
-HIDDEN = frozenset("head script style noscript template textarea title xmp iframe noembed noframes svg math canvas audio video object select button input datalist form nav aside footer menu dialog".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in class or id that mark a part as none of the article.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot adbanner banner sponsor sponsored promo promotion promoted nav navbar navigation navi menu menubar breadcrumb breadcrumbs crumbs sidebar side aside rail footer foot footnotes masthead topbar toolbar header siteheader comment comments commentlist discussion disqus respond reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations widget skip pagination pager copyright legal disclaimer form search searchbox tags hidden".split()
-)
-#: Marks that an article's own parts may carry too: not heeded inside of an article.
-_SOFT = frozenset("header side form hidden tags legal foot".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements whose content HTML does not render as text of the page.
+UNSEEN = frozenset("head script style noscript template textarea title xmp iframe noembed noframes svg math canvas audio video object select button input datalist".split())
+
+_OPEN = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+_STOP = re.compile(r"=\s*+([\"'])|>")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT_MARK = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+_UNSHOWN = re.compile(r"display\s*+:\s*+none")
 _WHITE = re.compile(r"\s+")
 #: An open p is closed by these; so are open items by the next of their kind.
 _CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "title", "noscript"}
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("ul ol dl table td th body article main section div aside nav blockquote form figure".split())
-
-Event = tuple[str, str]  # ("w", text) or (tag's name, "" or "/")
+_NAMED = ("article", "main")
 
 
-def _attributes(raw: str) -> dict[str, str]:
+def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip() else {}
 
 
-def is_boilerplate(name: str, raw: str, inside: bool) -> bool:
-    """Whether an element with these attributes (as written) is none of the article; inside: it lies in an article."""
-    if name in HIDDEN:
-        return True
-    if name == "header" and not inside:
-        return True
-    if not raw or "=" not in raw and "hidden" not in raw:
-        return False
-    attrs = _attributes(raw)
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
-    words = {w.lower() for w in _SPLIT_MARK.split(f"{attrs.get('class', '')} {attrs.get('id', '')}") if w}
-    return bool(words & (MARKS - _SOFT if inside else MARKS))
-
-
-def events(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(tag or "", text or "/" or "", shown) in page order; a text's character references are decoded."""
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are boilerplate
-    hidden, inside, at, size = 0, 0, 0, len(page)
-
-    def shut(depth: int) -> Iterator[tuple[str, str, bool]]:
-        nonlocal hidden, inside
-        while len(stack) > depth:
-            name, bad = stack.pop()
-            yield name, "/", hidden == 0
-            hidden -= bad
-            inside -= name in ("article", "main")
-
-    while at < size:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else size]
-        if text and not hidden:
-            yield "", html.unescape(text), True
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA[") and not hidden:
-                yield "", m[0][9:].removesuffix("]]>"), True
-            continue
-        name, raw = m[2].lower(), m[3]
-        if m[1]:
-            where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if where >= 0 and (name in BLOCKS or not any(x in _SCOPES for x, _ in stack[where + 1 :])):
-                yield from shut(where)
-            elif name == "p" and not hidden:
-                yield "p", "", True
-                yield "p", "/", True
-            continue
-        if name in _CLOSES_P or name in _SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                open_name = stack[k][0]
-                if open_name in _SIBLINGS.get(name, ()) or open_name == "p" and name in _CLOSES_P:
-                    yield from shut(k)
-                    break
-                if open_name in _SCOPES and not (open_name in ("td", "th") and name == "tr"):
-                    break
-        bad = is_boilerplate(name, raw, inside > 0)
-        yield name, "", not (hidden or bad)
-        if name in VOID:
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])|\Z", re.I).search(page, at)
-            at = end.start()
-            close = page.find(">", at)
-            at = size if close < 0 else close + 1
-            continue
-        if raw.rstrip().endswith("/") and name not in BLOCKS:
-            continue
-        stack.append((name, bad))
-        hidden += bad
-        inside += name in ("article", "main")
-    yield from shut(0)
-
-
-def tokens(page: str) -> list[tuple[str, str]]:
-    """The shown tokens: ("", text), (name, "") where a tag opens and (name, "/") where it closes."""
-    return [(name, text) for name, text, shown in events(page) if shown]
-
-
-# -- weights ----------------------------------------------------------------------------------------
-
-
-def labelled_pages() -> list[tuple[str, str]]:
-    """Pages with the marks ``[[`` and ``]]`` where the content begins and ends, of a few usual shapes."""
+class Page:
+    """A page's tokens and elements, in page order.
+
+    tokens: ("", text, element), (name, "", element) where a tag opens and (name, "/", element) where it closes.
+    elements: (name, attributes as written, parent, lies in an article or main element); holds: those with an article or main within."""
+
+    def __init__(self, page: str) -> None:
+        self.tokens: list[tuple[str, str, int]] = []
+        self.elements: list[tuple[str, str, int, bool]] = [("", "", -1, False)]
+        self.holds: set[int] = set()
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        add, elements = self.tokens.append, self.elements
+        stack: list[tuple[str, int]] = []  # open elements
+        places: dict[str, list[int]] = defaultdict(list)  # of each name, where it is in the stack
+        scopes: list[int] = []
+        unseen = named = 0
+        at, size, last = 0, len(page), {q: page.rfind(q) for q in "\"'"}
+
+        def shut(depth: int) -> None:
+            nonlocal unseen, named
+            while len(stack) > depth:
+                name, ident = stack.pop()
+                places[name].pop()
+                if name in _SCOPES:
+                    scopes.pop()
+                if not unseen:
+                    add((name, "/", ident))
+                unseen -= name in UNSEEN
+                named -= name in _NAMED
+
+        def text(part: str) -> None:
+            if part and not unseen:
+                add(("", part, stack[-1][1] if stack else 0))
+
+        while at < size:
+            m = _OPEN.search(page, at)
+            text(html.unescape(page[at : m.start() if m else size]))
+            if not m:
+                break
+            at = m.end()
+            if not m[2]:
+                if m[0] == "<!--":
+                    quick = page.startswith((">", "->"), at)
+                    end = page.find(">", at) + 1 if quick else e.end() if (e := _COMMENT_END.search(page, at)) else size
+                elif m[0] == "<![CDATA[":
+                    end = page.find("]]>", at)
+                    text(page[at : end if end >= 0 else size])
+                    end = end + 3 if end >= 0 else size
+                else:
+                    end = page.find(">", at) + 1 or size
+                at = end
+                continue
+            # the tag's end: quotes count where a value begins, if they are closed at all
+            pos = at
+            while (stop := _STOP.search(page, pos)) and stop[1]:
+                pos = page.find(stop[1], stop.end()) + 1 if stop.end() <= last[stop[1]] else stop.end()
+            raw = page[at : stop.start() if stop else size]
+            at = stop.end() if stop else size
+            name = m[2].lower()
+            if m[1]:
+                if places[name] and (name in BLOCKS or not scopes or scopes[-1] <= places[name][-1]):
+                    shut(places[name][-1])
+                elif name == "p" and not places[name] and not unseen:
+                    here = stack[-1][1] if stack else 0
+                    self.tokens += [("p", "", here), ("p", "/", here)]
+                continue
+            if name in _CLOSES_P or name in _SIBLINGS:
+                near = max((places[n][-1] for n in (*_SIBLINGS.get(name, ()), *(("p",) if name in _CLOSES_P else ())) if places[n]), default=-1)
+                if near >= 0 and near >= (scopes[-1] if scopes else 0):
+                    shut(near)
+            parent = stack[-1][1] if stack else 0
+            ident = len(elements)
+            elements.append((name, raw, parent, named > 0))
+            gone = unseen > 0 or name in UNSEEN
+            if not gone:
+                add((name, "", ident))
+            if name in VOID:
+                continue
+            if name in RAW:
+                close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                end = page.find(">", close.end()) if close else -1
+                at = end + 1 if end >= 0 else size
+                continue
+            if raw.rstrip().endswith("/") and name not in BLOCKS:
+                continue
+            if name in _NAMED:
+                while parent > 0 and parent not in self.holds:
+                    self.holds.add(parent)
+                    parent = elements[parent][2]
+                named += 1
+            if name in _SCOPES:
+                scopes.append(len(stack))
+            places[name].append(len(stack))
+            stack.append((name, ident))
+            unseen += name in UNSEEN
+        shut(0)
+
+
+# -- labelled pages and what is learned from them ---------------------------------------------------
+
+#: Parts of pages that are none of the article, as they are marked up in practice: their opening tags and what they hold.
+_AROUND = """
+menu: nav | nav class="main-menu" | div class="navbar" | div id="nav" | ul class="navigation" | div role="navigation" | div class="breadcrumbs" | ul class="breadcrumb" | div class="menu" role="menu" | menu | div class="topbar" | div class="toolbar" role="toolbar" | div class="pagination" | div class="pager" | div class="skip" | nav class="navi crumbs" | div class="crumbs" | div class="navi"
+line: header | header class="site-header" | div id="header" | div class="masthead" role="banner" | header class="masthead" | footer | footer class="site-footer" | div id="footer" role="contentinfo" | div class="footer" | div class="copyright" | div class="legal disclaimer" | p class="copyright legal" | p class="disclaimer" | div class="siteheader" | header class="siteheader" | div class="foot" | p class="foot"
+aside: aside | aside class="sidebar" | div class="sidebar" role="complementary" | div id="sidebar" | div class="widget" | div class="related" | section class="related recommended" | div class="recommendations" | div class="recommended widget" | div class="rail" | section class="recommendations rail" | div class="side" | div class="tags" | div class="side tags"
+line: div class="ad" | div id="ad-1" | div class="ads" | aside class="ads advert" | div class="advert" | div class="adverts" | div class="adverts advertisements" | div class="advertisements" | div class="advertisement" | section class="advertisement" | div class="advertising adslot" | div class="adsense adbox" | div class="adbox adslot" | div class="adsense advertising" | div class="sponsor" | div class="sponsored" | p class="sponsored sponsor" | div class="promo" | div class="promotion promo" | div class="promoted" | section class="promotion promoted" | div class="banner" | div id="banner"
+line: div class="cookie" | div class="cookies consent" | div id="cookie-consent" role="dialog" | div class="gdpr cookies" | dialog | div class="gdpr" role="alertdialog" | div class="notice" role="alert" | div class="notice" | div class="notices" | div class="notices notification" | div class="notification alert" | div class="alert" | div class="popup" | div class="modal popup" role="dialog" | div class="modal overlay" | div class="overlay"
+form: form | form role="search" | div class="search" role="search" | div class="searchbox search" | div class="searchbox" | div class="newsletter" | div class="newsletter subscribe" | form class="subscribe subscription" | div class="subscription signup" | div class="signup register" | div class="login" | form class="login register" | div class="share sharing" | div class="share social" | div class="social sharing" | div class="form"
+talk: section id="comments" | div class="comments" | div class="comment" | ol class="commentlist" | ol class="commentlist comment" | div id="disqus" | div class="disqus discussion" | section class="discussion" | div id="respond" | div class="respond reply" | div class="replies" | div class="reply replies"
+"""
+#: What surrounds and makes up articles, likewise.
+_WITHIN = """
+shape: article | div | main | section | div class="content" | article | div id="main-content" | div class="post" | main | div class="entry-content" | div class="site-content" | article class="post" | div class="story-body" | section class="site-main" | main id="content" | div class="text"
+page: div | div id="page" | div class="wrapper" | div class="container" | div class="page has-sidebar" | div class="layout with-sidebar" | section
+part: header | div class="header" | div class="side" | div class="legal" | div class="form" | p class="tags" | p class="foot" | blockquote | figure | section | header | div | p class="legal"
+"""
+
+
+def _spec(text: str) -> list[tuple[str, str]]:
+    return [(kind, tag.strip()) for kind, tags in (x.split(":", 1) for x in text.strip().splitlines()) for tag in tags.split(" | ")]
+
+
+def labelled_pages() -> list[str]:
+    """Pages with the marks ``[[`` and ``]]`` where the content begins and ends, and ``{{`` and ``}}`` around what is none of it in between."""
     words = "the of and lore that in for with main text line here one more part then".split()
     text = lambda n, k: " ".join(words[(i * 7 + k) % len(words)] for i in range(n))
     links = lambda n, k: "".join(f'<li><a href="/{i}">{text(1 + (i + k) % 2, i)}</a></li>' for i in range(n))
-    out = []
-    for k in range(24):
-        body = "".join(f"<p>{text(20 + (i * k) % 30, i)} <a href='/x'>{text(2, i)}</a> {text(9, k)}.</p>" + ("<blockquote><p>" + text(12, i) + "</p></blockquote>" if i % 3 == 2 else "") for i in range(2 + k % 5))
-        if k % 4 == 3:
-            body += "<ul>" + "".join(f"<li>{text(8 + i, k)}</li>" for i in range(3)) + "</ul>"
-        shape = ("<article>{}</article>", "<div>{}</div>", "<main><article>{}</article></main>", "<section><div>{}</div></section>", "<table><tr><td>{}</td></tr></table>")[k % 5]
-        article = shape.format(f"[[<h1>{text(5, k)}</h1>{body}]]")
-        menu = f"<ul>{links(4 + k % 6, k)}</ul>"
-        rest = f"<div><h3>{text(2, k)}</h3><ul>{links(5, k + 1)}</ul></div><div><a href='/'>{text(2, k)}</a> | <a href='/'>{text(1, k)}</a></div>"
-        out.append((f"<html><body><div>{menu}</div>{article}{rest if k % 2 else menu}</body></html>", shape))
+    wrap = lambda tag, inner: f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    def around(kind: str, tag: str, k: int) -> str:
+        inner = {
+            "menu": links(4 + k % 4, k) if tag.startswith(("ul", "menu")) else f"<ul>{links(4 + k % 4, k)}</ul>",
+            "line": f"{text(4 + k % 9, k)} <a href='/'>{text(2, k)}</a>",
+            "aside": f"<h3>{text(2, k)}</h3><ul>{links(4, k + 1)}</ul>",
+            "form": f"<label>{text(3, k)}</label><p>{text(5, k)}</p>",
+            "talk": "".join(f"<{x}><p>{text(6 + i, k)}</p></{x}>" for i, x in enumerate(("li", "li", "li") if tag.startswith("ol") else ("div", "div"))),
+        }[kind]
+        return wrap(tag, inner)
+
+    out, others = [], _spec(_AROUND)
+    shapes, pages, parts = ([tag for kind, tag in _spec(_WITHIN) if kind == x] for x in ("shape", "page", "part"))
+    for k in range(2 * len(others)):
+        body = "".join(f"<p>{text(20 + (i * k) % 30, i)} <a href='/x'>{text(2, i)}</a> <b>{text(1, k)}</b> {text(9, k)}.</p>" for i in range(2 + k % 5))
+        for tag in ("ul", "ol")[k % 2 : 2 if k % 3 else 1]:
+            body += wrap(tag, "".join(f"<li>{text(8 + i, k)} <a href='/x'>{text(1, i)}</a></li>" for i in range(3)))
+        if k % 5 < 3:
+            body += f"<h2>{text(3, k)}</h2><div><p>{text(14, k)}</p></div><h3>{text(4, k)}</h3><p>{text(12, k + 1)}</p>"
+        if k % 6 == 5:
+            body += f"<table><tr><td>{text(9, k)}</td><td>{text(7, k)}</td></tr></table>"
+        pick = [others[(k * 5 + i * 31) % len(others)] for i in range(4)]
+        shape = shapes[k % len(shapes)]
+        if shape.startswith(_NAMED):
+            body += wrap(parts[k // 2 % len(parts)], f"<p>{text(11, k)}</p>") + f"<p>{text(25, k + 1)}</p>"
+        if k % 3 == 0:
+            body += "{{" + around(*pick[3], k) + "}}" + f"<p>{text(30, k)}</p>"
+        article = wrap(shape, f"[[<h1>{text(5, k)}</h1>{body}]]")
+        plain = f"<div><a href='/'>{text(2, k)}</a> | <a href='/'>{text(1, k)}</a></div>" if k % 2 else f"<div><ul>{links(5, k)}</ul></div>"
+        out.append(f"<html><body>{around(*pick[0], k)}{wrap(pages[k % len(pages)], around(*pick[1], k + 1) + article)}{plain}{around(*pick[2], k + 2)}</body></html>")
     return out
 
 
-def named(toks: list[tuple[str, str]]) -> list[bool]:
-    """Whether each token lies within an article or main element; the element's own tags do not."""
-    out, depth = [], 0
-    for name, text in toks:
-        mark = name in ("article", "main")
-        depth -= mark and text == "/"
-        out.append(depth > 0)
-        depth += mark and text == ""
-    return out
+Feature = tuple[str, str]
+#: An element is boilerplate below this sum of log-odds; the odds for content count for little, but those of holding an article.
+_LIMIT, _MOST, _MOST_HOLDS, _SMALL = -2.6, 0.5, 2.5, 0.1
 
 
-@lru_cache(maxsize=1)
-def weights() -> tuple[float, dict[tuple[str, str, bool], float]]:
-    """Score of a word, and of each tag, within an article or main element or not: how much likelier it is inside of the content than outside, bounded by sign."""
-    inside, outside = Counter(), Counter()
-    for page, _ in labelled_pages():
-        on, toks = False, tokens(page)
-        for (name, text), within in zip(toks, named(toks), strict=True):
+@lru_cache(maxsize=4096)
+def features(name: str, raw: str) -> tuple[Feature, ...]:
+    """What an element says of itself.  The class of a whole page or article names all sorts of things and is not heeded."""
+    attrs = attributes(raw) if "=" in raw else {}
+    if name in ("html", "body", *_NAMED):
+        return (("name", name),)
+    words = {w.lower() for w in _SPLIT_MARK.split(f"{attrs.get('class', '')} {attrs.get('id', '')}") if w}
+    return (("name", name), *(("word", w) for w in sorted(words)), *(("role", w) for w in attrs.get("role", "").lower().split()))
+
+
+@lru_cache(maxsize=4096)
+def _hidden(raw: str) -> bool:
+    """Whether an element's attributes keep it from being rendered."""
+    attrs = attributes(raw) if "hidden" in raw or "none" in raw else {}
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_UNSHOWN.search(attrs.get("style", "")))
+
+
+class Learned:
+    """Log-odds of content: of an element's features, within an article or not; and of tokens."""
+
+    def __init__(self, pages: list[str]) -> None:
+        self.evidence: dict[tuple[Feature, bool], float] = {}
+        self.word, self.tags = 0.0, {}
+        read = [self._marked(p) for p in pages]
+        self._learn_elements(read)
+        self._learn_tokens(read)
+
+    @staticmethod
+    def _marked(source: str) -> tuple[Page, list[tuple[int, int]]]:
+        """A page; and of each token, the words of content in it and of anything else, the marks being taken out.  A tag counts as one word of the region that it is in."""
+        page, on, off, out = Page(source), False, False, []
+        for i, (name, text, ident) in enumerate(page.tokens):
             if name:
-                (inside if on else outside)[name, text, within] += 1
+                out.append((int(on), int(not on)))
                 continue
-            for w in text.replace("[[", " [[ ").replace("]]", " ]] ").split():
-                if w in ("[[", "]]"):
-                    on = w == "[["
+            good = bad = 0
+            for w in re.sub(r"(\[\[|\]\]|\{\{|\}\})", r" \1 ", text).split():
+                if w in ("[[", "]]", "{{", "}}"):
+                    on, off = (w == "[[", off) if w[0] in "[]" else (on, w == "{{")
+                elif on and not off:
+                    good += 1
                 else:
-                    (inside if on else outside)["", "w"] += 1
-    a, b = sum(inside.values()), sum(outside.values())
-    odds = lambda t: math.log((inside[t] + 1) / (a + 1) / ((outside[t] + 1) / (b + 1)))
-    word = max(odds(("", "w")), 0.1)
-    tags = {t: min(odds(t), -0.05) for t in {*inside, *outside} if t[0]}
-    return word, tags
+                    bad += 1
+            page.tokens[i] = ("", re.sub(r"\[\[|\]\]|\{\{|\}\}", " ", text), ident)
+            out.append((good, bad))
+        return page, out
+
+    def _learn_elements(self, read: list[tuple[Page, list[tuple[int, int]]]]) -> None:
+        """Each feature counts once a page for content, and once against it, by the elements that have it and hold words of one sort only.
+
+        Where no labelled article has a feature within its content, all that is known of the feature counts."""
+        counts: dict[tuple[Feature, bool], list[int]] = defaultdict(lambda: [0, 0])
+        for page, marks in read:
+            words = [[0, 0] for _ in page.elements]
+            for (name, _, ident), (good, bad) in zip(page.tokens, marks, strict=True):
+                if not name:
+                    words[ident][0] += good
+                    words[ident][1] += bad
+            for k in range(len(words) - 1, 0, -1):
+                for j in (0, 1):
+                    words[page.elements[k][2]][j] += words[k][j]
+            holds = {("holds", "article") for k in page.holds if words[k][0] > words[k][1]}
+            pure = {(f, page.elements[k][3], good == 0) for k, (good, bad) in enumerate(words) if k and (good > 0) != (bad > 0) and k not in page.holds for f in self._of(page, k)}
+            for f, named, against in pure | {(f, False, False) for f in holds}:
+                counts[f, named][against] += 1
+        for f, named in list(counts):
+            if named and not counts[f, True][0]:
+                counts[f, True] = [a + b for a, b in zip(counts[f, True], counts.get((f, False), [0, 0]), strict=True)]
+        self.evidence = {key: math.log((a + _SMALL) / (b + _SMALL)) for key, (a, b) in counts.items()}
+
+    @staticmethod
+    def _of(page: Page, k: int) -> tuple[Feature, ...]:
+        """An element's features; of one that holds an article, its class is not heeded."""
+        name, raw, _, _ = page.elements[k]
+        return (("name", name), ("holds", "article")) if k in page.holds else features(name, raw)
+
+    def score(self, found: tuple[Feature, ...], named: bool) -> float:
+        """What an element's features say together; what no labelled article has within counts as it does elsewhere."""
+        get = self.evidence.get
+        return sum(min(get((f, named), get((f, False), 0.0)), _MOST_HOLDS if f[0] == "holds" else _MOST) for f in found)
+
+    def boilerplate(self, page: Page) -> list[bool]:
+        """Of each element, whether it or one around it is none of the article."""
+        out = [False]
+        for k, (_, raw, parent, named) in enumerate(page.elements[1:], 1):
+            out.append(out[parent] or bool(raw) and _hidden(raw) or self.score(self._of(page, k), named) < _LIMIT)
+        return out
+
+    def _learn_tokens(self, read: list[tuple[Page, list[tuple[int, int]]]]) -> None:
+        inside, outside = Counter(), Counter()
+        for page, marks in read:
+            bad = self.boilerplate(page)
+            for (name, text, ident), (good, other) in zip(page.tokens, marks, strict=True):
+                if name or not bad[ident]:
+                    key = self._key(page, name, text, ident, bad) if name else ("", "w", False, False)
+                    inside[key] += good
+                    outside[key] += other
+        a, b = sum(inside.values()), sum(outside.values())
+        odds = lambda t: math.log((inside[t] + 1) / (a + 1) / ((outside[t] + 1) / (b + 1)))
+        self.word = max(odds(("", "w", False, False)), 0.1)
+        self.tags = {t: min(odds(t), -0.05) for t in {*inside, *outside} if t[0]}
+
+    @staticmethod
+    def _key(page: Page, name: str, text: str, ident: int, bad: list[bool]) -> tuple[str, str, bool, bool]:
+        """Tags of boilerplate are all alike: their names have been heeded."""
+        return "*" if bad[ident] else name, text, page.elements[ident][3], bad[ident]
+
+    def scores(self, page: Page, bad: list[bool]) -> list[float]:
+        """Weights of the tokens; a tag that no labelled page has there weighs as it does elsewhere."""
+        get, out = self.tags.get, []
+        for name, text, ident in page.tokens:
+            if not name:
+                out.append(0.0 if bad[ident] else self.word * len(text.split()))
+                continue
+            known = get(self._key(page, name, text, ident, bad))
+            if known is None:
+                known = get((name, text, not page.elements[ident][3], False))
+            if known is None:
+                known = _OTHER_BLOCK if name in BLOCKS else _OTHER_INLINE
+            out.append(known)
+        return out
 
 
-#: Of tags that no labelled page has.
+#: Of tags that no labelled page has: of blocks and of others.
 _OTHER_BLOCK, _OTHER_INLINE = -0.5, -0.05
 
 
+@lru_cache(maxsize=1)
+def learned() -> Learned:
+    return Learned(labelled_pages())
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
     """First and last + 1 of the contiguous run with the greatest positive sum; (0, 0) if there is none."""
     best, total, start, found = 0.0, 0.0, 0, (0, 0)
@@ -223,24 +381,22 @@ def blocks(toks: list[tuple[str, str]]) -> list[str]:
     return out
 
 
-def extract(page: str | None) -> str:
+def shown(page: Page) -> list[tuple[str, str]]:
+    """The tokens outside of boilerplate: ("", text), (name, "") where a tag opens and (name, "/") where it closes."""
+    bad = learned().boilerplate(page)
+    return [(name, text) for name, text, ident in page.tokens if not bad[ident]]
+
+
+def extract(page: str | None, weights: Learned | None = None) -> str:
     """The main text: its blocks, joined by empty lines."""
     if not page:
         return ""
-    toks = tokens(page)
-    lo, hi = best_run(token_scores(toks))
-    return "\n\n".join(blocks(toks[lo:hi]))
-
-
-def token_scores(toks: list[tuple[str, str]]) -> list[float]:
-    """Weights of the tokens; a tag that no labelled page has within an article weighs as it does elsewhere."""
-    word, tags = weights()
-
-    def tag(name: str, text: str, within: bool) -> float:
-        other = _OTHER_BLOCK if name in BLOCKS else _OTHER_INLINE
-        return tags.get((name, text, within), tags.get((name, text, False), other))
-
-    return [tag(name, text, within) if name else word * len(text.split()) for (name, text), within in zip(toks, named(toks), strict=True)]
+    weights = weights or learned()
+    read = Page(page)
+    bad = weights.boilerplate(read)
+    lo, hi = best_run(weights.scores(read, bad))
+    # the tags of boilerplate part blocks as any others do
+    return "\n\n".join(blocks([(name, text) for name, text, ident in read.tokens[lo:hi] if name or not bad[ident]]))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -252,5 +408,6 @@ def main_text(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 500)
                 texts = [extract(x) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        give_back()
 
     return to_python(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

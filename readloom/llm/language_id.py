@@ -9,11 +9,12 @@ Long texts would drown all else, since their characters are not independent; the
 per trigram therefore counts for at most ``MOST`` trigrams.
 
 The text model is trained on at most ``max_docs`` documents of each labelled language (those of the smallest id
-hashes).
+hashes), of at most ``max_languages`` languages (those with the most rows).
 
 Defined results: a null text or page has no text evidence; a missing declaration, suffix or host counts for
 nothing; with no evidence at all the language with the greatest prior wins, ties go to the first by
-code; an empty training table gives null languages; repeated rows get one result each.
+code; an empty training table gives null languages; repeated rows get one result each; columns that are not
+named here are ignored; an empty table gives an empty result.  The time is linear in the length of a page.
 """
 
 from __future__ import annotations
@@ -26,16 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, sample, to_python
-from .html_extract import tokens
+from .common import cut, give_back, sample_each, to_python
+from .html_extract import Page, attributes, shown
 
 BITS = 14
 MOST = 60
 MAX_DOCS = 150
 KAPPA = 8.0  # how many pages a prior is worth
 ALPHA = 0.5  # added to each count of a declaration or suffix
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
-_META = re.compile(r"<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+#: Languages of which there are more than so many have their most frequent ones modelled.
+MAX_LANGUAGES = 200
+_CODE = re.compile(r"\s*([A-Za-z]{2,8})")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -70,13 +72,24 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     return Model(languages, np.log(counts / counts.sum(0)))
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """From rows (doc_id, lang, text): at most ``max_docs`` of each language."""
-    labelled = docs.where("lang is not null and text is not null")
-    rows = []
-    for (lang,) in labelled.select("lang").distinct().orderBy("lang").collect():
-        rows += [(lang, text) for _, text in sample(labelled.where(F.col("lang") == lang), max_docs, "text")]
-    return fit(rows)
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
+    """From rows (doc_id, lang, text): at most ``max_docs`` of each language, of the ``max_languages`` with the most rows."""
+    labelled = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null")
+    known = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    return fit([(lang, text) for lang, _, text in sample_each(labelled.where(F.col("lang").isin(known)), "lang", max_docs, "text")])
+
+
+def declared(page: Page) -> str | None:
+    """The language that a page's html element names, else its content-language, in lower case."""
+    for wanted in ("html", "meta"):
+        for name, raw, _, _ in page.elements:
+            if name != wanted or "=" not in raw:
+                continue
+            attrs = attributes(raw)
+            said = (attrs.get("lang") or attrs.get("xml:lang")) if name == "html" else attrs.get("content") if attrs.get("http-equiv", "").lower() == "content-language" else None
+            if said and (m := _CODE.match(said)):
+                return m[1].lower()
+    return None
 
 
 def _scores(rows: DataFrame, model: Model, markup: bool) -> DataFrame:
@@ -90,11 +103,11 @@ def _scores(rows: DataFrame, model: Model, markup: bool) -> DataFrame:
                 part = batch.slice(at, 500)
                 said, score = [], []
                 for raw in part.column(len(keep)).to_pylist():
-                    found = (_LANG.search(raw) or _META.search(raw)) if markup and raw else None
-                    said.append(found[1].lower() if found else None)
-                    shown = " ".join(x for name, x in tokens(raw) if not name) if markup and raw else raw or ""
-                    score.append(shared.value.score(shown))
+                    page = Page(raw) if markup and raw else None
+                    said.append(declared(page) if page else None)
+                    score.append(shared.value.score(" ".join(x for name, x in shown(page) if not name) if page else raw or ""))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(said, pa.string()), pa.array([s.tolist() for s in score], pa.list_(pa.float64()))], [*keep, "declared", "loglik"])
+        give_back()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "content")
     return to_python(rows).select(*keep, "content").mapInArrow(run, f"{schema}, declared string, loglik array<double>")
