@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import to_python
+from .common import give_back, to_python
 
 # Element ids of the format.  Fixed values.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -177,8 +177,12 @@ def frame_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], i
     return sizes, at
 
 
+#: What the packet table's columns hold, and how deep elements may nest (the format's own parents nest four deep).
+_MOST_TRACK, _MOST_TIME, _DEEPEST = (1 << 31) - 1, (1 << 63) - 1, 64
+
+
 def read(data: bytes | None) -> Media:
-    """Walk all elements of a file."""
+    """Walk all elements of a file.  Where it is broken, or a number is out of the table's range, the walk ends with an error and keeps the packets so far."""
     out = Media()
     state = {"segment": 0, "time": 0, "track": {}, "cue": [0, 0, 0], "group": None}
 
@@ -186,6 +190,8 @@ def read(data: bytes | None) -> Media:
         track, at = _number(data, at, end, False)
         if at + 3 > end:
             raise Broken(f"a block ends early at {at}")
+        if track > _MOST_TRACK:
+            raise Broken(f"a track's number is out of range at {at}")
         offset, flags = struct.unpack_from(">hB", data, at)
         sizes, at = frame_sizes(data, at + 3, end, flags >> 1 & 3)
         start = (state["time"] + offset) * out.scale
@@ -194,7 +200,10 @@ def read(data: bytes | None) -> Media:
         first = at
         for size in sizes:
             # frames of a lace follow each other: by their samples where the codec is PCM
-            out.packets.append((track, start + step(at - first) if step else start, at, size, key, len(out.clusters) - 1))
+            when = start + step(at - first) if step else start
+            if not -_MOST_TIME <= when <= _MOST_TIME:
+                raise Broken(f"a time is out of range at {at}")
+            out.packets.append((track, when, at, size, key, len(out.clusters) - 1))
             at += size
 
     def leaf(ident: int, at: int, end: int) -> None:
@@ -229,13 +238,18 @@ def read(data: bytes | None) -> Media:
         if ident == TRACK:
             t = state["track"]
             width = max(1, t.get(CHANNELS, 1) * t.get(DEPTH, 8) // 8)
-            pcm = str(t.get(CODEC, "")).startswith("A_PCM") and t.get(RATE)
-            rate = t.get(RATE) or 1
+            rate = t.get(RATE) or 0.0
+            pcm = str(t.get(CODEC, "")).startswith("A_PCM") and 1e-3 <= rate <= 1e12
             out.tracks[t.get(NUMBER, 0)] = {"codec": t.get(CODEC), "type": t.get(TYPE), "rate": t.get(RATE), "channels": t.get(CHANNELS), "depth": t.get(DEPTH)} | ({"frame_ns": lambda n: round(n / width * 1e9 / rate)} if pcm else {})
         elif ident == CUE_PLACE:
-            out.cues.append(tuple(state["cue"]))
-
-    def walk(at: int, end: int, parent: int) -> int:
+            time, track, place = state["cue"]
+            if track > _MOST_TRACK or max(time, place) > _MOST_TIME:
+                raise Broken("a cue is out of range")
+            out.cues.append((time, track, place))
+
+    def walk(at: int, end: int, parent: int, depth: int = 0) -> int:
+        if depth > _DEEPEST:
+            raise Broken(f"elements nest too deep at {at}")
         while at < end:
             start = at
             ident, at = _number(data, at, end, True)
@@ -255,7 +269,7 @@ def read(data: bytes | None) -> Media:
                     state["track"] = {}
                 elif ident == BLOCK_GROUP:
                     state["group"] = len(out.packets)
-                at = walk(at, stop, ident if size == _UNKNOWN else 0)
+                at = walk(at, stop, ident if size == _UNKNOWN else 0, depth + 1)
                 closed(ident)
             elif not short:
                 leaf(ident, at, stop)
@@ -288,6 +302,7 @@ def packet_table(df: DataFrame, media_col: str, id_col: str) -> DataFrame:
                 packets = pa.array([[dict(zip(("track", "timestamp_ns", "offset", "size", "keyframe", "cluster"), p, strict=True)) for p in m.packets] for m in found], kind)
                 cues = pa.array([[dict(zip(("time", "track", "cluster_offset"), c, strict=True)) for c in m.cues] for m in found], cue)
                 yield pa.RecordBatch.from_arrays([part.column(0), packets, cues, pa.array([m.error for m in found], pa.string())], ["id", "packets", "cues", "error"])
+        give_back()
 
     kind_of = df.schema[id_col].dataType.simpleString()
     return to_python(df).select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, f"id {kind_of}, {PACKETS}")
@@ -329,5 +344,6 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [x.split()[0] for x in STORED.split(", ")])
+        give_back()
 
     return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED)
