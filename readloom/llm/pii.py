@@ -1,15 +1,19 @@
 """Personal data in texts: exact rules, and a character-level BiLSTM-CRF that adds what the rules miss.
 
-The rules find emails, addresses of hosts, card numbers (with a valid check digit) and phone numbers.  The tagger is a
+The rules find emails, addresses of hosts, card numbers (with a valid check digit) and phone numbers.  The
+tagger, which knows secrets (tokens, keys, passwords) too, is a
 bidirectional LSTM over characters whose tag sequence is scored by a CRF; it is trained here, in numpy,
 from labelled spans: sentences of a bounded sample of documents into which numbers and addresses of many
 shapes (and look-alikes that are none) are written at known places.  Texts are cut into overlapping
 windows on a fixed grid.  A span must hold a digit or an at sign, so windows with neither are left
-out.  Every character takes its tag from the decoded window in which it is most central; spans are read
-from the tags of the whole text, and those that touch a span of the rules are dropped.
+out.  Where windows overlap, their scores of a character are averaged, each by its distance from the
+window's edge, and one best tag sequence is found over each whole run of windows, so that no seam breaks
+a span.  Spans of the tagger that touch one of the rules are dropped.  A text is flagged if it has any span
+but cards whose check digit is not valid.
 
 Defined results: a null or empty text has no spans; equal texts get equal spans; repeated rows get one
-result each; an empty table gives an empty result; offsets are code points, ends exclusive.
+result each; an empty table gives an empty result; other columns than the id and the text are ignored;
+offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -17,17 +21,18 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sample, to_python
+from .common import give_back, sample, to_python
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
+FOUND = (*KINDS, "secret")  # the last by the tagger only
+TAGS = 1 + 2 * len(FOUND)  # O, then begin and inside of each kind
 WINDOW, STRIDE = 96, 48
 HIDDEN = 16
 CODES = 131  # ASCII, other letters, other characters, padding
@@ -69,7 +74,7 @@ def base_spans(text: str) -> list[Span]:
             out.append((left, 0, free := m.end()))
         at = text.find("@", m.end() if m else at + 1)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0]) if m.end() - m.start() < 40 else ""
@@ -148,18 +153,30 @@ def emissions(t: Tagger, hs: np.ndarray) -> np.ndarray:
 
 def viterbi(t: Tagger, e: np.ndarray) -> np.ndarray:
     """(B, T): each window's best tag sequence."""
-    n, b, _ = e.shape
-    score, back = e[0] + t.start, np.zeros((n, b, TAGS), np.int8)
-    for k in range(1, n):
-        step = score[:, :, None] + t.trans
-        back[k] = step.argmax(1)
-        score = step.max(1) + e[k]
-    out = np.zeros((b, n), np.int8)
-    out[:, -1] = score.argmax(1)
-    rows = np.arange(b)
-    for k in range(n - 1, 0, -1):
-        out[:, k - 1] = back[k][rows, out[:, k]]
-    return out
+    return decode(t, [e])
+
+
+def decode(t: Tagger, parts: Iterable[np.ndarray]) -> np.ndarray:
+    """(B, T): the best tag sequences of B texts whose emissions come in parts (T, B, TAGS)."""
+    score, backs = None, []
+    for e in parts:
+        back = np.zeros(e.shape, np.int8)
+        for k in range(len(e)):
+            if score is None:
+                score = e[0] + t.start
+                continue
+            step = score[:, :, None] + t.trans
+            back[k] = step.argmax(1)
+            score = step.max(1) + e[k]
+        backs.append(back)
+    out = np.zeros((sum(map(len, backs)), score.shape[0]), np.int8)
+    rows, tag, at = np.arange(score.shape[0]), score.argmax(1).astype(np.int8), len(out)
+    for back in reversed(backs):
+        for k in range(len(back) - 1, -1, -1):
+            at -= 1
+            out[at] = tag
+            tag = back[k][rows, tag]
+    return out.T
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -235,6 +252,8 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 96, rate: fl
 
 _PHONES = ("+# (###) ###-####", "+## ## #### ####", "(###) ###-####", "###-###-####", "+##-###-#######", "0## ### ## ##", "+# ### ### ####", "00## ### #######", "###.###.####")
 _CARDS = ("################", "#### #### #### ####", "####-####-####-####", "#### ###### #####", "###############", "###################", "####.####.####.####")
+_SECRETS = ("token", "key", "secret", "password", "api_key", "access token", "auth")
+_LETTERS = "0123456789" * 2 + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OTHER = ("version #.", "#.#", "##.##", "19##", "20##", "#,###", "##:##", "20##-0#-1#", "$##.##", "No. ####", "#####", "(#)", "#.#.#", "####/##", "##%", "ISBN ###-#-##", "@", "@ ##")
 
 
@@ -247,8 +266,8 @@ def _name(r: random.Random) -> str:
 
 
 def _insert(r: random.Random) -> tuple[str, int]:
-    """A text and the number of its kind, or -1 for a look-alike."""
-    kind = r.choice((0, 0, 1, 2, 2, 3, 3, -1, -1, -1))
+    """A text and the number of its kind, or -1 for a look-alike; of a secret, the part after the last blank, quote, colon or equals sign."""
+    kind = r.choice((0, 0, 1, 2, 2, 3, 3, 4, -1, -1, -1))
     if kind == 0:
         user = _name(r) + r.choice(("", ".", "_", "+")) + r.choice((_name(r), str(r.randrange(100))))
         return user + r.choice(("@", "@", "@", " @ ", "(@)")) + _name(r) + r.choice(("", str(r.randrange(10)), "-" + _name(r))) + "." + r.choice(("com", "org", "example.com", "example.net", "co.uk", "de")), 0
@@ -260,8 +279,11 @@ def _insert(r: random.Random) -> tuple[str, int]:
         return _digits(r, r.choice(_CARDS)), 2
     if kind == 3:
         return _digits(r, r.choice(_PHONES)), 3
-    if r.random() < 0.4:
-        return f'{r.choice(("token", "key", "id"))} = "{"".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64))))}"', -1
+    if kind == 4:
+        letters = r.choice(("0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", _LETTERS))
+        return r.choice(_SECRETS) + r.choice((" = ", "=", ": ", ":")) + r.choice(('"', "'", "")) + "".join(r.choice(letters) for _ in range(r.choice((24, 32, 40, 40, 48, 64)))), 4
+    if r.random() < 0.3:
+        return r.choice(("id", "part", "rev", "build", *_SECRETS)) + r.choice((" = ", "=", ": ")) + "".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 9))), -1
     return _digits(r, r.choice(_OTHER)), -1
 
 
@@ -280,11 +302,14 @@ def labelled(texts: list[str], n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[
                 part, kind = " ".join(words[at : at + r.randint(1, 8)]), -1
             part += r.choice(("", "", "", "", ".", ",", "!!", "***", "###"))[: 3 if kind < 0 else 3]
             size = len(part) if kind < 0 else len(part.rstrip(".,!*#"))
+            lead = max(part.rfind(c) for c in " \"':=") + 1 if kind == 4 else 0
+            if lead and part[lead - 1] in "\"'":
+                part, size = part[:size] + part[lead - 1] + part[size:], size
             if r.random() < 0.1:
                 part = part.upper()
             sep = r.choice((" ",) * 12 + ("\n", ": ", " | ", "  ", "\t", ", "))
             text += part + sep
-            tags += ([0] * len(part) if kind < 0 else [1 + 2 * kind] + [2 + 2 * kind] * (size - 1) + [0] * (len(part) - size)) + [0] * len(sep)
+            tags += ([0] * len(part) if kind < 0 else [0] * lead + [1 + 2 * kind] + [2 + 2 * kind] * (size - lead - 1) + [0] * (len(part) - size)) + [0] * len(sep)
         at = r.randrange(40)
         end = WINDOW if r.random() < 0.9 else r.randint(20, WINDOW)
         x[row, :end], y[row, :end] = codes(text[at : at + end]), tags[at : at + end]
@@ -300,33 +325,47 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, windows: int = TRAIN_WIND
 # -- whole texts ------------------------------------------------------------------------------------
 
 
+def _cells(t: Tagger, runs: list[tuple[np.ndarray, int]], windows: int, batch: int) -> Iterator[np.ndarray]:
+    """Emissions (T, B, TAGS) of B runs of so many windows each, which begin in their texts' codes where the runs say."""
+    step = max(1, batch // len(runs))
+    left = (np.arange(STRIDE, dtype=np.float32) + 1)[:, None, None] / (STRIDE + 1)  # how much the later window counts
+    before = None
+    for at in range(0, windows, step):
+        n = min(step, windows - at)
+        x = np.full((len(runs), (n + 1) * STRIDE), PAD, np.int16)
+        for row, (coded, start) in enumerate(runs):
+            piece = coded[start + at * STRIDE :][: x.shape[1]]
+            x[row, : len(piece)] = piece
+        cut = np.stack([x[:, k * STRIDE : k * STRIDE + WINDOW] for k in range(n)])
+        e = emissions(t, run_lstm(t, cut.reshape(-1, WINDOW))[0]).reshape(WINDOW, n, len(runs), TAGS)
+        for k in range(n):
+            now = e[:STRIDE, k] if before is None else e[:STRIDE, k] * left + before * (1 - left)
+            now[x[:, k * STRIDE : (k + 1) * STRIDE].T == PAD] = np.where(np.arange(TAGS) == 0, 50, 0)
+            yield now
+            before = e[STRIDE:, k].copy()
+    before[x[:, n * STRIDE :].T == PAD] = np.where(np.arange(TAGS) == 0, 50, 0)
+    yield before
+
+
 def tag_texts(t: Tagger, texts: list[str], batch: int = 512) -> list[np.ndarray]:
     """The tag of every character of every text."""
-    where: list[tuple[int, int]] = []
     coded = [codes(x) for x in texts]
+    runs: dict[int, list[tuple[int, int]]] = {}  # by their number of windows: text and first character
     for k, c in enumerate(coded):
-        hot = np.flatnonzero(((c >= 48) & (c <= 57)) | (c == 64))
-        cell = hot // STRIDE
-        where += [(k, int(s) * STRIDE) for s in np.unique(np.concatenate((cell, cell - 1))) if s >= 0]
+        hot = np.unique(np.flatnonzero(((c >= 48) & (c <= 57)) | (c == 64)) // STRIDE)
+        cells = np.unique(np.concatenate((hot, hot - 1)))
+        cells = cells[cells >= 0]
+        first = np.flatnonzero(np.diff(cells, prepend=-2) > 1)
+        for i, n in zip(first.tolist(), np.diff(first, append=len(cells)).tolist(), strict=True):
+            runs.setdefault(n, []).append((k, int(cells[i]) * STRIDE))
     out = [np.zeros(len(c), np.int8) for c in coded]
-    rank = [np.full(len(c), -1, np.int8) for c in coded]
-    middle = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.int8)
-    for at in range(0, len(where), batch):
-        part = where[at : at + batch]
-        x = np.full((len(part), WINDOW), PAD, np.int16)
-        for row, (k, s) in enumerate(part):
-            piece = coded[k][s : s + WINDOW]
-            x[row, : len(piece)] = piece
-        e = emissions(t, run_lstm(t, x)[0])
-        e[x.T == PAD] = np.where(np.arange(TAGS) == 0, 50, 0)
-        tags = viterbi(t, e)
-        for row, (k, s) in enumerate(part):
-            n = min(WINDOW, len(out[k]) - s)
-            # a window at the start of its text has no neighbour before it
-            mid = np.where(np.arange(n) < STRIDE // 2, STRIDE // 2, middle[:n]) if s == 0 else middle[:n]
-            better = mid > rank[k][s : s + n]
-            out[k][s : s + n][better] = tags[row, :n][better]
-            rank[k][s : s + n][better] = mid[better]
+    for n, group in runs.items():
+        many = max(1, batch // n)
+        for at in range(0, len(group), many):
+            part = group[at : at + many]
+            tags = decode(t, _cells(t, [(coded[k], s) for k, s in part], n, batch))
+            for (k, s), row in zip(part, tags, strict=True):
+                out[k][s : s + len(row)] = row[: len(out[k]) - s]
     return out
 
 
@@ -343,7 +382,10 @@ def tag_spans(text: str, tags: np.ndarray) -> Iterator[Span]:
             e -= 1
         while s < e and text[s].isspace():
             s += 1
-        if _TRIGGER.search(text, s, e) and (kind[s] != 1 or "@" in text[s:e]) and (kind[s] == 1 or sum(c.isdigit() for c in text[s:e]) >= 4):
+        part = text[s:e]
+        digits = re.sub("[^0-9]", "", part)
+        fits = ("@" in part, len(digits) >= 4, len(digits) >= 4, len(digits) >= 4, len(digits) >= 4 and e - s >= 16)
+        if e > s and fits[kind[s] - 1]:
             yield s, int(kind[s]) - 1, e
 
 
@@ -360,25 +402,33 @@ def find(t: Tagger | None, texts: list[str]) -> list[tuple[list[Span], list[Span
     return list(zip(base, whole, strict=True))
 
 
+def flagged(text: str, spans: list[Span]) -> bool:
+    """Whether any span is more than a number that looks like a card's."""
+    return any(FOUND[k] != "card" or luhn(re.sub("[^0-9]", "", text[s:e])) for s, k, e in spans)
+
+
 def show(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{FOUND[k]}:{s}:{e}" for s, k, e in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, flagged boolean"
 
 
 def scan(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """(doc_id, counts and digest of the rules' spans, all spans) for every row of (doc_id, text)."""
+    """(doc_id, counts and digest of the rules' spans, all spans, their number, ``flagged``) for every row of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 500):
                 part = batch.slice(at, 500)
-                found = find(shared.value, [x or "" for x in part.column(1).to_pylist()])
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                found = find(shared.value, texts)
                 counts = [pa.array([sum(k == j for _, k, _ in b) for b, _ in found], pa.int64()) for j in range(len(KINDS))]
                 digest = pa.array([hashlib.sha256(show(b).encode()).hexdigest() for b, _ in found], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array([show(w) for _, w in found], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                whole = [pa.array([show(w) for _, w in found], pa.string()), pa.array([len(w) for _, w in found], pa.int64()), pa.array([flagged(x, w) for x, (_, w) in zip(texts, found, strict=True)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, *whole], [x.split()[0] for x in SCHEMA.split(", ")])
+        give_back()
 
     return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
@@ -388,6 +438,6 @@ def mask(text: str, spans: list[Span]) -> str:
     out, at = [], 0
     for s, k, e in spans:
         if s >= at:
-            out += [text[at:s], f"<{KINDS[k]}>"]
+            out += [text[at:s], f"<{FOUND[k]}>"]
         at = max(at, e)
     return "".join([*out, text[at:]])
