@@ -33,7 +33,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's greater (large) or lesser (small) neighbours to the least of its neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written before it is joined, so that a hub's side of the join can be split
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     out = both.join(least, "u")
     if large:
         return out.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

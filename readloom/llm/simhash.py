@@ -14,7 +14,7 @@ fewer words than a shingle is one shingle; equal texts get equal fingerprints; r
 row each, and rows are linked by their texts alone, whatever their ids; a row without an id links like
 any other, and a group of such rows only has no component id; of that group deduplication keeps one row
 (of the least hash of the text), of other groups the rows with the smallest id; an empty table gives an
-empty result; other columns of the input are ignored.
+empty result; ids are whole numbers (others fail to cast to long); other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, to_python
+from .common import cut, give_back, to_python
 from .graph import components
 
 BITS = 64
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "version", "fp"])
             pa.default_memory_pool().release_unused()
+        give_back()
 
     return to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, version long, fp long")
 
