@@ -3,15 +3,15 @@
 Each source gets a target number of words: the total (a share of all words) is dealt by weight, targets
 stop at a multiple of the source's size, and what is over is dealt again by weight until none is above.
 A source's repetition rate is its target over its size; every document is emitted floor(rate) times and
-once more if a uniform number hashed from its id and text falls below the fraction.
+once more if a uniform number, hashed from its id (from its text where it has none), falls below the fraction.
 
 Only DataFrame operations are used.  The work per source happens on one row per source; ranks come from
 a distributed sort, and the level at which targets stop from a few one-row aggregates, so no task and
 no driver holds all sources.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents
-of size 0 are taken 0 times; equal rows share their draw; an empty table gives an empty result; other
-columns stay as they are in ``mix``.
+of size 0 are taken 0 times; rows of one id share their draw, and each goes by the rate of its own source; an
+empty table gives an empty result; other columns stay as they are in ``mix``.
 """
 
 from __future__ import annotations
@@ -58,30 +58,39 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return dealt.select("source", "source_size", target.alias("target"))
 
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for every document."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), "source", size_of(F.col("text")).alias("size"), draw.alias("draw")))
+def _planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, source, version, size, source_size, target, copies) for every document; version is a hash of its text."""
+    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), "source", F.xxhash64("text").alias("version"), size_of(F.col("text")).alias("size"), draw.alias("draw")))
     to = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     copies = F.when(F.col("size") > 0, whole + F.when(F.col("draw") < rate - whole, 1).otherwise(0)).otherwise(0).cast("long")
     s, t = sized.alias("s"), to.alias("t")
     out = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source")))
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "s.source", "version", "size", "source_size", "target", copies.alias("copies"))
+
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) for every document."""
+    return _planned(docs, weights, share, cap, seed, id_col).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    plan = taken(docs, weights, share, cap, seed, id_col).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("\x00copies"))
+    planned = _planned(docs, weights, share, cap, seed, id_col).where("copies > 0")
+    # rows of one id, source and text are taken alike
+    plan = planned.groupBy(F.col("doc_id").alias("\x00id"), F.col("source").alias("\x00source"), F.col("version").alias("\x00version")).agg(F.max("copies").alias("\x00copies"))
     d = docs.alias("d")
-    joined = d.join(plan.withColumnRenamed("doc_id", "\x00id"), F.col(f"d.{id_col}").eqNullSafe(F.col("`\x00id`")))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("`\x00id`")) & F.col("d.source").eqNullSafe(F.col("`\x00source`")) & (F.xxhash64("d.text") == F.col("`\x00version`"))
+    joined = d.join(plan, same)
     return joined.withColumn("\x00copy", F.explode(F.sequence(F.lit(1), F.col("`\x00copies`").cast("int")))).select("d.*")
 
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, text, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 src AS (
   SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -102,7 +111,7 @@ rated AS (
 drawn AS (
   SELECT s.doc_id, s.size, r.source_size, r.target,
     CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate,
-    CAST(CAST('0x' || substr(md5('mix-1:' || COALESCE(CAST(s.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS draw
+    CAST(CAST('0x' || substr(md5('mix-1:' || COALESCE(CAST(s.doc_id AS VARCHAR), md5(COALESCE(text, '')))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS draw
   FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN size > 0 THEN size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
