@@ -1,6 +1,6 @@
 """Chat formatting at the level of tokens.
 
-A conversation becomes one row of token ids: for every turn, reserved ids for its begin, between its
+A conversation becomes one run of token ids, held as a row per turn: for every turn, reserved ids for its begin, between its
 role and its text, and for its end, with the segments between them encoded on their own by a published
 byte-level vocabulary.  Reserved ids are spliced in and no text can produce them; in the text form of the
 template every control string begins with ``<|``, and segments are escaped so that none occurs in them

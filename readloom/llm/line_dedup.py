@@ -16,7 +16,8 @@ of the whole sets.
 Only DataFrame operations are used.  Defined results: a null text has no lines and stays null; a text
 whose lines are all removed becomes empty; rows of one id that differ in text are documents of their own,
 equal ones are one, so that neither loses lines to the other, and so are rows without an id; null ids come
-first; an empty table gives an empty result; other columns stay as they are.
+first; an empty table gives an empty result; ids are whole numbers (others fail to cast to long); other columns
+stay as they are.
 """
 
 from __future__ import annotations
