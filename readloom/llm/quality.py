@@ -4,7 +4,7 @@ The classifier is logistic regression over hashed word and character n-grams: th
 words of one weight per word, per adjacent word pair and per character n-gram (with word ends marked).
 Because the model is linear, every distinct word has one score, kept in a bounded memory; word pairs
 are scored with vectorised gathers.  It is trained on the driver with rows of a labelled table, at most
-``max_train`` of them (those of the smallest id hashes), and calibrated by Platt scaling on a held-out
+``max_train`` of them (those of the smallest id hashes; of rows that share an id, the least text), and calibrated by Platt scaling on a held-out
 fifth.  Scoring runs in Arrow batches over whole texts against a fixed threshold.
 
 Defined results: a null text counts as empty, has no words and fails the base rules; without usable
@@ -22,15 +22,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import to_python
+from .common import give_back, to_python
 
 DIM_BITS = 18
 CHAR_N = (2, 3, 4)
 MAX_TRAIN = 1200
 THRESHOLD = 0.3
+#: Texts whose words are in Python at once.
+_SLICE = 100
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\v\f\r"
-_MEMORY = 150_000
+#: About so many bytes of word scores are kept.
+_MEMORY, _ENTRY = 12_000_000, 250
 _MASK = np.uint64((1 << DIM_BITS) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
@@ -46,16 +49,19 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row of the word, feature) of each word's own weight and its character n-grams, which run over bytes."""
-    flat = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
-    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    """(row of the word, feature) of each word's own weight and its character n-grams."""
+    joined = b"".join(b"\x02" + w + b"\x03" for w in words)
+    flat = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begins = np.frombuffer(joined, np.uint8) & 0xC0 != 0x80  # of each character the first byte
+    length = np.add.reduceat(begins, np.cumsum(size) - size, dtype=np.int64) if len(words) else size
     start = np.cumsum(length) - length
     row = np.repeat(np.arange(len(words)), length)
     left = start[row] + length[row] - np.arange(len(flat))
     rows, feats = [np.arange(len(words))], [_mix(word_hashes(words) + np.uint64(1))]
     code = flat.copy()
     for n in range(2, max(CHAR_N) + 1):
-        code = code[:-1] * np.uint64(257) + flat[n - 1 :] if len(code) > 1 else code[:0]
+        code = code[:-1] * np.uint64(0x100000001B3) + flat[n - 1 :] if len(code) > 1 else code[:0]
         if n in CHAR_N:
             ok = np.flatnonzero(left[: len(code)] >= n)
             rows.append(row[ok])
@@ -147,20 +153,26 @@ class Scorer:
     """Scores texts with one model; holds a bounded memory of word scores."""
 
     def __init__(self, model: Model | None) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.held = model, {}, 0
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that the score and hash of every word are known."""
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _MEMORY:
-            self.known.clear()
+        size = lambda some: sum(map(len, some)) + _ENTRY * len(some)
+        if self.held + (more := size(new)) > _MEMORY:
+            self.forget()
             new = list(words)
+            more = size(new)
+        self.held += more
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             r, f = word_features(part)
             score = np.bincount(r, self.model.weights[f], len(part))
             self.known.update(zip(part, zip(score.tolist(), word_hashes(part).tolist(), strict=True), strict=True))
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
     def score(self, words: list[bytes], index: np.ndarray, distinct: list[bytes]) -> float:
         if not words:
             return 0.0
@@ -219,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         return None
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, quality int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"]).encode()), r["doc_id"]))
     return train([r["text"] for r in rows], [r["quality"] for r in rows])
 
@@ -251,13 +263,15 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, ke
             holder.append(Scorer(shared.value))
         scorer = holder[0]
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 500):
-                part = batch.slice(at, 500)
+            for at in range(0, max(batch.num_rows, 1), _SLICE):
+                part = batch.slice(at, _SLICE)
                 got, failed, p, kept = verdicts(scorer, part.column(0).to_pylist(), threshold)
                 counts = np.array([c for c, *_ in got], np.int64).reshape(-1, 5)
                 cols = [pa.array(counts[:, i]) for i in range(5)]
                 prob = pa.array([None if bad else float(x) for x, bad in zip(p, failed, strict=True)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols, pa.array(failed, pa.bool_()), prob, pa.array(kept, pa.bool_())], [*(f.name for f in fields), *new.names])
+        scorer.forget()
+        give_back()
 
     return to_python(source).mapInArrow(run, T.StructType([*fields, *new.fields]))
 
@@ -271,10 +285,12 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
         if not holder:
             holder.append(Scorer(shared.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
                 *_, kept = verdicts(holder[0], part.column(at_text).to_pylist(), threshold)
                 yield part.filter(pa.array(kept, pa.bool_()))
             pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
+        holder[0].forget()
+        give_back()
 
     return to_python(docs).mapInArrow(run, docs.schema)
