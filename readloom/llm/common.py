@@ -77,8 +77,11 @@ def sample_each(df: DataFrame, group: str, n: int, *cols: str, id_col: str = "do
     The ids are chosen first, so that no partition sends whole texts that are not wanted to the driver; of each
     group, a partition passes on no more than ``n`` ids."""
     ids = df.where(F.col(id_col).isNotNull()).select(group, id_col).distinct()
-    order = Window.partitionBy(group).orderBy(F.xxhash64(id_col), id_col)
-    chosen = [r[:2] for r in ids.withColumn("\x00k", F.row_number().over(order)).where(F.col("\x00k") <= n).orderBy(group, "\x00k").collect()]
+    by = [F.xxhash64(id_col), F.col(id_col)]
+    slices = ids.withColumn("\x00part", F.pmod(by[0], F.lit(64)))
+    # a large group is thinned in slices first
+    some = slices.withColumn("\x00k", F.row_number().over(Window.partitionBy(group, "\x00part").orderBy(*by))).where(F.col("\x00k") <= n).select(group, id_col)
+    chosen = [r[:2] for r in some.withColumn("\x00k", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("\x00k") <= n).orderBy(group, "\x00k").collect()]
     if not chosen:
         return []
     # n is a documented parameter, so the ids are few enough for a broadcast
