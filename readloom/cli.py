@@ -33,6 +33,7 @@ def _parser() -> argparse.ArgumentParser:
     e.add_argument("--dust", type=float, default=100.0)
     e.add_argument("--seed", type=int, default=42)
     e.add_argument("--show-umi-bases", action="store_true")
+    e.add_argument("--calibration-reads", type=int, default=Options.calibration_reads, help="simulated reads that set the threshold where none is given")
     s = sub.add_parser("simulate", help="simulate reads")
     s.add_argument("-o", "--out", required=True)
     s.add_argument("--tags")
@@ -51,7 +52,8 @@ def _parser() -> argparse.ArgumentParser:
     v.add_argument("files", nargs="+")
     v.add_argument("-o", "--out", required=True)
     v.add_argument("--name", default="readloom")
-    v.add_argument("--real-reads", type=int)
+    v.add_argument("--real-reads", type=int, help="real reads that were simulated; those in no file were missed")
+    v.add_argument("--random-reads", type=int, help="random reads that were simulated; those in no file were left out rightly")
     m = sub.add_parser("merge", help="merge pairs by overlap")
     m.add_argument("files", nargs=2)
     m.add_argument("-o", "--out", required=True)
@@ -65,7 +67,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
-    o = Options(a.error_rate, a.indels, a.threshold, a.min_length, a.start, a.end, a.dust, a.reference_errors, a.seed)
+    o = Options(a.error_rate, a.indels, a.threshold, a.min_length, a.start, a.end, a.dust, a.reference_errors, a.seed, calibration_reads=a.calibration_reads)
     log, all_reads = Run(), R.read(spark, a.files)
     known = R.read_layouts(spark, a.layouts) if a.layouts else []
     fitted = []
@@ -98,7 +100,7 @@ def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     reads = R.read(spark, a.files)
     names = F.element_at(F.array(*[F.lit("un" if f.rsplit("/", 1)[-1].rsplit(".", 1)[0].endswith("_un") else f) for f in a.files]), F.col("file_ix") + 1)
-    sinks.write_table(evaluate.evaluate(reads.withColumn("file", names), a.name, a.real_reads).coalesce(1), a.out)
+    sinks.write_table(evaluate.evaluate(reads.withColumn("file", names), a.name, a.real_reads, a.random_reads).coalesce(1), a.out)
 
 
 def run_merge(spark: SparkSession, a: argparse.Namespace) -> None:

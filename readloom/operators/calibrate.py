@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans import kernel
 from ..plans.model import Model, Options
@@ -12,30 +15,38 @@ from ..plans.model import Model, Options
 MOST = 20.0
 
 
-def emit(m: Model, rng: np.random.Generator, least: int) -> str:
-    """A read from the model without its null alternatives, at least so long."""
+def emit_many(m: Model, rng: np.random.Generator, n: int, least: int) -> list[str]:
+    """n reads from the model without its null alternatives, each at least so long; all of them a base at a time."""
     allowed = ~m.null[m.profile]
-    step, start = m.step * allowed, m.start * allowed
-    while True:
-        out, weights = [], start
-        while True:
-            total = weights.sum() + (m.end[state] if out else 0.0)
-            pick = rng.random() * total
-            cum = np.cumsum(weights)
-            if pick >= cum[-1]:
-                break
-            state = int(np.searchsorted(cum, pick, side="right"))
-            p = m.emit[:5, state]
-            out.append("ACGTN"[rng.choice(5, p=p / p.sum())])
-            weights = step[state]
-        if len(out) >= least:
-            return "".join(out)
-
-
-def emit_random(m: Model, rng: np.random.Generator, least: int) -> str:
-    """Independent bases of geometric length, at least so many."""
-    n = least + rng.geometric(1 / max(m.average_length, 2)) - 1
-    return "".join(rng.choice(list("ACGTN"), n, p=m.background / m.background.sum()))
+    leave = np.cumsum(np.column_stack((m.step * allowed, m.end)), axis=1)
+    leave /= np.maximum(leave[:, -1:], 1e-300)
+    start = np.cumsum(m.start * allowed)
+    bases = np.cumsum(m.emit[:5].T, axis=1)
+    bases /= bases[:, -1:]
+    letters, out = np.frombuffer(b"ACGTN", np.uint8), []
+    while len(out) < n:
+        size = n - len(out)
+        state = np.searchsorted(start, rng.random(size) * start[-1], side="right")
+        live, columns, length = np.arange(size), [], np.zeros(size, np.int64)
+        while len(live):
+            column = np.zeros(size, np.uint8)
+            column[live] = letters[np.minimum((bases[state] <= rng.random((len(live), 1))).sum(1), 4)]
+            columns.append(column)
+            length[live] += 1
+            state = (leave[state] <= rng.random((len(live), 1))).sum(1)
+            on = state < len(start)
+            live, state = live[on], state[on]
+        rows = np.stack(columns, 1)
+        out += [rows[k, :x].tobytes().decode() for k, x in enumerate(length.tolist()) if x >= least]
+    return out
+
+
+def emit_random_many(m: Model, rng: np.random.Generator, n: int, least: int) -> list[str]:
+    """n reads of independent bases and geometric length, each at least so long."""
+    length = least + rng.geometric(1 / max(m.average_length, 2), n) - 1
+    flat = np.frombuffer(b"ACGTN", np.uint8)[rng.choice(5, int(length.sum()), p=m.background / m.background.sum())].tobytes().decode()
+    ends = np.cumsum(length).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def sweep(scored: DataFrame) -> DataFrame:
@@ -49,19 +60,35 @@ def sweep(scored: DataFrame) -> DataFrame:
     return by_q.select("q", (tp / F.sum("real").over(every)).alias("sensitivity"), (1 - fp / F.sum("random").over(every)).alias("specificity"))
 
 
-def threshold_of(q: np.ndarray, real: np.ndarray) -> float:
-    """The confidence at which sensitivity and specificity add up to most."""
-    order = np.argsort(-q, kind="stable")
-    tp, fp = np.cumsum(real[order]) / max(real.sum(), 1), np.cumsum(~real[order]) / max((~real).sum(), 1)
-    last = np.append(q[order][1:] != q[order][:-1], True)
-    value = np.where(last, tp - fp, -np.inf)
-    return float(min(MOST, q[order][value.argmax()]))
+def best_threshold(scored: DataFrame) -> DataFrame:
+    """One row (q, sensitivity, specificity): the greatest threshold at which both add up to most; none above ``MOST``."""
+    value = F.round(F.col("sensitivity") + F.col("specificity"), 12)
+    return sweep(scored).orderBy(F.desc(value), F.desc("q")).limit(1).select(F.least("q", F.lit(MOST)).alias("q"), "sensitivity", "specificity")
+
+
+#: Simulated reads of one kind that are drawn together.
+_BLOCK = 1000
+
+
+def simulated(spark: SparkSession, m: Model, o: Options = Options()) -> DataFrame:
+    """(q, is_real): confidences of reads drawn from the model and of as many random ones, none shorter than the average read.
+
+    Every block of reads has a generator of its own, so they do not depend on partitions."""
+    half, least = max(1, o.calibration_reads // 2), int(m.average_length)
+    blocks = -(-half // _BLOCK)
+    shared = spark.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rng, real = np.random.default_rng((o.seed, k)), k < blocks
+                n = min(_BLOCK, half - k % blocks * _BLOCK)
+                drawn = (emit_many if real else emit_random_many)(shared.value, rng, n, least)
+                yield pa.RecordBatch.from_arrays([pa.array(kernel.label(shared.value, drawn, decode=False).q, pa.float64()), pa.array([real] * n, pa.bool_())], ["q", "is_real"])
+
+    return spark.range(0, 2 * blocks, 1, min(2 * blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "q double, is_real boolean")
 
 
-def calibrate(m: Model, o: Options = Options()) -> float:
-    """A threshold from reads simulated with the model; a fixed number of them, scored on the driver."""
-    rng = np.random.default_rng(o.seed)
-    half, least = o.calibration_reads // 2, int(m.average_length)
-    reads = [emit(m, rng, min(least, 200)) for _ in range(half)] + [emit_random(m, rng, min(least, 200)) for _ in range(half)]
-    q = kernel.label(m, reads, decode=False).q
-    return threshold_of(q, np.arange(len(reads)) < half)
+def calibrate(spark: SparkSession, m: Model, o: Options = Options()) -> float:
+    """A threshold from ``o.calibration_reads`` reads simulated with the model, which are drawn and scored on the executors."""
+    return float(best_threshold(simulated(spark, m, o)).first()["q"])

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.sequence import hamming
 from ..plans.layout import least_distance
 
 #: A barcode table has at most so many rows; it is then known to be small enough for every executor.
 MOST_BARCODES = 100_000
+#: So many barcodes may stand in a plan as constants; more go to the executors as one table.
+MOST_CONSTANTS = 64
 
 
 def small(barcodes: DataFrame) -> DataFrame:
@@ -22,10 +28,13 @@ def small(barcodes: DataFrame) -> DataFrame:
 def nearest_barcode(reads: DataFrame, barcodes: list[tuple[str, str]], observed: Column, most: int | None = None) -> DataFrame:
     """Add sample, barcode and distance: the barcode (sample, sequence) with the fewest differing bases, the first in order on ties.
 
-    The barcodes stand in the plan as constants, so there is no join and no shuffle."""
-    order = sorted(barcodes, key=lambda b: b[1])
+    Reads stay where they are: a few barcodes stand in the plan as constants, and larger tables (of a checked size) are
+    held against each batch's distinct tags."""
+    order = sorted(barcodes, key=lambda b: (b[1], b[0]))
     if len(order) > MOST_BARCODES:
         raise ValueError(f"more than {MOST_BARCODES} barcodes")
+    if len(order) > MOST_CONSTANTS:
+        return _tagged(reads, observed, _nearest(order, most), "sample string, barcode string, distance int")
     table = F.array(*[F.struct(F.lit(s).alias("sample"), F.lit(b).alias("barcode")) for s, b in order])
     scored = F.filter(F.transform(table, lambda b: F.struct(hamming(observed, b["barcode"]).alias("distance"), b["barcode"].alias("barcode"), b["sample"].alias("sample"))), lambda x: x["distance"].isNotNull())
     out = reads.withColumn("nearest", F.array_min(scored))
@@ -36,9 +45,83 @@ def nearest_barcode(reads: DataFrame, barcodes: list[tuple[str, str]], observed:
 
 def exact_prefix(reads: DataFrame, barcodes: list[tuple[str, str]]) -> DataFrame:
     """Add sample: that of the first barcode with which the read begins; null if none."""
+    if len(barcodes) > MOST_BARCODES:
+        raise ValueError(f"more than {MOST_BARCODES} barcodes")
+    if len(barcodes) > MOST_CONSTANTS:
+        return _tagged(reads, F.substring("seq", 1, max(len(b) for _, b in barcodes)), _prefixes(barcodes), "sample string")
     return reads.withColumn("sample", F.coalesce(*[F.when(F.startswith("seq", F.lit(b)), F.lit(s)) for s, b in barcodes], F.lit(None)))
 
 
+Answer = tuple[object, ...]
+
+
+def _nearest(order: list[tuple[str, str]], most: int | None) -> Callable[[str], Answer]:
+    """What ``nearest_barcode`` adds to a read with a tag; the barcodes are in order."""
+    tables: dict[int, tuple[list[tuple[str, str]], np.ndarray]] = {}
+    for size in {len(b) for _, b in order}:
+        some = [x for x in order if len(x[1]) == size]
+        tables[size] = some, np.array([[ord(c) for c in b] for _, b in some], np.uint32).reshape(len(some), size)
+
+    def answer(tag: str) -> Answer:
+        some, codes = tables.get(len(tag), ([], None))
+        if not some:
+            return None, None, None
+        differ = (codes != np.array([ord(c) for c in tag], np.uint32)).sum(1)
+        k = int(differ.argmin())
+        return (*some[k], int(differ[k])) if most is None or differ[k] <= most else (None, None, None)
+
+    return answer
+
+
+def _prefixes(barcodes: list[tuple[str, str]]) -> Callable[[str], Answer]:
+    """What ``exact_prefix`` adds to a read that begins so."""
+    first: dict[str, int] = {}
+    for k, (_, b) in enumerate(barcodes):
+        first.setdefault(b, k)
+    sizes = sorted({len(b) for b in first})
+
+    def answer(start: str) -> Answer:
+        k = min((first[start[:n]] for n in sizes if start[:n] in first and len(start) >= n), default=-1)
+        return (barcodes[k][0],) if k >= 0 else (None,)
+
+    return answer
+
+
+def _tagged(reads: DataFrame, tag: Column, answer: Callable[[str], Answer], added: str) -> DataFrame:
+    """Add the columns that ``answer`` gives for each read's tag (nulls for none), once per distinct tag of a batch."""
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([*reads.schema.fields, *new.fields])
+    kinds = {"string": pa.string(), "int": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, Answer] = {}
+        for batch in batches:
+            tags = batch.column(batch.num_columns - 1).to_pylist()
+            if len(known) > 100_000:
+                known.clear()
+            known[None] = (None,) * len(new)
+            for t in set(tags) - known.keys():
+                known[t] = answer(t)
+            rows = [known[t] for t in tags]
+            cols = [pa.array([r[k] for r in rows], kinds[f.dataType.simpleString()]) for k, f in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], schema.names)
+
+    return reads.select("*", tag.alias("\x00tag")).mapInArrow(run, schema)
+
+
+def least_distances(reads: DataFrame, group: str, tag: Column) -> DataFrame:
+    """(group, least): the least edit distance between the tags of each group's reads, of all groups with a few.
+
+    A tag that a group has twice makes it 0; only groups without one have their tags (of which there are no more than
+    there can be different ones) held against each other."""
+    one = reads.where(F.col(group).isNotNull() & F.col("ord").isNotNull()).groupBy(group, tag.alias("b")).agg((F.min("ord") < F.max("ord")).alias("again"))
+    per = one.groupBy(group).agg(F.max("again").alias("any"), F.count("*").alias("n"))
+    zero = per.where("any").select(group, F.lit(0).cast("bigint").alias("least"))
+    rest = one.join(per.where("not any and n > 1"), group).select(group, "b")
+    both = rest.alias("x").join(rest.alias("y"), group).where("x.b < y.b")
+    return zero.union(both.groupBy(group).agg(F.min(F.levenshtein("x.b", "y.b")).cast("bigint").alias("least")))
+
+
 def name_barcode(name: Column) -> Column:
     """The last run of bases before a semicolon, or the end, of a read's name."""
     return F.nullif(F.regexp_extract(F.split(name, ";")[0], "([ACGT]+)[^ACGT]*$", 1), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.sequence import name_tag
 
-COLUMNS = ("program", "sensitivity", "specificity", "precision", "kappa", "avg_error", "tp", "fp", "fn", "tn")
+COLUMNS = ("program", "sensitivity", "specificity", "precision", "kappa", "avg_error", "tp", "fp", "fn", "tn", "missed", "sensitivity_all")
 
 
 def with_truth(reads: DataFrame) -> DataFrame:
@@ -22,25 +22,26 @@ def assign_files(reads: DataFrame) -> DataFrame:
     return n.withColumn("k", F.row_number().over(best)).where("k = 1").select("library", "file")
 
 
-def evaluate(extracted: DataFrame, program: str = "readloom", expected_real: int | None = None) -> DataFrame:
+def evaluate(extracted: DataFrame, program: str = "readloom", expected_real: int | None = None, expected_random: int | None = None) -> DataFrame:
     """One row of COLUMNS over reads (file, name, seq); the file ``un`` holds what was not extracted.
 
-    A read that was extracted into its library's file is a true positive, into any other file a false one;
-    random reads left out are true negatives.  Real reads left out count as false negatives only if the number of
-    real reads is given; else they are false positives, as they are in files of no library."""
+    A read that was extracted into its library's file is a true positive; any other real read in a file, ``un``
+    included, is a false one, and so is an extracted random read.  Random reads left out are true negatives.  Reads in
+    no file are known only where the numbers of simulated reads are given: the real ones are false negatives, the random
+    ones true negatives, so that all add up to the reads simulated.  ``missed`` are the real reads that were not
+    extracted, in ``un`` or in no file, and ``sensitivity_all`` counts them as lost."""
     reads = with_truth(extracted)
     home = assign_files(reads.where("library > 0 and file <> 'un'")).withColumnRenamed("file", "home")
     judged = reads.join(home, "library", "left")
-    out = F.col("file") != "un"
+    real, out = F.col("library") > 0, F.col("file") != "un"
     error = F.levenshtein("seq", "payload_true") / F.greatest(F.length("seq"), F.length("payload_true"))
-    tp = (F.col("library") > 0) & out & (F.col("file") == F.col("home"))
-    tn = (F.col("library") == 0) & ~out
-    missed = (F.col("library") > 0) & ~out
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    lost = F.lit(float(expected_real)) - n(tp) if expected_real is not None else F.lit(0.0)
-    wrong = n(out & ~F.coalesce(tp, F.lit(False))) + (F.lit(0.0) if expected_real is not None else n(missed))
-    sums = judged.agg(n(tp).alias("tp"), wrong.alias("fp"), F.greatest(lost, F.lit(0.0)).alias("fn"), n(tn).alias("tn"), F.avg(F.when(tp, error)).alias("avg_error"))
-    return sums.select(F.lit(program).alias("program"), *measures(), F.col("avg_error"), *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "tn")])
+    hit = F.coalesce(real & out & (F.col("file") == F.col("home")), F.lit(False))
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("double")
+    absent = lambda expected, seen: F.lit(0.0) if expected is None else F.greatest(F.lit(float(expected)) - n(seen), F.lit(0.0))
+    lost = absent(expected_real, real)
+    sums = judged.agg(n(hit).alias("tp"), n((out | real) & ~hit).alias("fp"), lost.alias("fn"), (n(~real & ~out) + absent(expected_random, ~real)).alias("tn"), F.avg(F.when(hit, error)).alias("avg_error"), (n(real & ~out) + lost).alias("missed"))
+    whole = F.when(F.col("tp") + F.col("missed") > 0, F.col("tp") / (F.col("tp") + F.col("missed")))
+    return sums.select(F.lit(program).alias("program"), *measures(), F.col("avg_error"), *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "tn", "missed")], whole.alias("sensitivity_all"))
 
 
 def measures() -> list:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,7 +17,7 @@ from .label import OUTCOMES
 #: Bases of a payload that are held against contaminants.
 PROBE = 32
 #: References are sent to the executors in parts of at most so many bases.
-PART_BASES = 4_000_000
+PART_BASES = 2_000_000
 #: All references of a run together have at most so many bases; they pass through the driver.
 MOST_BASES = 256_000_000
 _OTHER = re.compile(r"[^ACGT.]")
@@ -26,6 +28,11 @@ def rank(outcome: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, OUTCOMES)), outcome)
 
 
+def long_payloads(reads: DataFrame, seq: Column, least: int) -> DataFrame:
+    """Add payload, and leave out reads without one of at least so many bases."""
+    return reads.withColumn("payload", seq).where(F.length("payload") >= least)
+
+
 def low_complexity(reads: DataFrame, cut: float) -> DataFrame:
     """Outcome low_complexity for reads whose first payload scores above ``cut`` (0: off).  It overrides failures."""
     if not cut:
@@ -40,40 +47,96 @@ def _clean(seq: str) -> str:
 
 
 class _References:
-    """One part of the references, ready to search: both strands, and the pieces that occur in them.
+    """One part of the references, ready to search: both strands in one row of codes, and where their pieces occur.
 
-    A probe with at most k errors has, among k + 1 pieces, one that occurs exactly; other probes are not aligned."""
+    A probe with at most k errors has, among k + 1 pieces, one that occurs exactly; it is aligned with the windows
+    around those places only, and so is only one of windows that read alike."""
+
+    #: Pieces of short probes have so many bases; probes with shorter pieces are aligned with whole references.
+    SHORT = 5
+    #: Windows that are aligned at once.
+    MOST = 50_000
+    _GAP = 9  # a code that fits no base
 
     def __init__(self, refs: list[tuple[int, str]], errors: int) -> None:
         self.errors, self.piece = errors, PROBE // (errors + 1)
+        self.reach = PROBE + 2 * errors
         flip = str.maketrans("ACGT", "TGCA")
-        self.texts = [(ix, s) for ix, seq in refs for s in (_clean(seq), _clean(seq).translate(flip)[::-1])]
-        self.known: dict[str, set[int]] = {}
-        for k, (_, s) in enumerate(self.texts):
-            for i in range(len(s) - self.piece + 1):
-                self.known.setdefault(s[i : i + self.piece], set()).add(k)
+        self.texts = [(ix, kernel.encode([s])[0][0]) for ix, seq in refs for s in (_clean(seq), _clean(seq).translate(flip)[::-1])]
+        gap = np.full(self.reach, self._GAP, np.uint8)
+        self.flat = np.concatenate([gap, *(x for _, text in self.texts for x in (text, gap))])
+        ends = np.cumsum([len(text) + self.reach for _, text in self.texts])
+        self.starts, self.owner = np.concatenate(([0], ends[:-1])) if len(ends) else ends, np.array([ix for ix, _ in self.texts])
+        self.places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @staticmethod
+    def _hash(codes: np.ndarray, size: int) -> np.ndarray:
+        """A number for each run of ``size`` codes along the last axis."""
+        n = codes.shape[-1] - size + 1
+        out = np.zeros((*codes.shape[:-1], max(n, 0)), np.uint64)
+        for k in range(size if n > 0 else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[..., k : k + n].astype(np.uint64) + np.uint64(1)
+        return out
+
+    def _indexed(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces of a size, in order, and where each is."""
+        if size not in self.places:
+            number = self._hash(self.flat, size)
+            gaps = np.concatenate(([0], np.cumsum(self.flat == self._GAP)))
+            at = np.flatnonzero(gaps[size:] == gaps[: len(gaps) - size]).astype(np.int32)
+            order = np.argsort(number[at], kind="stable")
+            self.places[size] = number[at][order], at[order]
+        return self.places[size]
+
+    def _whole(self, probes: list[str]) -> np.ndarray:
+        """For each probe, the best of errors and reference as one number, from alignments with whole references."""
+        x, n = kernel.encode(probes)
+        best = np.full(len(probes), _NONE)
+        for ix, text in self.texts:
+            d = kernel.search_many(x, n, text)
+            best = np.where(d <= self.errors, np.minimum(best, d * _ERROR + ix), best)
+        return best
+
+    def _seeded(self, probes: list[str], size: int) -> np.ndarray:
+        """The same, from the places of pieces of ``size`` bases."""
+        number, place = self._indexed(size)
+        x, n = kernel.encode(probes)
+        best, rows = np.full(len(probes), _NONE), np.arange(len(probes))
+        for k in range(self.errors + 1):
+            first = k * (n // (self.errors + 1))
+            piece = self._hash(x[rows[:, None], first[:, None] + np.arange(size)], size)[:, 0]
+            lo, hi = np.searchsorted(number, piece, "left"), np.searchsorted(number, piece, "right")
+            done = np.concatenate(([0], np.cumsum(hi - lo)))
+            for at in range(0, int(done[-1]), self.MOST):
+                which = np.arange(at, min(at + self.MOST, int(done[-1])))
+                probe = np.searchsorted(done, which, "right") - 1
+                start = place[lo[probe] + which - done[probe]] - first[probe] - self.errors
+                ix = self.owner[np.searchsorted(self.starts, start + first[probe] + self.errors, "right") - 1]
+                reach = np.clip(start[:, None] + np.arange(self.reach), 0, len(self.flat) - 1)
+                alike = np.column_stack((probe, self._hash(self.flat[reach], self.reach)[:, 0].view(np.int64)))
+                order = np.lexsort((ix, alike[:, 1], alike[:, 0]))  # of like windows, that of the first reference
+                one = order[np.concatenate(([True], (alike[order][1:] != alike[order][:-1]).any(1)))]
+                d = kernel.search_windows(x[probe[one]], n[probe[one]], self.flat[reach[one]])
+                near = d <= self.errors
+                np.minimum.at(best, probe[one][near], d[near] * _ERROR + ix[one][near])
+        return best
 
     def best(self, probes: list[str]) -> list[tuple[int, int] | None]:
         """(errors, reference) of each probe's best match within the limit; the first reference wins ties."""
-        probes = [_clean(p) for p in probes]
-        out: list[tuple[int, int] | None] = [None] * len(probes)
-        wanted: dict[int, list[int]] = {}
-        for i, p in enumerate(probes):
-            size = len(p) // (self.errors + 1)
-            if size < self.piece:  # a short probe's pieces are shorter than the index's
-                near = set(range(len(self.texts))) if p else set()
-            else:
-                near = set().union(*(self.known.get(p[k * size : k * size + self.piece], ()) for k in range(self.errors + 1)))
-            for k in near:
-                wanted.setdefault(k, []).append(i)
-        for k in sorted(wanted):
-            ix, text = self.texts[k]
-            x, n = kernel.encode([probes[i] for i in wanted[k]])
-            d = kernel.search_many(x, n, kernel.encode([text])[0][0])
-            for i, e in zip(wanted[k], d.tolist(), strict=True):
-                if e <= self.errors and (out[i] is None or (e, ix) < out[i]):
-                    out[i] = (e, ix)
-        return out
+        distinct, back = np.unique(np.array([_clean(p)[:PROBE] for p in probes], object), return_inverse=True) if probes else (np.array([], object), [])
+        size = np.array([len(p) // (self.errors + 1) for p in distinct], int)
+        best = np.full(len(distinct), _NONE)
+        for kind, which in ((self.piece, size >= self.piece), (min(self.SHORT, self.piece), (size < self.piece) & (size >= self.SHORT)), (0, (size < min(self.SHORT, self.piece)) & (distinct != ""))):
+            if which.any():
+                some = distinct[which].tolist()
+                best[which] = self._seeded(some, kind) if kind else self._whole(some)
+        return [None if b == _NONE else (int(b) // _ERROR, int(b) % _ERROR) for b in best[back]]
+
+
+#: A match as one number: its errors times this, and its reference; and no match.
+_ERROR, _NONE = 1 << 40, (1 << 62)
+#: The last index of references that a worker made, which it keeps for its next tasks.
+_INDEX: dict[str, _References] = {}
 
 
 def match_references(probes: DataFrame, refs: list[tuple[int, str]], errors: int) -> DataFrame:
@@ -82,10 +145,13 @@ def match_references(probes: DataFrame, refs: list[tuple[int, str]], errors: int
     shared = probes.sparkSession.sparkContext.broadcast((refs, errors))
     kind = pa.struct([("errors", pa.int32()), ("reference", pa.int32())])
     at = probes.columns.index("probe")
-    names = [*probes.columns, "hit"]
+    names, token = [*probes.columns, "hit"], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _References(*shared.value)
+        if token not in _INDEX:
+            _INDEX.clear()
+            _INDEX[token] = _References(*shared.value)
+        index = _INDEX[token]
         for batch in batches:
             hits = index.best([p or "" for p in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h and {"errors": h[0], "reference": h[1]} for h in hits], kind)], names)

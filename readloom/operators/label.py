@@ -86,14 +86,20 @@ def label(reads: DataFrame, m: Model, threshold: float, o: Options = Options())
     return reads.select(F.col("file_ix").cast("int").alias("file_ix"), F.col("ord").cast("bigint").alias("ord"), "name", "seq", "qual").mapInArrow(run, LABELLED)
 
 
+#: A read that a layout cannot show at all counts as so unlikely; else one such read would rule the layout out.
+LEAST_LOG = -1e6
+
+
 def log_likelihoods(reads: DataFrame, models: list[Model]) -> DataFrame:
-    """(layout_id, log_likelihood): the sum over all reads for every model, added up per batch before the shuffle."""
+    """(layout_id, log_likelihood): the sum over all reads for every model, added up per batch before the shuffle.
+
+    No read counts for less than ``LEAST_LOG``."""
     shared = reads.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs = [s or "" for s in batch.column(0).to_pylist()]
-            sums = [float(np.maximum(kernel.log_likelihood(m, seqs), -1e6).sum()) if seqs else 0.0 for m in shared.value]
+            sums = [float(np.maximum(kernel.log_likelihood(m, seqs), LEAST_LOG).sum()) if seqs else 0.0 for m in shared.value]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.float64())], ["layout_id", "part"])
 
     return reads.select("seq").mapInArrow(run, "layout_id int, part double").groupBy("layout_id").agg(F.sum("part").alias("log_likelihood"))

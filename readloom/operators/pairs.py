@@ -20,11 +20,9 @@ def merge_pairs(left: DataFrame, right: DataFrame, least: int = 16, identity: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for o, name, a, qa, b, qb in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                got = kernel.overlap(a or "", qa, b or "", qb, least, identity)
-                if got:
-                    rows.append((o, name, got[0], got[1], float(got[2]), got[3]))
+            order, names, a, qa, b, qb = (batch.column(i).to_pylist() for i in range(6))
+            merged = kernel.overlaps([(x or "", q, y or "", p) for x, q, y, p in zip(a, qa, b, qb, strict=True)], least, identity)
+            rows = [(o, name, *got) for o, name, got in zip(order, names, merged, strict=True) if got]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in MERGED.split(", ")])
 

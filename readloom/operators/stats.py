@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
 from ..plans.layout import Layout
@@ -52,3 +52,11 @@ def stats_of_all(reads: DataFrame, layouts: list[Layout | None], options: Option
 def sequence_stats(reads: DataFrame, layout: Layout | None = None, options: Options = Options()) -> Stats:
     """Background, lengths, and how much of the outer adapters the reads show."""
     return stats_of_all(reads, [layout], options)[0]
+
+
+def information(reads: DataFrame, places: int, even: float = 0.25) -> DataFrame:
+    """(place, bits) of the first places of all reads: their information content against a background of even bases."""
+    one = reads.select(F.posexplode(F.split(F.substring("seq", 1, places), "")).alias("place", "base"))
+    n = one.groupBy("place", "base").agg(F.count("*").alias("n"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("place"))
+    return n.withColumn("p", p).groupBy(F.col("place").cast("bigint").alias("place")).agg(F.sum(F.col("p") * F.log2(F.col("p") / even)).alias("bits"))

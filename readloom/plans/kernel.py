@@ -208,6 +208,21 @@ def search_many(x: np.ndarray, n: np.ndarray, text: np.ndarray) -> np.ndarray:
     return best
 
 
+def search_windows(x: np.ndarray, n: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Least edit distance of each read (rows of codes, with lengths) to any part of its own window (rows of codes)."""
+    b, width = x.shape
+    steps = np.arange(width + 1, dtype=np.int16)
+    row = np.broadcast_to(steps, (b, width + 1)).copy()
+    best, rows = n.astype(np.int64), np.arange(b)
+    for k in range(windows.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = 0
+        new[:, 1:] = np.minimum(row[:, :-1] + (x != windows[:, k : k + 1]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        best = np.minimum(best, row[rows, n])
+    return best
+
+
 def right_probability(qual: str | None, n: int) -> np.ndarray:
     """Of every base: the probability that it is right."""
     if not qual:
@@ -224,38 +239,66 @@ def _spread(codes: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.maximum(out, 1e-12)
 
 
-def overlap(seq_a: str, qual_a: str | None, seq_b: str, qual_b: str | None, least: int = 16, identity: float = 0.0) -> tuple[str, str, float, int] | None:
-    """Merge a read with its mate (already reverse-complemented): (bases, qualities, identity, offset), or nothing.
+Merged = tuple[str, str, float, int]
+
+
+def overlap(seq_a: str, qual_a: str | None, seq_b: str, qual_b: str | None, least: int = 16, identity: float = 0.0) -> Merged | None:
+    """Merge one read with its mate; see ``overlaps``."""
+    return overlaps([(seq_a, qual_a, seq_b, qual_b)], least, identity)[0]
+
+
+#: Numbers in one array of pairs that are merged together.
+_PAIR_CELLS = 1_000_000
+
+
+def overlaps(pairs: list[tuple[str, str | None, str, str | None]], least: int = 16, identity: float = 0.0) -> list[Merged | None]:
+    """Merge reads with their mates (already reverse-complemented): (bases, qualities, identity, offset) each, or nothing.
 
     Every offset without gaps whose overlap is longer than ``least`` is scored by the likelihood that both
-    reads show the same bases; the first best one wins.  Tails that do not overlap are kept."""
-    a, b = (_LUT[np.frombuffer(s.encode(), np.uint8)] for s in (seq_a, seq_b))
-    pa, pb = _spread(a, right_probability(qual_a, len(a))), _spread(b, right_probability(qual_b, len(b)))
-    both = np.log(pa @ pb.T) if len(a) and len(b) else np.zeros((len(a), len(b)))
-    best, at = -np.inf, None
-    for d in range(-(len(b) - 1), len(a)):
-        size = min(len(a) - d, len(b)) if d >= 0 else min(len(b) + d, len(a))
-        if size <= least:
-            continue
-        score = both.diagonal(-d)[:size].sum()
-        if score > best + 1e-12:
-            best, at = score, d
-    if at is None:
-        return None
-    lo, hi = min(0, at), max(len(a), at + len(b))
-    qa = qual_a or "I" * len(a)
-    qb = qual_b or "I" * len(b)
-    bases, quals, same, shared = [], [], 0, 0
-    for i in range(lo, hi):
-        ia, ib = (i if 0 <= i < len(a) else None), (i - at if 0 <= i - at < len(b) else None)
-        if ia is None or ib is None:
-            bases.append(seq_a[ia] if ia is not None else seq_b[ib])
-            quals.append(qa[ia] if ia is not None else qb[ib])
-            continue
-        shared += 1
-        same += a[ia] == b[ib]
-        take_b = a[ia] != b[ib] and (pb[ib].max() > pa[ia].max())
-        bases.append(seq_b[ib] if take_b else seq_a[ia])
-        quals.append(max(qa[ia], qb[ib]))
-    share = same / shared
-    return ("".join(bases), "".join(quals), share, at) if share >= identity else None
+    reads show the same bases; the first best one wins.  Tails that do not overlap are kept.  Pairs of like lengths are
+    scored together."""
+    out: list[Merged | None] = [None] * len(pairs)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (a, _, b, _) in enumerate(pairs):
+        if min(len(a), len(b)) > least:
+            groups.setdefault((len(a), len(b)), []).append(k)
+    for (la, lb), members in groups.items():
+        many = max(1, _PAIR_CELLS // (la * lb))
+        for at in range(0, len(members), many):
+            some = members[at : at + many]
+            for k, got in zip(some, _overlaps([pairs[k] for k in some], la, lb, least), strict=True):
+                out[k] = got if got and got[2] >= identity else None
+    return out
+
+
+def _overlaps(pairs: list[tuple[str, str | None, str, str | None]], la: int, lb: int, least: int) -> list[Merged | None]:
+    raw = [np.frombuffer("".join(p[k] for p in pairs).encode("latin-1", "replace"), np.uint8).reshape(len(pairs), -1) for k in (0, 2)]
+    qual = [np.frombuffer("".join(p[k] or "I" * n for p in pairs).encode("latin-1", "replace"), np.uint8).reshape(len(pairs), -1) for k, n in ((1, la), (3, lb))]
+    code = [_LUT[x] for x in raw]
+    odds = [_spread(c.ravel(), np.concatenate([right_probability(p[k], n) for p in pairs])).reshape(len(pairs), n, 4) for c, k, n in ((code[0], 1, la), (code[1], 3, lb))]
+    both = np.log(odds[0] @ odds[1].transpose(0, 2, 1))
+    best, shift = np.full(len(pairs), -np.inf), np.zeros(len(pairs), int)
+    for d in range(-(lb - 1), la):
+        size = min(la - d, lb) if d >= 0 else min(lb + d, la)
+        if size > least:
+            score = np.diagonal(both, -d, 1, 2)[:, :size].sum(1)
+            better = score > best + 1e-12
+            best, shift = np.where(better, score, best), np.where(better, d, shift)
+    out: list[Merged | None] = [None] * len(pairs)
+    for d in np.unique(shift[best > -np.inf]).tolist():
+        who = np.flatnonzero((shift == d) & (best > -np.inf))
+        lo, hi = min(0, d), max(la, d + lb)
+        bases, quals = np.zeros((len(who), hi - lo), np.uint8), np.zeros((len(who), hi - lo), np.uint8)
+        for whole, sides in ((bases, raw), (quals, qual)):
+            whole[:, d - lo : d - lo + lb] = sides[1][who]
+            whole[:, -lo : la - lo] = sides[0][who]
+        i, j = max(0, d), min(la, d + lb)  # what both have, by the first read's places
+        a, b = slice(i, j), slice(i - d, j - d)
+        differ = code[0][who, a] != code[1][who, b]
+        take = differ & (odds[1].max(2)[who, b] > odds[0].max(2)[who, a])
+        bases[:, i - lo : j - lo] = np.where(take, raw[1][who, b], raw[0][who, a])
+        quals[:, i - lo : j - lo] = np.maximum(qual[0][who, a], qual[1][who, b])
+        share = 1 - differ.sum(1) / (j - i)
+        for k, x, q, same in zip(who.tolist(), bases, quals, share.tolist(), strict=True):
+            out[k] = x.tobytes().decode("latin-1"), q.tobytes().decode("latin-1"), same, d
+    return out

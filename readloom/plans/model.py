@@ -39,7 +39,7 @@ class Options:
     seed: int = 42
     stats_reads: int = 1_000_001
     search_reads: int = 100_000
-    calibration_reads: int = 4_000
+    calibration_reads: int = 400_000
 
 
 @dataclass(frozen=True)

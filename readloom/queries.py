@@ -5,9 +5,12 @@ hash each, the same in any engine.  Every query goes through the package's opera
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import sequence as S
 from .operators import calibrate, demux, evaluate, filters, label, mates, pairs, simulate, stats, umi
@@ -15,6 +18,7 @@ from .operators.choose import posterior
 from .plans import layout as L
 from .plans.model import Options, Stats, build
 from .plans.run import Fitted, extract
+from .sources import reads as R, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,8 +135,7 @@ def q_nearest_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_payload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads behind the first A of a window, at least 24 bases long."""
-    s = reads(spark, sf_dir).withColumn("payload", F.expr("substring(seq, nullif(locate('A', seq, 3), 0) + 1)"))
-    return s.where(F.length("payload") >= 24).select("ord", "payload")
+    return filters.long_payloads(reads(spark, sf_dir), F.expr("substring(seq, nullif(locate('A', seq, 3), 0) + 1)"), 24).select("ord", "payload")
 
 
 def q_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +168,7 @@ def q_mate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_name_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose mates' names differ in the fields that have to agree."""
     a = reads(spark, sf_dir)
-    name = lambda k: F.concat(F.lit("EAS139:136:FC706VJ:2:2104:"), F.col("ord").cast("string"), F.lit(":"), (F.when(F.col("ord") % 97 == 0, F.col("ord") + k).otherwise(F.col("ord"))).cast("string"), F.lit(f" {k + 1}:Y:18:ATCACG"))
+    name = lambda k: F.concat(F.lit("NV042:17:KX3PLM:4:1208:"), F.col("ord").cast("string"), F.lit(":"), (F.when(F.col("ord") % 97 == 0, F.col("ord") + k).otherwise(F.col("ord"))).cast("string"), F.lit(f" {k + 1}:Y:18:ATCACG"))
     both = a.withColumn("name", name(0)).unionByName(a.withColumns({"file_ix": F.lit(1), "name": name(1)}))
     return mates.unlike_names(both).select("ord", F.col("names")[0].alias("first"), F.col("names")[1].alias("second"))
 
@@ -234,16 +237,8 @@ def q_layout_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_merge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of merge_offsets_all that its SQL covers."""
-    return _merged(reads(spark, sf_dir).where("ord % 10 = 1"))
-
-
-def q_merge_offsets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of all reads that overlap by 20 bases, merged."""
-    return _merged(reads(spark, sf_dir))
-
-
-def _merged(r: DataFrame) -> DataFrame:
+    r = reads(spark, sf_dir)
     left = r.select("ord", "name", F.substring("seq", 1, 26).alias("seq"), F.lit("I" * 26).alias("qual"))
     right = r.select("ord", "name", S.reverse_complement(F.substring("seq", 7, 26)).alias("seq"), F.lit("I" * 26).alias("qual"))
     return pairs.merge_pairs(left, right, 16).select("ord", "seq", F.length("qual").cast("bigint").alias("n_qual"), F.round("identity", 6).alias("identity"), F.col("shift").cast("bigint").alias("shift"))
@@ -262,31 +257,13 @@ def q_split_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_barcode_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of barcode_distance_all that its SQL covers."""
-    return _least_distance(reads(spark, sf_dir).where("o_custkey % 50 = 1"))
-
-
-def q_barcode_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least edit distance between the barcodes of each customer's reads, of all customers with a few."""
-    return _least_distance(reads(spark, sf_dir))
-
-
-def _least_distance(r: DataFrame) -> DataFrame:
-    """A barcode that a customer has twice makes it 0; only customers without one have theirs (at most 4**6) held against each other."""
-    one = r.where("o_custkey is not null and ord is not null").groupBy("o_custkey", F.substring("seq", 1, 6).alias("b")).agg((F.min("ord") < F.max("ord")).alias("again"))
-    per = one.groupBy("o_custkey").agg(F.max("again").alias("any"), F.count("*").alias("n"))
-    zero = per.where("any").select("o_custkey", F.lit(0).cast("bigint").alias("least"))
-    rest = one.join(per.where("not any and n > 1"), "o_custkey").select("o_custkey", "b")
-    both = rest.alias("x").join(rest.alias("y"), "o_custkey").where("x.b < y.b")
-    return zero.union(both.groupBy("o_custkey").agg(F.min(F.levenshtein("x.b", "y.b")).cast("bigint").alias("least")))
+    return demux.least_distances(reads(spark, sf_dir), "o_custkey", F.substring("seq", 1, 6))
 
 
 def q_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Information content of each of the first eight places of all reads, against even bases."""
-    one = reads(spark, sf_dir).select(F.posexplode(F.split(F.substring("seq", 1, 8), "")).alias("place", "base"))
-    n = one.groupBy("place", "base").agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("place"))
-    return n.withColumn("p", p).groupBy(F.col("place").cast("bigint").alias("place")).agg(F.round(F.sum(F.col("p") * F.log2(F.col("p") / 0.25)), 9).alias("bits"))
+    return stats.information(reads(spark, sf_dir), 8).select("place", F.round("bits", 9).alias("bits"))
 
 
 def q_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,6 +323,74 @@ def q_contaminants_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.contaminants(got, refs).groupBy("outcome", "contaminant_ix").agg(F.count("*").alias("n"))
 
 
+#: A barcode, a UMI of four bases, a spacer and a read.
+_SEGMENTS = "B:" + ",".join(b for _, b in BARCODES) + " F:NNNN S:GATTCA R:N"
+
+
+def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that the layout shows without errors: the barcode follows the order's key, the rest its hash."""
+    code = F.element_at(F.array(*[F.lit(b) for _, b in BARCODES]), (F.col("ord") % 4 + 1).cast("int"))
+    return reads(spark, sf_dir).withColumn("seq", F.concat(code, F.substring("seq", 29, 4), F.lit("GATTCA"), "seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+
+
+def q_label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads taken apart into barcode, UMI, spacer and payload."""
+    layout = L.parse(_SEGMENTS)
+    out = label.label(_composed(spark, sf_dir), build(layout, BACKGROUND, Options()), 0.0)
+    return out.select("ord", "outcome", "barcode", "fp", "fp_seq", F.col("payloads")[0]["seq"].alias("payload"), F.length(F.col("payloads")[0]["qual"]).cast("bigint").alias("n_qual"))
+
+
+def q_label_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of reads whose payload is cut to 0 to 31 bases: under 16 are too short."""
+    some = _composed(spark, sf_dir).withColumn("seq", F.expr("substring(seq, 1, int(16 + 8 + ord % 24))")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    out = label.label(some, build(L.parse(_SEGMENTS), BACKGROUND, Options()), 0.0)
+    return out.groupBy("outcome", "barcode").agg(F.count("*").alias("n"))
+
+
+def q_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold that calibration takes, from fixed confidences."""
+    scored = reads(spark, sf_dir).select(((F.col("ord") % 389) / 10).cast("double").alias("q"), ((F.col("o_custkey") * 7) % 389 < F.col("ord") % 389).alias("is_real"))
+    return calibrate.best_threshold(scored).select("q", F.round("sensitivity", 9).alias("sensitivity"), F.round("specificity", 9).alias("specificity"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='readloom-')}/{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, sf_dir: str, record: Column, end: str, head: str | None = None) -> str:
+    """A folder of files with a record of each read, in the order of the keys."""
+    path = f"{_scratch(spark)}.{end}"
+    lines = reads(spark, sf_dir).orderBy("ord").select(record.alias("value"))
+    (lines if head is None else spark.createDataFrame([(head,)], "value string").coalesce(1).union(lines)).write.text(path)
+    return path
+
+
+def q_fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as a folder of FASTQ files, and read back."""
+    path = _written(spark, sf_dir, sinks.fastq(F.concat(F.lit("r "), F.col("ord").cast("string")), F.col("seq"), F.col("qual")), "fastq")
+    return R.read(spark, [path]).select("ord", "name", "seq", F.length("qual").cast("bigint").alias("n_qual"))
+
+
+def q_fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as a folder of FASTA files with three lines of bases each, and read back."""
+    path = _written(spark, sf_dir, F.concat(F.lit(">r"), F.col("ord").cast("string"), *[x for k in (1, 14, 27) for x in (F.lit("\n"), F.substring("seq", k, 13))]), "fasta")
+    return R.read(spark, [path]).select("ord", "name", "seq", "qual")
+
+
+def q_sam_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as a folder of SAM files, and read back without those of the flags 768."""
+    s = lambda c: c.cast("string")
+    flag = F.when(F.col("ord") % 3 == 0, 256).when(F.col("ord") % 5 == 0, 512).otherwise(16)
+    fields = [F.concat(F.lit("r"), s(F.col("ord"))), s(flag), *map(F.lit, ("chr1", "100")), s(F.col("ord") % 61), *map(F.lit, ("32M", "*", "0", "0")), F.col("seq"), F.col("qual"), F.concat(F.lit("NM:i:"), s(F.col("ord") % 4))]
+    path = _written(spark, sf_dir, F.concat_ws("\t", *fields), "sam", "@HD\tVN:1.6")
+    out = R.read_sam(spark, path)
+    return out.select("ord", "name", "seq", F.col("flag").cast("bigint").alias("flag"), F.col("mapq").cast("bigint").alias("mapq"), F.col("nm").cast("bigint").alias("nm"))
+
+
 _PUBLIC = [n for n in dict(globals()) if n.startswith("q_")]
 
 
@@ -357,6 +402,7 @@ def _with(*parts: str) -> str:
     return "WITH " + ", ".join([f"reads AS ({READS})", *parts]) + " "
 
 
+_COMPOSED = "composed AS (SELECT ord, list_extract([" + ", ".join(f"'{b}'" for _, b in BARCODES) + "], CAST(ord % 4 + 1 AS INTEGER)) AS barcode, substr(seq, 29, 4) AS umi, seq FROM reads)"
 _OUT = ", ".join(f"'{x}'" for x in label.OUTCOMES)
 _FILES = f"""files AS (SELECT 0 AS file_ix, ord, list_extract([{_OUT}], CAST(ord * 3 % 7 % 6 + 1 AS INTEGER)) AS outcome, substr(seq, 1, 6) AS barcode, seq FROM reads
   UNION ALL SELECT 1, ord, list_extract([{_OUT}], CAST(ord * 4 % 7 % 6 + 1 AS INTEGER)), NULL, seq FROM reads)"""
@@ -400,7 +446,7 @@ def oracle_sql() -> dict[str, str]:
         "mate_outcomes": _with(_FILES) + f", c AS (SELECT ord, {_WORST} AS outcome, MAX(barcode) AS barcode FROM files GROUP BY ord) SELECT outcome, COUNT(*) AS n, COUNT(barcode) AS with_barcode FROM c GROUP BY outcome",
         "output_reads": _with(_FILES) + f", c AS (SELECT ord, {_WORST} AS outcome, MAX(barcode) AS barcode FROM files GROUP BY ord) SELECT f.ord, CAST(f.file_ix + 1 AS BIGINT) AS read_ix, c.barcode, f.seq FROM files f JOIN c ON f.ord = c.ord WHERE c.outcome = 'success'",
         "mate_counts": _with() + "SELECT CAST(0 AS BIGINT) AS file_ix, COUNT(*) AS n FROM reads UNION ALL SELECT 1, COUNT(*) FROM reads WHERE ord % 3 <> 0",
-        "name_mismatch": _with("n AS (SELECT ord, 'EAS139:136:FC706VJ:2:2104:' || ord || ':' || ord AS a, 'EAS139:136:FC706VJ:2:2104:' || ord || ':' || (ord + 1) AS b FROM reads WHERE ord % 97 = 0)") + "SELECT ord, least(a, b) AS first, greatest(a, b) AS second FROM n",
+        "name_mismatch": _with("n AS (SELECT ord, 'NV042:17:KX3PLM:4:1208:' || ord || ':' || ord AS a, 'NV042:17:KX3PLM:4:1208:' || ord || ':' || (ord + 1) AS b FROM reads WHERE ord % 97 = 0)") + "SELECT ord, least(a, b) AS first, greatest(a, b) AS second FROM n",
         "rename": _with(_NEAREST) + "SELECT ord, sample, sample || '_' || row_number() OVER (PARTITION BY sample ORDER BY ord) || ' r_' || substr(seq, 1, 6) || ';x orig_bc=' || substr(seq, 1, 6) || ' new_bc=' || barcode || ' bc_diffs=' || CAST(CAST(distance AS BIGINT) AS VARCHAR) AS header, seq FROM nearest",
         "contaminants_exact": _with("p AS (SELECT ord, substr(seq, 1, 6) AS q FROM reads)")
         + f"SELECT ord, CAST(CASE WHEN strpos('{_REF0}', q) > 0 OR strpos({_RC.format(s=repr(_REF0))}, q) > 0 THEN 0 ELSE 1 END AS BIGINT) AS reference FROM p WHERE strpos('{_REF0}', q) > 0 OR strpos({_RC.format(s=repr(_REF0))}, q) > 0 OR strpos('{_REF1}', q) > 0 OR strpos({_RC.format(s=repr(_REF1))}, q) > 0",
@@ -426,7 +472,7 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT q, round((SUM(a) OVER w)::DOUBLE / (SUM(a) OVER ())::DOUBLE, 9) AS sensitivity, round(1 - (SUM(b) OVER w)::DOUBLE / (SUM(b) OVER ())::DOUBLE, 9) AS specificity FROM s WINDOW w AS (ORDER BY q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
         "layout_posterior": _with("s AS (SELECT CAST(ord % 4 AS BIGINT) AS candidate, SUM(length(seq) - length(replace(seq, 'A', '')))::DOUBLE / 1000.0::DOUBLE AS x FROM reads GROUP BY 1)") + "SELECT candidate, round(exp(x - MAX(x) OVER ()) / SUM(exp(x - (SELECT MAX(x) FROM s))) OVER (), 9) AS p FROM s",
         "merge_offsets": _with(
-            "p AS (SELECT ord, seq, substr(seq, 1, 26) AS a, substr(seq, 7, 26) AS b FROM reads WHERE ord % 10 = 1)",
+            "p AS (SELECT ord, seq, substr(seq, 1, 26) AS a, substr(seq, 7, 26) AS b FROM reads)",
             "o AS (SELECT ord, seq, a, b, d, 26 - abs(d) AS n, list_sum(list_transform(range(1, 27 - abs(d)), lambda i: CASE WHEN substr(a, greatest(d, 0) + i, 1) = substr(b, greatest(-d, 0) + i, 1) THEN 1 ELSE 0 END)) AS same FROM p, range(-9, 10) AS r(d))",
             "w AS (SELECT *, pow(10.0::DOUBLE, -4) AS e FROM o)",
             "k AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(same * ln((1 - e) * (1 - e) + e * e / 3) + (n - same) * ln(2 * e * (1 - e) / 3 + 2 * e * e / 9), 8) DESC, d) AS rank FROM w)",
@@ -434,7 +480,15 @@ def oracle_sql() -> dict[str, str]:
         "join_pairs": _with(f"mates AS ({MATES})") + "SELECT reads.ord, reads.seq || 'NNN' || mates.seq AS seq, repeat('I', 32) || '!!!' || repeat('I', 32) AS qual FROM reads JOIN mates ON reads.ord = mates.ord",
         "trim_exact": _with("m AS (SELECT ord, seq, list_min(list_filter(range(1, 30), lambda i: regexp_matches(substr(seq, i, 4), '^AC[ACGTN]T$'))) AS i FROM reads)") + "SELECT ord, substr(seq, i + 4) AS seq, repeat('I', CAST(29 - i AS INTEGER)) AS qual FROM m WHERE i IS NOT NULL AND 29 - i >= 16",
         "split_by_tag": _with() + "SELECT substr(seq, 1, 6) AS part, COUNT(*) AS n FROM reads GROUP BY 1",
-        "barcode_distance": _with("r AS (SELECT o_custkey, ord, substr(seq, 1, 6) AS b FROM reads WHERE o_custkey % 50 = 1)") + "SELECT x.o_custkey, CAST(MIN(levenshtein(x.b, y.b)) AS BIGINT) AS least FROM r x JOIN r y ON x.o_custkey = y.o_custkey AND x.ord < y.ord GROUP BY 1",
+        "label_segments": _with(_COMPOSED) + "SELECT ord, 'success' AS outcome, barcode, CAST(list_sum(list_transform(range(1, 5), lambda i: (strpos('ACGT', substr(umi, i, 1)) - 1) * CAST(pow(4, 4 - i) AS BIGINT))) AS BIGINT) AS fp, umi AS fp_seq, seq AS payload, CAST(32 AS BIGINT) AS n_qual FROM composed",
+        "label_outcomes": _with(_COMPOSED) + "SELECT CASE WHEN 8 + ord % 24 < 16 THEN 'too_short' ELSE 'success' END AS outcome, barcode, COUNT(*) AS n FROM composed GROUP BY ALL",
+        "threshold": _with("s AS (SELECT (ord % 389)::DOUBLE / 10 AS q, COUNT(*) FILTER ((o_custkey * 7) % 389 < ord % 389) AS a, COUNT(*) FILTER (NOT (o_custkey * 7) % 389 < ord % 389) AS b FROM reads GROUP BY 1)",
+            "t AS (SELECT q, (SUM(a) OVER w)::DOUBLE / (SUM(a) OVER ())::DOUBLE AS x, 1 - (SUM(b) OVER w)::DOUBLE / (SUM(b) OVER ())::DOUBLE AS y FROM s WINDOW w AS (ORDER BY q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
+        + "SELECT least(round(q, 2), 20.0::DOUBLE) AS q, round(x, 9) AS sensitivity, round(y, 9) AS specificity FROM t ORDER BY round(x + y, 12) DESC, t.q DESC LIMIT 1",
+        "fastq_files": _with() + "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, 'r;' || ord AS name, seq, CAST(32 AS BIGINT) AS n_qual FROM reads",
+        "fasta_files": _with() + "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, 'r' || ord AS name, seq, CAST(NULL AS VARCHAR) AS qual FROM reads",
+        "sam_files": _with() + "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, 'r' || ord AS name, seq, CAST(16 AS BIGINT) AS flag, CAST(ord % 61 AS BIGINT) AS mapq, CAST(ord % 4 AS BIGINT) AS nm FROM reads WHERE ord % 3 <> 0 AND ord % 5 <> 0",
+        "barcode_distance": _with("r AS (SELECT o_custkey, ord, substr(seq, 1, 6) AS b FROM reads)") + "SELECT x.o_custkey, CAST(MIN(levenshtein(x.b, y.b)) AS BIGINT) AS least FROM r x JOIN r y ON x.o_custkey = y.o_custkey AND x.ord < y.ord GROUP BY 1",
         "information": _with("b AS (SELECT i AS place, substr(seq, CAST(i + 1 AS BIGINT), 1) AS base, COUNT(*) AS n FROM reads, range(0, 8) AS r(i) GROUP BY ALL)", "p AS (SELECT place, n::DOUBLE / SUM(n) OVER (PARTITION BY place) AS p FROM b)") + "SELECT CAST(place AS BIGINT) AS place, round(SUM(p * log2(p / 0.25::DOUBLE)), 9) AS bits FROM p GROUP BY place",
         "numbered": _with() + "SELECT ord, substr(seq, 1, 1) AS sample, row_number() OVER (PARTITION BY substr(seq, 1, 1) ORDER BY ord) AS number FROM reads",
         "summary": _with(_FILES) + ", n AS (SELECT outcome, COUNT(*) AS n FROM files GROUP BY outcome) SELECT outcome, n, round(100.0::DOUBLE * n / (SELECT COUNT(*) FROM files), 4) AS percent FROM n",

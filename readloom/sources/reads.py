@@ -37,21 +37,33 @@ def kind_of(path: str) -> str:
     raise FormatError(f"{path}: not a FASTQ, FASTA or SAM file by its name")
 
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value, first, last): the lines of a file in order within each block, their numbers from 0, and the block's first and last number."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    counts = lines.groupBy("block").agg(F.count("*").alias("c"), F.min("id").alias("low"))
-    # one row per block of the file
-    over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.withColumn("first", F.coalesce(F.sum("c").over(over), F.lit(0))).select("block", "low", "first", (F.col("first") + F.col("c") - 1).alias("last"))
-    return lines.join(F.broadcast(start), "block").select((F.col("first") + F.col("id") - F.col("low")).alias("n"), "value", "first", "last")
+#: Blocks of files whose first numbers are sent to every task; beyond, lines are shuffled to them.
+MOST_BLOCKS = 100_000
+
+
+def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """(n, value, first, last): the lines of a file in order within each block, their numbers from 0, and the block's first and last number.
+
+    A folder or pattern reads as one file: its files in the order of their paths.  And whether the lines come in order."""
+    files = spark.read.text(path)
+    few = files.rdd.getNumPartitions() + len(files.inputFiles()) <= MOST_BLOCKS  # no file has more blocks than that
+    lines = files.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+    # one row per block within a file, and one per file
+    inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.groupBy("file").agg(F.sum("c").alias("c")).select("file", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    begun = counts.withColumn("at", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(offsets, "file")
+    start = begun.select("file", "block", "low", (F.col("before") + F.col("at")).alias("first"), (F.col("before") + F.col("at") + F.col("c") - 1).alias("last"))
+    joined = lines.join(F.broadcast(start) if few else start.hint("merge"), ["file", "block"])
+    return joined.select((F.col("first") + F.col("id") - F.col("low")).alias("n"), "value", "first", "last"), few
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(n, value): the lines of a file with their numbers from 0.
 
     Lines come in order within each block of the file; counting the blocks once gives each its first number."""
-    return _blocks(spark, path).select("n", "value")
+    return _blocks(spark, path)[0].select("n", "value")
 
 
 def clean_name(name: Column) -> Column:
@@ -82,8 +94,9 @@ def fastq_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Records that lie within a block of the file are put together where they are read; only the lines of records
     across two blocks are shuffled."""
-    lines = _blocks(spark, path).withColumn("ord", F.floor(F.col("n") / 4).cast("bigint"))
-    inside = (F.col("ord") * 4 >= F.col("first")) & (F.col("ord") * 4 + 3 <= F.col("last"))
+    lines, ordered = _blocks(spark, path)
+    lines = lines.withColumn("ord", F.floor(F.col("n") / 4).cast("bigint"))
+    inside = F.lit(ordered) & (F.col("ord") * 4 >= F.col("first")) & (F.col("ord") * 4 + 3 <= F.col("last"))
     whole = lines.where(inside).select("n", "value").mapInArrow(_fours, _RECORD)
     across = lines.where(~inside).groupBy("ord").agg(*[F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(f"l{k}") for k in range(4)])
     return whole.unionAll(across)

@@ -104,3 +104,18 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda df: sorted((r["ord"], r["outcome"], r["barcode"]) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(LS.label_stream(some, f))
     assert sum(r["n"] for r in spark.read.parquet(str(tmp_path / "n")).collect()) == 60
+
+
+@pytest.mark.parametrize("most", [R.MOST_BLOCKS, 0])
+def test_a_folder_reads_as_one_file_in_the_order_of_its_files(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(R, "MOST_BLOCKS", most)
+    folder = tmp_path / "all.fastq"
+    folder.mkdir()
+    for k, name in enumerate(("b.fastq", "a.fastq", "c.fastq")):
+        (folder / name).write_text("".join(f"@{name}{i}\nACGT{'ACG'[k] * (i % 5)}\n+\nIIII{'I' * (i % 5)}\n" for i in range(700 if k else 3)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = [(r["ord"], r["name"]) for r in R.read(spark, [str(folder)]).orderBy("ord").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate([f"a.fastq{i}" for i in range(700)] + [f"b.fastq{i}" for i in range(3)] + [f"c.fastq{i}" for i in range(700)]))

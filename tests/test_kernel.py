@@ -128,3 +128,34 @@ def test_long_reads_go_in_small_batches(monkeypatch):
     monkeypatch.setattr(K, "_CELLS", 1000)
     got = K.label(m, seqs)
     assert all(np.array_equal(a, b) for a, b in zip(want.labels, got.labels, strict=True)) and np.allclose(want.q, got.q)
+
+
+def test_pairs_merge_alike_together_and_alone():
+    import random
+
+    r = random.Random(5)
+    pairs = []
+    for _ in range(120):
+        whole = "".join(r.choice("ACGT") for _ in range(r.choice((40, 60))))
+        a, b = whole[: r.choice((30, 36))], whole[-r.choice((30, 36)) :]
+        b = "".join(r.choice("ACGTN") if r.random() < 0.05 else c for c in b)
+        q = lambda s: None if r.random() < 0.2 else "".join(chr(33 + r.randint(2, 40)) for _ in s)
+        pairs.append((a, q(a), b, q(b)))
+    pairs += [("", None, "ACGT", None), ("ACGT", "IIII", "", None), ("ACGTACGTACGTACGTACGT", None, "ACGTACGTACGTACGTACGT", None)]
+    got = K.overlaps(pairs, 10)
+    assert got == [K.overlap(*p, 10) for p in pairs] and sum(x is not None for x in got) > 100
+    for (a, qa, b, qb), found in zip(pairs, got, strict=True):
+        best = None
+        spread = lambda s, q: K._spread(K._LUT[np.frombuffer(s.encode(), np.uint8)], K.right_probability(q, len(s)))
+        pa, pb = (spread(s, q) if s else np.zeros((0, 4)) for s, q in ((a, qa), (b, qb)))
+        for d in range(-len(b) + 1, len(a)):
+            both = [(i, i - d) for i in range(len(a)) if 0 <= i - d < len(b)]
+            if len(both) > 10:
+                score = sum(np.log(pa[i] @ pb[j]) for i, j in both)
+                if best is None or score > best[0] + 1e-9:
+                    best = score, d, sum(a[i] == b[j] for i, j in both) / len(both)
+        assert (found is None) == (best is None)
+        if best:
+            assert found[3] == best[1] and len(found[0]) == len(found[1]) == max(len(a), best[1] + len(b)) - min(0, best[1])
+            if "N" not in b:
+                assert abs(found[2] - best[2]) < 1e-9
