@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_extract, language_id, line_dedup, media, mixing, pii, quality, simhash
+from . import ann, bpe, chat, fim, html_extract, language_id, line_dedup, media, mixing, pii, quality, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), model, keep=["doc_id"])
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html": op1_html,
@@ -80,8 +89,10 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
+        "op11_fim": op11_fim,
+        "op12_neighbours": op12_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {"op4_mixing": mixing.SQL, "op9_line_dedup": line_dedup.SQL, "op11_fim": fim.SQL}
