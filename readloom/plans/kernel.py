@@ -1,11 +1,13 @@
 """Scoring and labelling of reads: arrays in, arrays out, many reads at once.
 
-Probabilities are scaled at every base, so the forward and backward sums are plain matrix products.
+Probabilities are scaled at every base, so the forward and backward sums are plain products: of small blocks, one for
+each profile, and of what leaves and enters segments (see ``model``).  Within, arrays have a row for each state and a
+column for each read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,42 +32,168 @@ def encode(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def forward(m: Model, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward values (length, reads, states), the scales (length, reads), and log P(x | M)."""
-    b, width = x.shape
-    alpha, scale = np.zeros((width, b, len(m.start))), np.ones((width, b))
-    now = np.zeros((b, len(m.start)))
-    log = np.zeros(b)
+#: States before a read segment are given up where, of every read, they hold less than this part of what the segment
+#: holds, over the model's advantage: later bases cannot make up for it.
+_NEGLIGIBLE = 1e-20
+#: Bases between two looks for such states.
+_LOOK = 3
+
+
+class _Steps:
+    """A model's steps from the states of one base to those of the next, for states from ``lo`` on only."""
+
+    def __init__(self, m: Model) -> None:
+        self.m, self.emit = m, np.ascontiguousarray(m.emit.T)
+        self.blocks = [(lo, block, np.ascontiguousarray(block.transpose(0, 2, 1))) for lo, block in m.blocks]
+        self.leave, self.enter = np.flatnonzero(m.out.any(1)), np.flatnonzero(m.into.any(0))
+        bounds = [int(np.flatnonzero(m.segment[m.profile] == s)[0]) for s in range(len(m.skips))] + [len(m.start)]
+        read = next((s for s, seg in enumerate(m.layout.segments) if seg.kind == "R"), 0)
+        #: The states of each segment before the first read segment, and those of that one.
+        self.early, self.read = list(zip(bounds[:read], bounds[1:], strict=False)), slice(bounds[read], bounds[read + 1])
+        self.least = _NEGLIGIBLE / m.advantage if m.advantage < 1e250 else 0.0
+
+    def emission(self, lo: int, codes: np.ndarray) -> np.ndarray:
+        hot = np.zeros((self.emit.shape[1], len(codes)))
+        hot[codes, np.arange(len(codes))] = 1.0
+        return self.emit[lo:] @ hot
+
+    def _within(self, lo: int, now: np.ndarray, which: int) -> np.ndarray:
+        new = np.empty_like(now)
+        for at, *blocks in self.blocks:
+            block = blocks[which]
+            h, w, _ = block.shape
+            skip = max(0, lo - at) // w
+            if skip < h:
+                part = slice(at + skip * w - lo, at + h * w - lo)
+                np.matmul(block[skip:], now[part].reshape(h - skip, w, -1), out=new[part].reshape(h - skip, w, -1))
+        return new
+
+    def _across(self, lo: int, new: np.ndarray, now: np.ndarray, a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> np.ndarray:
+        a, b = a[a >= lo], b[b >= lo]
+        new[b - lo] += wb[:, b].T @ (wa[a].T @ now[a - lo])
+        return new
+
+    def onward(self, lo: int, now: np.ndarray) -> np.ndarray:
+        return self._across(lo, self._within(lo, now, 1), now, self.leave, self.m.out, self.enter, self.m.into)
+
+    def back(self, lo: int, now: np.ndarray) -> np.ndarray:
+        return self._across(lo, self._within(lo, now, 0), now, self.enter, self.m.into.T, self.leave, self.m.out.T)
+
+    def given_up(self, lo: int, now: np.ndarray) -> int:
+        """The first state that still counts; the others come before it, and nothing leads back to them."""
+        read = now[self.read.start - lo : self.read.stop - lo].sum(0) * self.least if self.early else None
+        for a, b in self.early:
+            if a == lo:
+                if not (now[: b - a].sum(0) <= read).all():
+                    break
+                lo, now = b, now[b - a :]
+        return lo
+
+    def by_profile(self, lo: int, now: np.ndarray) -> tuple[int, np.ndarray]:
+        """The first profile whose states count, and the sums of it and the others."""
+        parts = []
+        for at, block, _ in self.blocks:
+            h, w, _ = block.shape
+            skip = max(0, lo - at) // w
+            if skip < h:
+                parts.append(now[at + skip * w - lo : at + h * w - lo].reshape(h - skip, w, -1).sum(1))
+        out = np.concatenate(parts)
+        return len(self.m.segment) - len(out), out
+
+
+Alpha = list[tuple[int, np.ndarray]]
+
+
+def _forward(steps: _Steps, x: np.ndarray, n: np.ndarray, keep: bool = True) -> tuple[Alpha, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each base the first state that counts and the scaled values (states, reads) from there on (none unless they are kept); the scales; what may end; and log P(x | M)."""
+    m, (b, width) = steps.m, x.shape
+    alpha, scale, last = [], np.ones((width, b)), np.zeros(b)
+    now, lo = np.zeros((len(m.start), b)), 0
     for t in range(width):
-        new = (now @ m.step if t else np.broadcast_to(m.start, now.shape)) * m.emit[x[:, t]]
-        live = t < n
-        c = new.sum(1)
-        c[~live | (c <= 0)] = 1.0
-        now = np.where(live[:, None], new / c[:, None], now)
-        alpha[t], scale[t] = now, c
-        log += np.log(c)
+        new = steps.onward(lo, now) if t else np.repeat(m.start[:, None], b, 1)
+        new *= steps.emission(lo, x[:, t])
+        c, live = new.sum(0), t < n
+        c[c <= 0] = 1.0
+        scale[t, live] = c[live]
+        new /= c
+        if not live.all():
+            new[:, ~live] = 0.0
+        now = new
+        ends = t == n - 1
+        if ends.any():
+            last[ends] = m.end[lo:] @ now[:, ends]
+        if keep:
+            alpha.append((lo, now))
+        if t % _LOOK == _LOOK - 1 and (up := steps.given_up(lo, now)) > lo:
+            # what is given up counts no more from the next base on
+            now, lo = now[up - lo :], up
     with np.errstate(divide="ignore"):
-        return alpha, scale, np.where(n > 0, log + np.log(now @ m.end), -np.inf)
+        return alpha, scale, last, np.where(n > 0, np.log(scale).sum(0) + np.log(last), -np.inf)
 
 
-def backward(m: Model, x: np.ndarray, n: np.ndarray, alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Scaled backward values: alpha * beta is the posterior of each state."""
-    b, width = x.shape
-    beta = np.zeros_like(alpha)
-    last = alpha[np.maximum(n - 1, 0), np.arange(b)] @ m.end if width else np.zeros(b)
-    ends = m.end / np.where(last > 0, last, 1.0)[:, None]
-    now = ends
+def _betas(steps: _Steps, x: np.ndarray, n: np.ndarray, los: list[int], scale: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(t, scaled backward values (states that count, reads)), from the last base to the first."""
+    m, (b, width) = steps.m, x.shape
+    ends = m.end[:, None] / np.where(last > 0, last, 1.0)
+    now = ends[los[-1] :] if width else ends
     for t in range(width - 1, -1, -1):
         if t < width - 1:
-            step = (now * m.emit[x[:, t + 1]] / scale[t + 1][:, None]) @ m.step.T
-            now = np.where((t + 1 < n)[:, None], step, ends)
-        beta[t] = now
+            g = steps.emission(los[t + 1], x[:, t + 1])
+            g *= now
+            g /= scale[t + 1]
+            if los[t] < los[t + 1]:
+                g = np.concatenate((np.zeros((los[t + 1] - los[t], b)), g))
+            on = t + 1 < n
+            now = steps.back(los[t], g)
+            if not on.all():
+                now = np.where(on, now, ends[los[t] :])
+        yield t, now
+
+
+def forward(m: Model, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward values (length, reads, states), the scales (length, reads), and log P(x | M)."""
+    alpha, scale, _, log = _forward(_Steps(m), x, n)
+    out = np.zeros((x.shape[1], len(x), len(m.start)))
+    for t, (lo, now) in enumerate(alpha):
+        out[t, :, lo:] = now.T
+    return out, scale, log
+
+
+def backward(m: Model, x: np.ndarray, n: np.ndarray, alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Scaled backward values: alpha * beta is the posterior of each state."""
+    beta, width = np.zeros_like(alpha), x.shape[1]
+    last = alpha[np.maximum(n - 1, 0), np.arange(len(x))] @ m.end if width else np.zeros(len(x))
+    for t, now in _betas(_Steps(m), x, n, [0] * width, scale, last):
+        beta[t] = now.T
     return beta
 
 
+def posterior(m: Model, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The posterior of each profile at each base (length, reads, profiles), that of entering each profile anywhere (reads, profiles), and log P(x | M)."""
+    steps = _Steps(m)
+    alpha, scale, last, log = _forward(steps, x, n)
+    profiles, b = len(m.segment), len(x)
+    share, entered = np.zeros((x.shape[1], b, profiles)), np.zeros((profiles, b))
+    entries = np.flatnonzero(m.entry)
+    for t, beta in _betas(steps, x, n, [lo for lo, _ in alpha], scale, last):
+        lo, post = alpha.pop()
+        post *= beta
+        inside = t < n
+        if not inside.all():
+            post[:, ~inside] = 0.0
+        first, sums = steps.by_profile(lo, post)
+        share[t, :, first:] = sums.T
+        some = entries[entries >= lo]
+        if len(some):
+            of = m.profile[some]
+            at = np.flatnonzero(np.diff(of, prepend=-1))
+            entered[of[at]] += np.add.reduceat(post[some - lo], at, axis=0)
+    return share, entered.T, log
+
+
 def log_likelihood(m: Model, seqs: list[str]) -> np.ndarray:
     """log P(x | M) of each read."""
-    return _by_length(seqs, lambda part: forward(m, *encode(part))[2], float, len(m.start))
+    return _by_length(seqs, lambda part: _forward(_Steps(m), *encode(part), keep=False)[3], float, len(m.start))
 
 
 def random_log_likelihood(m: Model, x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -151,15 +279,10 @@ def confidence(v: np.ndarray, log_model: np.ndarray, log_random: np.ndarray) ->
 
 def label(m: Model, seqs: list[str], decode: bool = True) -> Labelled:
     """Score all reads, and label their bases unless only confidences are wanted."""
-    groups = m.profiles
 
     def run(part: list[str]) -> list[tuple]:
         x, n = encode(part)
-        alpha, scale, log = forward(m, x, n)
-        post = alpha * backward(m, x, n, alpha, scale)
-        inside = (np.arange(x.shape[1])[:, None] < n[None, :])[..., None]
-        post = np.where(inside, post, 0.0)
-        entered = post[..., m.entry].sum(0) @ groups[m.entry]
+        share, entered, log = posterior(m, x, n)
         v = np.ones(len(part))
         for s in range(len(m.skips)):
             mine = m.segment == s
@@ -169,7 +292,7 @@ def label(m: Model, seqs: list[str], decode: bool = True) -> Labelled:
                 v *= np.where(total > 0, top / np.where(total > 0, total, 1), 0)
         random = random_log_likelihood(m, x, n)
         q = confidence(np.minimum(v, 1), log, random)
-        labels = best_path(m, post @ groups, n) if decode else np.zeros(x.shape, np.int32)
+        labels = best_path(m, share, n) if decode else np.zeros(x.shape, np.int32)
         return [(labels[i, : n[i]], q[i], log[i], random[i]) for i in range(len(part))]
 
     out = _by_length(seqs, run, object, len(m.start))

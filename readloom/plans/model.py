@@ -1,9 +1,10 @@
 """From a layout to a hidden Markov model with emitting states only.
 
 Every alternative of a segment is a profile: match, insert and delete states per column.  States without an
-emission (segment ends and deletions) form a graph without cycles, so they are summed out exactly: with the
-weights T between all states, A = T_ee + T_es (1 - T_ss)^-1 T_se joins emitting states directly.  The kernel
-then needs nothing but a matrix product per base.
+emission form a graph without cycles and are summed out exactly, deletions and the places between segments apart:
+from one base to the next a path either stays within its profile (a small dense block for each), or leaves its segment
+for a place between two and enters a profile from there (an outer product for each place).  So a base costs as many steps as
+there are states times the width of a profile, not the square of the states, however many barcodes there are.
 """
 
 from __future__ import annotations
@@ -57,12 +58,14 @@ class Stats:
 
 @dataclass
 class Model:
-    """Emitting states; start, steps and ends; and which profile each state belongs to."""
+    """Emitting states, those of a profile side by side; start, steps and ends; and which profile each state belongs to."""
 
     layout: Layout
     emit: np.ndarray  # CODES, states
     start: np.ndarray
-    step: np.ndarray
+    blocks: list[tuple[int, np.ndarray]]  # of neighbouring profiles of one width: the first state, and their steps (profiles, width, width)
+    out: np.ndarray  # states, places between segments
+    into: np.ndarray  # places, states
     end: np.ndarray
     profile: np.ndarray  # of each state
     entry: np.ndarray  # whether a state is the first of its profile on any path
@@ -72,11 +75,22 @@ class Model:
     skips: np.ndarray  # whether a segment may be left out
     average_length: float
     background: np.ndarray
+    advantage: float  # by how much all segments together can favour a read over random bases
 
     @property
-    def profiles(self) -> np.ndarray:
-        """States by profiles, as a 0/1 matrix."""
-        return (self.profile[:, None] == np.arange(len(self.segment))).astype(float)
+    def step(self) -> np.ndarray:
+        """All steps between states as one matrix; the kernel does without it."""
+        full = self.out @ self.into
+        for lo, block in self.blocks:
+            for k, one in enumerate(block):
+                at = slice(lo + k * len(one), lo + (k + 1) * len(one))
+                full[at, at] += one
+        return full
+
+    @property
+    def firsts(self) -> np.ndarray:
+        """The first state of each profile."""
+        return np.flatnonzero(np.diff(self.profile, prepend=-1))
 
 
 def gaussian(x: float, mean: float, sd: float) -> float:
@@ -234,13 +248,39 @@ def build(layout: Layout, stats: Stats, o: Options) -> Model:
     for a, b, w in g.weights:
         t[a, b] += w
     loud = np.array([e is not None for e in g.emit])
-    es, ss = t[np.ix_(loud, ~loud)], t[np.ix_(~loud, ~loud)]
-    through = np.linalg.inv(np.eye(len(ss)) - ss)
-    se = t[np.ix_(~loud, loud)]
-    silent = np.flatnonzero(~loud)
-    begin, stop = int(np.flatnonzero(silent == edges[0])[0]), int(np.flatnonzero(silent == edges[-1])[0])
+    place = np.isin(np.arange(n), edges)
+    gone = ~loud & ~place
     keep = np.flatnonzero(loud)
+    # deletions are passed within a profile, left-out segments between places
+    through = t[np.ix_(loud, gone)] @ np.linalg.inv(np.eye(int(gone.sum())) - t[np.ix_(gone, gone)])
+    within = t[np.ix_(loud, loud)] + through @ t[np.ix_(gone, loud)]
+    out = t[np.ix_(loud, place)] + through @ t[np.ix_(gone, place)]
+    onward = np.linalg.inv(np.eye(int(place.sum())) - t[np.ix_(place, place)])
+    into = onward @ t[np.ix_(place, loud)]
+    owner = np.array([g.owner[i] for i in keep])
     return Model(
-        layout, np.stack([g.emit[i] for i in keep], 1), (through @ se)[begin], t[np.ix_(loud, loud)] + es @ through @ se, (es @ through)[:, stop],
-        np.array([g.owner[i] for i in keep]), np.array([g.first[i] for i in keep]), np.array(segment), np.array(alternative), np.array(null), np.array(skips), float(stats.average_length), bg,
+        layout, np.stack([g.emit[i] for i in keep], 1), into[0], _blocks(within, owner), out, into, out @ onward[:, -1],
+        owner, np.array([g.first[i] for i in keep]), np.array(segment), np.array(alternative), np.array(null), np.array(skips), float(stats.average_length), bg, _advantage(layout, bg, o),
     )
+
+
+def _advantage(layout: Layout, bg: np.ndarray, o: Options) -> float:
+    out, random = 1.0, np.append(bg, bg[4])
+    with np.errstate(divide="ignore", over="ignore"):
+        for seg in layout.segments:
+            each = [np.prod([np.max(np.where(e > 0, e / random, 0)) for e in (_match(c, bg, o) for c in seq)]) for seq in seg.alternatives]
+            out *= max(1.0, *each)
+    return float(out)
+
+
+def _blocks(within: np.ndarray, owner: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each profile's own steps; those of neighbours of one width together."""
+    sizes = np.bincount(owner)
+    out, lo, p = [], 0, 0
+    while p < len(sizes):
+        many = next((k for k in range(p, len(sizes)) if sizes[k] != sizes[p]), len(sizes)) - p
+        w = int(sizes[p])
+        at = lo + np.arange(many * w).reshape(many, w)
+        out.append((lo, within[at[:, :, None], at[:, None, :]]))
+        lo, p = lo + many * w, p + many
+    return out

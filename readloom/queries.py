@@ -5,6 +5,7 @@ hash each, the same in any engine.  Every query goes through the package's opera
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 import uuid
@@ -287,6 +288,11 @@ def q_distinct_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(0, 2).union(part(0, 3)).distinct()
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows over all cores: scoring a read costs far more than moving it, and a small table is read by one task."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 # -- queries without SQL ----------------------------------------------------------------------------
 
 
@@ -297,14 +303,14 @@ def _fitted(threshold: float = 1.5) -> Fitted:
 
 def q_label_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _fitted()
-    return label.label(reads(spark, sf_dir), f.model, f.threshold).select("ord", "outcome", F.round("q", 4).alias("q"), "barcode", F.size("labels").alias("n_labels"), F.col("payloads")[0]["seq"].alias("payload"))
+    return label.label(spread(reads(spark, sf_dir)), f.model, f.threshold).select("ord", "outcome", F.round("q", 4).alias("q"), "barcode", F.size("labels").alias("n_labels"), F.col("payloads")[0]["seq"].alias("payload"))
 
 
 def q_extract_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files: reads with a barcode, and plain mates; outcomes combined."""
     both = reads(spark, sf_dir).unionByName(reads(spark, sf_dir, "b").withColumn("file_ix", F.lit(1)))
     plain = L.parse("R:N")
-    out = extract(both, [_fitted(), Fitted(plain, build(plain, BACKGROUND, Options()), 0.0)])
+    out = extract(spread(both), [_fitted(), Fitted(plain, build(plain, BACKGROUND, Options()), 0.0)])
     return out.select("ord", "outcome", "barcode", F.size("files").alias("files"))
 
 
@@ -318,7 +324,7 @@ def q_simulate_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_contaminants_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = label.label(reads(spark, sf_dir), build(L.parse("R:N"), BACKGROUND, Options()), 0.0)
+    got = label.label(spread(reads(spark, sf_dir)), build(L.parse("R:N"), BACKGROUND, Options()), 0.0)
     refs = spark.createDataFrame([(0, "ACGT" * 20), (1, "GATTACA" * 12)], "ref_ix int, seq string")
     return filters.contaminants(got, refs).groupBy("outcome", "contaminant_ix").agg(F.count("*").alias("n"))
 
@@ -336,17 +342,47 @@ def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads taken apart into barcode, UMI, spacer and payload."""
     layout = L.parse(_SEGMENTS)
-    out = label.label(_composed(spark, sf_dir), build(layout, BACKGROUND, Options()), 0.0)
+    out = label.label(spread(_composed(spark, sf_dir)), build(layout, BACKGROUND, Options()), 0.0)
     return out.select("ord", "outcome", "barcode", "fp", "fp_seq", F.col("payloads")[0]["seq"].alias("payload"), F.length(F.col("payloads")[0]["qual"]).cast("bigint").alias("n_qual"))
 
 
 def q_label_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of reads whose payload is cut to 0 to 31 bases: under 16 are too short."""
     some = _composed(spark, sf_dir).withColumn("seq", F.expr("substring(seq, 1, int(16 + 8 + ord % 24))")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
-    out = label.label(some, build(L.parse(_SEGMENTS), BACKGROUND, Options()), 0.0)
+    out = label.label(spread(some), build(L.parse(_SEGMENTS), BACKGROUND, Options()), 0.0)
     return out.groupBy("outcome", "barcode").agg(F.count("*").alias("n"))
 
 
+def spaced(n: int, length: int, distance: int) -> list[str]:
+    """The first n tags in the order of the alphabet that differ from all before them in so many places."""
+    out: list[str] = []
+    for letters in itertools.product("ACGT", repeat=length):
+        if all(sum(map(str.__ne__, letters, t)) >= distance for t in out):
+            out.append("".join(letters))
+            if len(out) == n:
+                break
+    return out
+
+
+#: A plate of samples.
+PLATE = spaced(96, 8, 4)
+
+
+def _plate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of 96 samples; one base within the barcode of every second one is wrong."""
+    code = F.element_at(F.array(*[F.lit(b) for b in PLATE]), (F.col("ord") % 96 + 1).cast("int"))
+    at = (F.lit(3) + F.col("ord") % 4).cast("int")
+    wrong = F.concat(F.substring(code, F.lit(1), at - 1), F.translate(F.substring(code, at, F.lit(1)), "ACGT", "CGTA"), F.substring(code, at + 1, F.lit(8)))
+    return reads(spark, sf_dir).withColumn("seq", F.concat(F.when(F.floor(F.col("ord") / 96) % 2 == 0, code).otherwise(wrong), "seq")).withColumn("qual", F.lit(None).cast("string"))
+
+
+def q_label_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of 96 barcodes of eight bases, half of them with an error."""
+    layout = L.parse("B:" + ",".join(PLATE) + " R:N")
+    out = label.label(spread(_plate(spark, sf_dir)), build(layout, BACKGROUND, Options()), 0.0)
+    return out.select("ord", "outcome", "barcode", F.col("payloads")[0]["seq"].alias("payload"))
+
+
 def q_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold that calibration takes, from fixed confidences."""
     scored = reads(spark, sf_dir).select(((F.col("ord") % 389) / 10).cast("double").alias("q"), ((F.col("o_custkey") * 7) % 389 < F.col("ord") % 389).alias("is_real"))
@@ -481,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
         "trim_exact": _with("m AS (SELECT ord, seq, list_min(list_filter(range(1, 30), lambda i: regexp_matches(substr(seq, i, 4), '^AC[ACGTN]T$'))) AS i FROM reads)") + "SELECT ord, substr(seq, i + 4) AS seq, repeat('I', CAST(29 - i AS INTEGER)) AS qual FROM m WHERE i IS NOT NULL AND 29 - i >= 16",
         "split_by_tag": _with() + "SELECT substr(seq, 1, 6) AS part, COUNT(*) AS n FROM reads GROUP BY 1",
         "label_segments": _with(_COMPOSED) + "SELECT ord, 'success' AS outcome, barcode, CAST(list_sum(list_transform(range(1, 5), lambda i: (strpos('ACGT', substr(umi, i, 1)) - 1) * CAST(pow(4, 4 - i) AS BIGINT))) AS BIGINT) AS fp, umi AS fp_seq, seq AS payload, CAST(32 AS BIGINT) AS n_qual FROM composed",
+        "label_plate": _with() + "SELECT ord, 'success' AS outcome, list_extract([" + ", ".join(f"'{b}'" for b in PLATE) + "], CAST(ord % 96 + 1 AS INTEGER)) AS barcode, seq AS payload FROM reads",
         "label_outcomes": _with(_COMPOSED) + "SELECT CASE WHEN 8 + ord % 24 < 16 THEN 'too_short' ELSE 'success' END AS outcome, barcode, COUNT(*) AS n FROM composed GROUP BY ALL",
         "threshold": _with("s AS (SELECT (ord % 389)::DOUBLE / 10 AS q, COUNT(*) FILTER ((o_custkey * 7) % 389 < ord % 389) AS a, COUNT(*) FILTER (NOT (o_custkey * 7) % 389 < ord % 389) AS b FROM reads GROUP BY 1)",
             "t AS (SELECT q, (SUM(a) OVER w)::DOUBLE / (SUM(a) OVER ())::DOUBLE AS x, 1 - (SUM(b) OVER w)::DOUBLE / (SUM(b) OVER ())::DOUBLE AS y FROM s WINDOW w AS (ORDER BY q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")

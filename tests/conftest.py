@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 DATA = "/root/testdata/sf0.001"
 
 

@@ -159,3 +159,58 @@ def test_pairs_merge_alike_together_and_alone():
             assert found[3] == best[1] and len(found[0]) == len(found[1]) == max(len(a), best[1] + len(b)) - min(0, best[1])
             if "N" not in b:
                 assert abs(found[2] - best[2]) < 1e-9
+
+
+def dense(m, x):
+    """Posteriors (length, states) and log P(x | M) of one read, by products with the whole step matrix."""
+    step, alpha, beta, log = m.step, [], [m.end], 0.0
+    for t, c in enumerate(x):
+        now = (alpha[-1] @ step if t else m.start) * m.emit[c]
+        log += math.log(now.sum())
+        alpha.append(now / now.sum())
+    for c in x[:0:-1]:
+        now = step @ (beta[0] * m.emit[c])
+        beta.insert(0, now / now.max())
+    if not alpha[-1] @ m.end > 0:
+        return np.zeros((len(x), len(m.start))), -math.inf
+    post = np.array(alpha) * np.array(beta)
+    return post / post.sum(1, keepdims=True), log + math.log(alpha[-1] @ m.end)
+
+
+MANY = ["".join("ACGT"[(i >> k & 3) ^ (k > 6 and i & 3)] for k in (0, 2, 4, 6, 8, 6, 4, 2)) for i in range(0, 960, 10)]
+SHAPES = [
+    "P:ACGTAC B:ACAG,TTGA S:GGG F:NNN O:T R:N P:TTGACA", "G:GGG R:N", "O:N B:ACAGTG,ACTTGA S:GGG R:N", "B:" + ",".join(MANY) + " R:N",
+    "R:N S:GATT R:N", "F:AC O:T", "S:ACGTACGT,ACGTTTTT B:AC,GT R:N P:ACGTACGTACGT", "B:ACAGTG,ACTTGA S:GATTCA F:NNNN",
+]
+
+
+@pytest.mark.parametrize("words", SHAPES)
+def test_blocks_equal_the_dense_product(words):
+    m = build(L.parse(words), STATS, Options())
+    rng = np.random.default_rng(8)
+    heads = ["", "ACAG", "ACAGTG", MANY[17], "TTGAGGGACG", "GGG"]
+    seqs = [heads[k % len(heads)] + "".join(rng.choice(list("ACGTN"), k)) for k in (1, 4, 9, 15, 30, 30, 90)]
+    x, n = K.encode(seqs)
+    share, entered, log = K.posterior(m, x, n)
+    alpha, scale, log_2 = K.forward(m, x, n)
+    for i, k in enumerate(n.tolist()):
+        post, want = dense(m, x[i, :k])
+        groups = (m.profile[:, None] == np.arange(len(m.segment))).astype(float)
+        if math.isinf(want):
+            assert log[i] == want and log_2[i] == want
+            continue
+        assert log[i] == pytest.approx(want, abs=1e-9) and log_2[i] == pytest.approx(want, abs=1e-9) and K.log_likelihood(m, [seqs[i]])[0] == pytest.approx(want, abs=1e-9)
+        assert np.allclose(share[:k, i], post @ groups, atol=1e-9) and not share[k:, i].any()
+        assert np.allclose(entered[i], post[:, m.entry].sum(0) @ groups[m.entry], atol=1e-9)
+    known = (np.arange(x.shape[1])[:, None] < n) & np.isfinite(log)
+    assert known.any() and np.allclose((alpha * K.backward(m, x, n, alpha, scale)).sum(2)[known], 1)
+
+
+def test_barcodes_are_given_up_in_long_reads_only_behind_their_place():
+    m = build(L.parse(SHAPES[3]), STATS, Options())
+    seqs = [MANY[k] + "GATTACA" * 12 for k in range(0, 96, 7)]
+    steps = K._Steps(m)
+    alpha, *_ = K._forward(steps, *K.encode(seqs))
+    firsts = [lo for lo, _ in alpha]
+    assert firsts[:8] == [0] * 8 and 0 < firsts[-1] == steps.read.start and firsts == sorted(firsts)
+    assert [m.alternative[x[0]] for x in K.label(m, seqs).labels] == list(range(0, 96, 7))

@@ -179,7 +179,7 @@ def test_reads_add_up_whatever_is_known(spark):
 def test_calibration_draws_long_reads_whole(spark):
     m = build(L.parse("B:ACAGTG,TTAGGC R:N"), Stats((0.25, 0.25, 0.25, 0.24, 0.01), 600, 600), Options())
     rng = np.random.default_rng(1)
-    drawn, noise = calibrate.emit_many(m, rng, 200, 600), calibrate.emit_random_many(m, rng, 200, 600)
+    drawn, noise = calibrate.Sampler(m, 600).draw(rng, 200), calibrate.emit_random_many(m, rng, 200, 600)
     assert len(drawn) == len(noise) == 200 and min(map(len, drawn + noise)) >= 600
     assert sum(s[:6] in ("ACAGTG", "TTAGGC") for s in drawn) > 120 > 20 > sum(s[:6] in ("ACAGTG", "TTAGGC") for s in noise)
     short = build(L.parse("B:ACAGTG,TTAGGC R:N"), STATS, Options())
