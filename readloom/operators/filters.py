@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
 from ..plans import kernel
@@ -187,8 +187,9 @@ def flags_without(reads: DataFrame, mask: int = 768) -> DataFrame:
     return reads.where(F.col("flag").bitwiseAND(F.lit(mask)) == 0)
 
 
-def summary(reads: DataFrame) -> DataFrame:
-    """(outcome, contaminant_ix, n, percent) over all reads."""
-    counts = reads.groupBy("outcome", "contaminant_ix").agg(F.count("*").alias("n"))
-    total = reads.agg(F.count("*")).scalar()
+def summary(reads: DataFrame, count: Column | None = None) -> DataFrame:
+    """(outcome, contaminant_ix, n, percent) over all reads, which are gone through once; or over counts of them."""
+    counts = reads.groupBy("outcome", "contaminant_ix").agg((F.count("*") if count is None else count).alias("n"))
+    # the window is over the few rows of the result
+    total = F.sum("n").over(Window.partitionBy())
     return counts.select("outcome", "contaminant_ix", "n", F.round(100.0 * F.col("n") / total, 4).alias("percent"))

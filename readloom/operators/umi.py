@@ -10,9 +10,9 @@ def molecules(reads: DataFrame) -> DataFrame:
     return reads.groupBy("fp", "chrom", "pos").agg(F.count("*").alias("n"))
 
 
-def per_chrom(molecules_: DataFrame) -> DataFrame:
-    """(chrom, with_umi, without_umi): molecules, and reads."""
-    return molecules_.groupBy("chrom").agg(F.count("*").alias("with_umi"), F.sum("n").alias("without_umi"))
+def per_chrom(molecules_: DataFrame, *by: str) -> DataFrame:
+    """(by, chrom, with_umi, without_umi): molecules, and reads."""
+    return molecules_.groupBy(*by, "chrom").agg(F.count("*").alias("with_umi"), F.sum("n").alias("without_umi"))
 
 
 def side_by_side(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -389,7 +389,7 @@ def q_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.best_threshold(scored).select("q", F.round("sensitivity", 9).alias("sensitivity"), F.round("specificity", 9).alias("specificity"))
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -399,7 +399,7 @@ def _scratch(spark: SparkSession) -> str:
 
 def _written(spark: SparkSession, sf_dir: str, record: Column, end: str, head: str | None = None) -> str:
     """A folder of files with a record of each read, in the order of the keys."""
-    path = f"{_scratch(spark)}.{end}"
+    path = f"{scratch(spark)}.{end}"
     lines = reads(spark, sf_dir).orderBy("ord").select(record.alias("value"))
     (lines if head is None else spark.createDataFrame([(head,)], "value string").coalesce(1).union(lines)).write.text(path)
     return path
