@@ -2,7 +2,7 @@
 
 A file stream takes what is new since its checkpoint.  Each row of the table gives one or more records (``records``),
 each record a read (``seq``); a read goes to the sample whose barcode its first bases are nearest to, loses its barcode, and
-gets an outcome: ``barcode_missing`` with too many differing bases, ``too_short``, ``low_complexity``, or ``success``.
+gets an outcome: ``barcode_missing`` with too many differing bases or fewer bases than a barcode has, ``too_short``, ``low_complexity``, or ``success``.
 
     <output>/reads/batch=N/lane=L/sample=S    id, record, outcome, payload
     <output>/counts/batch=N                   lane, sample, outcome, reads

@@ -42,10 +42,10 @@ WITH lines AS (SELECT doc_id AS id, coalesce(nullif(source, ''), 'none') AS lane
 reads AS (SELECT id, lane, record, left(translate(md5(line), '0123456789abcdef', 'ACGTACGTACGTACGT'), length(line)) AS seq FROM lines WHERE trim(line) <> ''),
 tags AS (
     SELECT p.tag, c.sample, row_number() OVER (PARTITION BY p.tag ORDER BY {_DIFFER}, c.barcode) AS k, {_DIFFER} AS distance
-    FROM (SELECT DISTINCT substr(seq, 1, 4) AS tag FROM reads) p, (VALUES {_CODES}) AS c(sample, barcode)
+    FROM (SELECT DISTINCT substr(seq, 1, 4) AS tag FROM reads WHERE length(seq) >= 4) p, (VALUES {_CODES}) AS c(sample, barcode)
 ), dealt AS (
     SELECT r.id, r.record, r.lane, CASE WHEN t.distance <= 1 THEN t.sample ELSE 'undetermined' END AS sample, CASE WHEN t.distance <= 1 THEN substr(r.seq, 5) ELSE r.seq END AS payload
-    FROM reads r JOIN tags t ON t.tag = substr(r.seq, 1, 4) AND t.k = 1
+    FROM reads r LEFT JOIN tags t ON t.tag = substr(r.seq, 1, 4) AND t.k = 1
 ), scored AS (SELECT payload, {_DUST.format(s="payload")} AS d FROM (SELECT DISTINCT payload FROM dealt WHERE sample <> 'undetermined'))
 SELECT id, record, lane, d.sample, CASE WHEN d.sample = 'undetermined' THEN 'barcode_missing' WHEN length(payload) < 16 THEN 'too_short' WHEN s.d > 2.5 THEN 'low_complexity' ELSE 'success' END AS outcome, payload
 FROM dealt d LEFT JOIN scored s USING (payload)
