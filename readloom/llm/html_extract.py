@@ -1,13 +1,18 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
-A page is read as a row of tokens: words and tags.  Words score positive and tags negative, and the
-contiguous run with the greatest sum (found in one linear scan) is the content region, whose blocks are
-joined in page order.  All weights are log-odds estimated from labelled pages (``labelled_pages``).  A tag's
-weight depends on its name, on whether it lies in an article or main element, and on whether its element
-or one around it is boilerplate by the evidence of its name, role and the words of its class and id; words
-of such elements score nothing and are not shown, so that an advert within the article costs its two tags.
-
-Defined results: a null or empty page, and a page without words outside of boilerplate, has the empty text;
+A page is read as a row of tokens: words and tags.  A word weighs as much as words in general do, more or less the
+evidence of the elements that it lies in; tags weigh less than nothing.  The contiguous run with the greatest sum (found
+in one linear scan) is the content region, whose blocks are joined in page order.  All weights are log-odds estimated from
+labelled pages (``labelled_pages``).  The evidence of an element is that of its name, its role and the words of its class and
+id; it is bounded, and adds up with that of the elements around it, so that a doubtful word in the class of a wrapper
+costs its words a little, which good evidence within wins back.  Words joined to others (``nav-open``, ``sidebar-left``)
+mostly tell of a page's state, so they count for less, and for very little beside a word such as ``content``.
+
+Where evidence makes words weigh less than nothing, an element's words together cost no more than a few words gain, so that
+an advert in the middle of an article does not part it.  Within the region, such parts are the runs of least sum of the same
+weights between words of content, found by the same scan with the signs turned; they are taken out.
+
+Defined results: a null or empty page, and a page without a run of words that gain more than their tags cost, has the empty text;
 what HTML does not render as text (scripts, styles, form controls, hidden elements) never shows; unclosed and
 misnested tags are closed where HTML closes them, a tag or comment without an end runs to the page's end;
 equal pages get equal texts; repeated rows get one result each; columns but page_id, url and html are ignored;
@@ -173,6 +178,11 @@ part: header | div class="header" | div class="side" | div class="legal" | div c
 """
 
 
+#: How classes join such words to others: those of parts, and of wrappers whose words tell of a state.
+_PARTS = "site-* | *-list | *-box | *-wrap | *-area | *-bar | *-container | *-item | page-* | *-inner | *-block | *-widget | *-notice | *-banner | main-*"
+_WRAPPERS = "wrapper | content | entry | story | text | body | layout | container | post | article-wrap | content-area | post-container | main-inner | text-block | entry-box | story-item | content-bar | page-list | site-main"
+
+
 def _spec(text: str) -> list[tuple[str, str]]:
     return [(kind, tag.strip()) for kind, tags in (x.split(":", 1) for x in text.strip().splitlines()) for tag in tags.split(" | ")]
 
@@ -195,8 +205,9 @@ def labelled_pages() -> list[str]:
         return wrap(tag, inner)
 
     out, others = [], _spec(_AROUND)
+    how, wrappers = _PARTS.split(" | "), _WRAPPERS.split(" | ")
     shapes, pages, parts = ([tag for kind, tag in _spec(_WITHIN) if kind == x] for x in ("shape", "page", "part"))
-    for k in range(2 * len(others)):
+    for k in range(3 * len(others)):
         body = "".join(f"<p>{text(20 + (i * k) % 30, i)} <a href='/x'>{text(2, i)}</a> <b>{text(1, k)}</b> {text(9, k)}.</p>" for i in range(2 + k % 5))
         for tag in ("ul", "ol")[k % 2 : 2 if k % 3 else 1]:
             body += wrap(tag, "".join(f"<li>{text(8 + i, k)} <a href='/x'>{text(1, i)}</a></li>" for i in range(3)))
@@ -212,23 +223,39 @@ def labelled_pages() -> list[str]:
             body += "{{" + around(*pick[3], k) + "}}" + f"<p>{text(30, k)}</p>"
         article = wrap(shape, f"[[<h1>{text(5, k)}</h1>{body}]]")
         plain = f"<div><a href='/'>{text(2, k)}</a> | <a href='/'>{text(1, k)}</a></div>" if k % 2 else f"<div><ul>{links(5, k)}</ul></div>"
+        joined = others[(k * 7 + 3) % len(others)]
+        words_of = [w for w in _SPLIT_MARK.split(joined[1].split("=", 1)[-1]) if w and w not in ("class", "role", "id", "div")]
+        word = words_of[k // len(others) % len(words_of)]
+        part = around(joined[0], f'div class="{how[k % len(how)].replace("*", word.lower())}"', k)
+        article = wrap(f'div class="{wrappers[k % len(wrappers)]}"', article)
+        article = f"{part}{article}" if k % 3 else f"{article}{part}"
         out.append(f"<html><body>{around(*pick[0], k)}{wrap(pages[k % len(pages)], around(*pick[1], k + 1) + article)}{plain}{around(*pick[2], k + 2)}</body></html>")
     return out
 
 
 Feature = tuple[str, str]
-#: An element is boilerplate below this sum of log-odds; the odds for content count for little, but those of holding an article.
-_LIMIT, _MOST, _MOST_HOLDS, _SMALL = -2.6, 0.5, 2.5, 0.1
+#: Log-odds for content count for no more than the first of these (of an element that holds an article, the second; of the names of others but article and main, the third); counts are smoothed by the last.
+_MOST, _MOST_HOLDS, _MOST_NAME, _SMALL = 0.5, 2.5, 0.05, 0.1
+#: Log-odds up to the first of these count for the second of them only.
+_SURE, _UNSURE = 2.0, 0.15
+#: Bounds of the evidence of all elements around a word, and of words that are joined to others in a class: of a token
+#: without and with a word of state, and of all of them beside a word that speaks for content.
+_LOW, _HIGH, _JOINED, _STATE, _BESIDE = -5.0, 1.0, -4.0, -0.3, -0.4
+#: What the words of an element cost together at most, where each weighs less than nothing.
+_COST = 6.0
+#: Words that tell of the state of a page or part rather than of what it is.  Fixed values.
+STATES = frozenset("open opened closed close on off left right top bottom middle no not non has have with without is enabled disabled active inactive visible invisible hidden fixed sticky free full wide narrow collapsed expanded ready loaded accepted allowed dismissed shown after before below above first last one two three col cols column columns layout page single template type id post category topics format style theme".split())
 
 
 @lru_cache(maxsize=4096)
-def features(name: str, raw: str) -> tuple[Feature, ...]:
-    """What an element says of itself.  The class of a whole page or article names all sorts of things and is not heeded."""
+def features(name: str, raw: str) -> tuple[tuple[Feature, ...], tuple[tuple[str, ...], ...]]:
+    """What an element says of itself, and the tokens of its class and id that are several words.  The class of a whole page or article names all sorts of things and is not heeded."""
     attrs = attributes(raw) if "=" in raw else {}
     if name in ("html", "body", *_NAMED):
-        return (("name", name),)
-    words = {w.lower() for w in _SPLIT_MARK.split(f"{attrs.get('class', '')} {attrs.get('id', '')}") if w}
-    return (("name", name), *(("word", w) for w in sorted(words)), *(("role", w) for w in attrs.get("role", "").lower().split()))
+        return (("name", name),), ()
+    tokens = {tuple(w.lower() for w in _SPLIT_MARK.split(t) if w) for t in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()}
+    alone = {t[0] for t in tokens if len(t) == 1}
+    return (("name", name), *(("word", w) for w in sorted(alone)), *(("role", w) for w in attrs.get("role", "").lower().split())), tuple(sorted(t for t in tokens if len(t) > 1))
 
 
 @lru_cache(maxsize=4096)
@@ -283,7 +310,7 @@ class Learned:
                 for j in (0, 1):
                     words[page.elements[k][2]][j] += words[k][j]
             holds = {("holds", "article") for k in page.holds if words[k][0] > words[k][1]}
-            pure = {(f, page.elements[k][3], good == 0) for k, (good, bad) in enumerate(words) if k and (good > 0) != (bad > 0) and k not in page.holds for f in self._of(page, k)}
+            pure = {(f, page.elements[k][3], good == 0) for k, (good, bad) in enumerate(words) if k and (good > 0) != (bad > 0) and k not in page.holds for f in self._all(page, k)}
             for f, named, against in pure | {(f, False, False) for f in holds}:
                 counts[f, named][against] += 1
         for f, named in list(counts):
@@ -292,58 +319,88 @@ class Learned:
         self.evidence = {key: math.log((a + _SMALL) / (b + _SMALL)) for key, (a, b) in counts.items()}
 
     @staticmethod
-    def _of(page: Page, k: int) -> tuple[Feature, ...]:
-        """An element's features; of one that holds an article, its class is not heeded."""
-        name, raw, _, _ = page.elements[k]
-        return (("name", name), ("holds", "article")) if k in page.holds else features(name, raw)
+    def _all(page: Page, k: int) -> set[Feature]:
+        """What is counted of an element."""
+        own, joined = features(*page.elements[k][:2])
+        return {*own, *(("joined", w) for t in joined for w in t)}
 
-    def score(self, found: tuple[Feature, ...], named: bool) -> float:
-        """What an element's features say together; what no labelled article has within counts as it does elsewhere."""
+    def _odds(self, f: Feature, named: bool, most: float = _MOST) -> float:
+        """What no labelled article has within counts as it does elsewhere."""
         get = self.evidence.get
-        return sum(min(get((f, named), get((f, False), 0.0)), _MOST_HOLDS if f[0] == "holds" else _MOST) for f in found)
-
-    def boilerplate(self, page: Page) -> list[bool]:
-        """Of each element, whether it or one around it is none of the article."""
-        out = [False]
-        for k, (_, raw, parent, named) in enumerate(page.elements[1:], 1):
-            out.append(out[parent] or bool(raw) and _hidden(raw) or self.score(self._of(page, k), named) < _LIMIT)
-        return out
+        odds = get((f, named), get((f, False), 0.0))
+        # what both sorts of elements have tells little, and comes again and again from one element to the next within
+        return min(odds if abs(odds) > _SURE else _UNSURE * odds, most)
+
+    def says(self, page: Page, k: int) -> float:
+        """The evidence of one element; of one that holds an article, the class is not heeded."""
+        name, raw, _, named = page.elements[k]
+        if k in page.holds:
+            return self._odds(("name", name), named) + self._odds(("holds", "article"), named, _MOST_HOLDS)
+        own, joined = features(name, raw)
+        each = [self._odds(f, named, _MOST_NAME if f[0] == "name" and f[1] not in _NAMED else _MOST) for f in own]
+        parts = 0.0
+        for t in joined:
+            one = sum(self._odds(("joined", w), named) for w in t if w not in STATES)
+            parts += max(one, _STATE if any(w in STATES for w in t) else _JOINED)
+        if any(x > 0 for f, x in zip(own, each, strict=True) if f[0] == "word"):
+            parts = max(parts, _BESIDE)
+        return sum(each) + max(parts, _JOINED)
+
+    def gains(self, page: Page) -> list[float | None]:
+        """Of each element, what a word in it gains; none where it is not rendered."""
+        total, gone, counts = [0.0], [False], Counter()
+        for k, (_, raw, parent, _) in enumerate(page.elements[1:], 1):
+            gone.append(gone[parent] or bool(raw) and _hidden(raw))
+            total.append(min(max(total[parent] + self.says(page, k), _LOW), _HIGH))
+        for name, text, ident in page.tokens:
+            if not name:
+                counts[ident] += len(text.split())
+        # the outermost elements whose words weigh less than nothing, and the words in each
+        top = [-1]
+        for k, (_, _, parent, _) in enumerate(page.elements[1:], 1):
+            top.append(top[parent] if top[parent] >= 0 else k if self.word + total[k] < 0 else -1)
+        held = Counter()
+        for k, n in counts.items():
+            held[top[k]] += n
+        return [None if gone[k] else self.word + total[k] if t < 0 else max(min(self.word + total[k], -0.01), -_COST / max(held[t], 1)) for k, t in enumerate(top)]
 
     def _learn_tokens(self, read: list[tuple[Page, list[tuple[int, int]]]]) -> None:
         inside, outside = Counter(), Counter()
+        self.word = 1.0  # to tell elements apart, until it is known
         for page, marks in read:
-            bad = self.boilerplate(page)
+            gains = self.gains(page)
             for (name, text, ident), (good, other) in zip(page.tokens, marks, strict=True):
-                if name or not bad[ident]:
-                    key = self._key(page, name, text, ident, bad) if name else ("", "w", False, False)
+                if gains[ident] is not None and gains[ident] > 0:
+                    key = (name, text, page.elements[ident][3]) if name else ("", "w", False)
                     inside[key] += good
                     outside[key] += other
         a, b = sum(inside.values()), sum(outside.values())
         odds = lambda t: math.log((inside[t] + 1) / (a + 1) / ((outside[t] + 1) / (b + 1)))
-        self.word = max(odds(("", "w", False, False)), 0.1)
-        self.tags = {t: min(odds(t), -0.05) for t in {*inside, *outside} if t[0]}
-
-    @staticmethod
-    def _key(page: Page, name: str, text: str, ident: int, bad: list[bool]) -> tuple[str, str, bool, bool]:
-        """Tags of boilerplate are all alike: their names have been heeded."""
-        return "*" if bad[ident] else name, text, page.elements[ident][3], bad[ident]
+        self.word = max(odds(("", "w", False)), _LEAST_WORD)
+        self.tags = {t: max(min(odds(t), -0.05), _LEAST_TAG) for t in {*inside, *outside} if t[0]}
 
-    def scores(self, page: Page, bad: list[bool]) -> list[float]:
-        """Weights of the tokens; a tag that no labelled page has there weighs as it does elsewhere."""
-        get, out = self.tags.get, []
+    def scores(self, page: Page) -> list[float]:
+        """Weights of the tokens; a tag that no labelled page has there weighs as it does elsewhere, and tags of what costs nothing more."""
+        get, gains, out = self.tags.get, self.gains(page), []
         for name, text, ident in page.tokens:
-            if not name:
-                out.append(0.0 if bad[ident] else self.word * len(text.split()))
-                continue
-            known = get(self._key(page, name, text, ident, bad))
-            if known is None:
-                known = get((name, text, not page.elements[ident][3], False))
-            if known is None:
-                known = _OTHER_BLOCK if name in BLOCKS else _OTHER_INLINE
-            out.append(known)
+            gain = gains[ident]
+            if gain is None:
+                out.append(0.0)
+            elif not name:
+                out.append(gain * len(text.split()))
+            elif gain < 0:
+                out.append(0.0)
+            else:
+                named = page.elements[ident][3]
+                known = get((name, text, named))
+                if known is None:
+                    known = get((name, text, not named))
+                out.append(known if known is not None else _OTHER_BLOCK if name in BLOCKS else _OTHER_INLINE)
         return out
 
 
+#: A word weighs so much at least, and a tag does not weigh less than this.
+_LEAST_WORD, _LEAST_TAG = 1.0, -1.5
 #: Of tags that no labelled page has: of blocks and of others.
 _OTHER_BLOCK, _OTHER_INLINE = -0.5, -0.05
 
@@ -365,6 +422,30 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def least_runs(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal runs of negative sum that lie between positive scores: none can be made less by going on, nor by leaving out an end.
+
+    One linear scan: of each run, the last one before it that begins at a lower sum is kept, so none is looked at twice."""
+    runs: list[tuple[int, int, float, float, int]] = []  # first, last + 1, the negated sums before and after it, and that run
+    total = 0.0
+    for i, s in enumerate(scores):
+        before, total = total, total - s
+        if s >= 0:
+            continue
+        first, low = i, before
+        while True:
+            j = len(runs) - 1
+            while j >= 0 and runs[j][2] >= low:
+                j = runs[j][4]
+            if j < 0 or runs[j][3] >= total:
+                break
+            first, low = runs[j][0], runs[j][2]
+            del runs[j:]
+        runs.append((first, i + 1, low, total, j))
+    firm = [i for i, s in enumerate(scores) if s > 0]
+    return [(a, b) for a, b, *_ in runs if firm and firm[0] < a and b <= firm[-1]]
+
+
 def blocks(toks: list[tuple[str, str]]) -> list[str]:
     """The texts between block tags, with single spaces."""
     out, part = [], []
@@ -382,21 +463,27 @@ def blocks(toks: list[tuple[str, str]]) -> list[str]:
 
 
 def shown(page: Page) -> list[tuple[str, str]]:
-    """The tokens outside of boilerplate: ("", text), (name, "") where a tag opens and (name, "/") where it closes."""
-    bad = learned().boilerplate(page)
-    return [(name, text) for name, text, ident in page.tokens if not bad[ident]]
+    """The tokens that count for content: ("", text), (name, "") where a tag opens and (name, "/") where it closes."""
+    gains = learned().gains(page)
+    return [(name, text) for name, text, ident in page.tokens if gains[ident] is not None and gains[ident] > 0]
+
+
+def region(page: Page, weights: Learned) -> list[tuple[str, str]]:
+    """The tokens of the content: those of the best run, without the runs that cost within it."""
+    scores = weights.scores(page)
+    lo, hi = best_run(scores)
+    words = [s if not name else 0.0 for (name, _, _), s in zip(page.tokens[lo:hi], scores[lo:hi], strict=True)]
+    gone = [False] * (hi - lo)
+    for a, b in least_runs(words):
+        gone[a:b] = [True] * (b - a)
+    gains = weights.gains(page)
+    return [(name, text) for (name, text, ident), out in zip(page.tokens[lo:hi], gone, strict=True) if name or not out and gains[ident] is not None]
 
 
 def extract(page: str | None, weights: Learned | None = None) -> str:
     """The main text: its blocks, joined by empty lines."""
-    if not page:
-        return ""
-    weights = weights or learned()
-    read = Page(page)
-    bad = weights.boilerplate(read)
-    lo, hi = best_run(weights.scores(read, bad))
-    # the tags of boilerplate part blocks as any others do
-    return "\n\n".join(blocks([(name, text) for name, text, ident in read.tokens[lo:hi] if name or not bad[ident]]))
+    # tags of what is taken out part blocks as any others do
+    return "\n\n".join(blocks(region(Page(page), weights or learned()))) if page else ""
 
 
 def main_text(pages: DataFrame) -> DataFrame:

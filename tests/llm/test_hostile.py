@@ -50,14 +50,13 @@ def test_learned_weights_decide(spark, data, monkeypatch):
     for tag in ("div", "section", 'div class="x"'):
         assert [H.extract(p.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")) for p in pages] == want
     neutral = copy(H.learned())
-    neutral.evidence = {}
-    assert not any(H.extract(p, neutral) == w for p, w in zip(pages, want, strict=True))
-    blind = copy(H.learned())
-    blind.word, blind.tags = 1.0, dict.fromkeys(blind.tags, 0.0)
+    neutral.evidence, neutral.word, neutral.tags = {}, 1.0, dict.fromkeys(neutral.tags, 0.0)
     for name in ("_OTHER_BLOCK", "_OTHER_INLINE"):
         monkeypatch.setattr(H, name, 0.0)
-    plain = [p.replace("<nav>", "<div>").replace("</nav>", "</div>") for p in pages]
-    assert sum(H.extract(p, blind) == w for p, w in zip(plain, want, strict=True)) < len(pages) / 2
+    assert not any(H.extract(p, neutral) == w for p, w in zip(pages, want, strict=True))
+    monkeypatch.undo()
+    monkeypatch.setattr(H, "best_run", lambda scores: (0, len(scores)))
+    assert not any(H.extract(p) == w for p, w in zip(pages, want, strict=True))
 
 
 def test_the_region_is_the_best_of_all():
@@ -66,14 +65,64 @@ def test_the_region_is_the_best_of_all():
     for _ in range(60):
         page = "".join(r.choice(parts) for _ in range(r.randint(1, 25)))
         read = H.Page(page)
-        bad = H.learned().boilerplate(read)
-        scores = H.learned().scores(read, bad)
+        scores = H.learned().scores(read)
         n = len(scores)
         lo, hi = max(((i, j) for i in range(n) for j in range(i, n + 1)), key=lambda x: (round(sum(scores[x[0] : x[1]]), 9), -x[0], -x[1]), default=(0, 0))
         got = H.best_run(scores)
         assert sum(scores[got[0] : got[1]]) == pytest.approx(max(0, sum(scores[lo:hi])))
-        words = [w for name, text, ident in read.tokens[got[0] : got[1]] if not name and not bad[ident] for w in text.split()]
-        assert H.extract(page).split() == words or "".join(H.extract(page).split()) == "".join(words)
+        words = [w for (name, text, _), s in zip(read.tokens[got[0] : got[1]], scores[got[0] : got[1]], strict=True) if not name and s >= 0 for w in text.split()]
+        assert "".join(H.extract(page).split()) == "".join(words)
+
+
+def test_runs_that_cost_are_those_of_a_search():
+    """Maximal runs of least sum: less than any of their parts, and in no longer run of the kind."""
+    r = random.Random(3)
+    for _ in range(400):
+        x = [float(r.randint(-4, 4)) for _ in range(r.randint(0, 12))]
+        n = len(x)
+        total = [sum(x[:i]) for i in range(n + 1)]
+        # every beginning costs, and every end does
+        fit = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if all(total[k] < total[i] for k in range(i + 1, j + 1)) and all(total[k] > total[j] for k in range(i, j))]
+        whole = [p for p in fit if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in fit)]
+        firm = [i for i, s in enumerate(x) if s > 0]
+        assert H.least_runs(x) == [(a, b) for a, b in whole if firm and firm[0] < a and b <= firm[-1]]
+    began = time.process_time()
+    H.least_runs([-1.0, 0.5] * 100_000 + [3.0, -2.0] * 100_000 + [0.5, -1.0] * 100_000)
+    assert time.process_time() - began < 5
+
+
+WRAPPERS = (
+    "wrapper nav-open|layout sidebar-left|content comments-open|main-column no-sidebar|entry share-on|story related-topics-politics|page has-sidebar|main ads-enabled|post-body with-comments|"
+    "container header-fixed|site footer-sticky|grid menu-closed|single-post share-enabled|body-copy cookie-accepted|article-wrap newsletter-on|text search-open|inner banner-top|row promo-hidden|box related-left|td-post-content no-ads"
+)
+
+
+@pytest.mark.parametrize("words", [5, 14, 60])
+def test_wrappers_that_name_what_a_page_has_do_not_hide_the_body(words):
+    parts = [" ".join(f"w{i}" for i in range(n)) + "." for n in (words, words + 4, words)]
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    for w in WRAPPERS.split("|"):
+        for page in (
+            f'<body><div class="{w}">{body}</div></body>', f'<body><div class="{w}"><article>{body}</article></div></body>', f'<body><article><div class="{w}">{body}</div></article></body>',
+            f'<body><nav><a>x</a></nav><section class="{w}">{body}</section><footer>the foot</footer></body>',
+        ):
+            assert H.extract(page) == "\n\n".join(parts), page
+
+
+def test_what_is_named_by_joined_words_goes_whatever_its_length():
+    text = lambda n: " ".join(f"w{i}" for i in range(n)) + "."
+    parts = [text(5), text(30), text(33), text(3)]
+    body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p>" for p in parts[1:])
+    for name in "site-footer cookie-notice cookie-banner newsletter-signup related-posts share-buttons ad-slot comment-list comments-area social-links site-header main-menu sidebar-widget popup-overlay user-comments search-form promo-box".split():
+        for n in (8, 25, 200):
+            other = f'<div class="{name}"><p>{text(n)}</p></div>'
+            for page in (f"<body>{other}<article>{body}</article></body>", f"<body><div>{body}</div>{other}</body>", f"<body><article><h1>{parts[0]}</h1><p>{parts[1]}</p>{other}<p>{parts[2]}</p><p>{parts[3]}</p></article></body>"):
+                assert H.extract(page) == "\n\n".join(parts), page
+
+
+def test_no_pages(spark):
+    none = H.main_text(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert none.collect() == [] and none.columns == ["page_id", "url", "text", "n_chars"]
 
 
 def test_lists_and_headings_of_articles_stay_and_adverts_within_go():
