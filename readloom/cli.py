@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession, functions as F
 from .operators import demux, evaluate, mates, pairs, simulate
 from .plans import layout as L
 from .plans.model import Options
-from .plans.run import Run, extract, fit, report, totals
+from .plans.run import Run, counted, extract, fit, report
 from .sources import reads as R, sinks
 
 
@@ -34,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     e.add_argument("--seed", type=int, default=42)
     e.add_argument("--show-umi-bases", action="store_true")
     e.add_argument("--calibration-reads", type=int, default=Options.calibration_reads, help="simulated reads that set the threshold where none is given")
+    e.add_argument("--part-records", type=int, help="write each sample as a folder of parts of so many records, by many tasks; otherwise one task writes one file")
     s = sub.add_parser("simulate", help="simulate reads")
     s.add_argument("-o", "--out", required=True)
     s.add_argument("--tags")
@@ -78,14 +79,13 @@ def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
     if len(a.files) > 1:
         mates.check_names(all_reads)
     references = R.read_references(spark, a.reference) if a.reference else None
-    done = extract(all_reads, fitted, o, references).persist()
+    done, seen = counted(extract(all_reads, fitted, o, references))
     several = sum(f.layout.reads for f in fitted) > 1
     prefix = a.out.rsplit("/", 1)[-1]
-    sinks.write_samples(mates.output_reads(done), f"{a.out}_files", prefix, several, a.show_umi_bases)
-    sinks.collect_files(spark, f"{a.out}_files")
-    report(totals(done).first().asDict(), log)
+    for file in sinks.write_samples(mates.output_reads(done), f"{a.out}_files", prefix, several, a.show_umi_bases, a.part_records):
+        log.say(f"wrote {file}")
+    report(seen.get, log)  # of the run that wrote the files
     sinks.write_lines(spark, log.messages, f"{a.out}_logfile.txt")
-    done.unpersist()
 
 
 def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:

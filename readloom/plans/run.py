@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..operators import calibrate, choose, filters, label, mates, stats
 from .layout import Layout, LayoutError, warnings
@@ -71,9 +71,20 @@ def extract(reads: DataFrame, fitted: list[Fitted], o: Options = Options(), refe
     return mates.combine(out)
 
 
+def _figures() -> list[Column]:
+    return [F.count("*").alias("total"), *[F.sum((F.col("outcome") == x).cast("bigint")).alias(x) for x in label.OUTCOMES]]
+
+
 def totals(combined: DataFrame) -> DataFrame:
     """One row: reads, and how many of each outcome."""
-    return combined.agg(F.count("*").alias("total"), *[F.sum((F.col("outcome") == x).cast("bigint")).alias(x) for x in label.OUTCOMES])
+    return combined.agg(*_figures())
+
+
+def counted(combined: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows; and their totals, which are there once something has been done with all of them."""
+    seen = Observation()
+    first, *more = _figures()
+    return combined.observe(seen, first, *more), seen
 
 
 def report(row: dict, log: Run) -> None:

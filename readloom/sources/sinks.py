@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -34,33 +36,48 @@ def fastq(name: Column, seq: Column, qual: Column) -> Column:
     return F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), F.coalesce(qual, F.repeat(F.lit("."), F.length(seq))))
 
 
-def write_samples(output: DataFrame, directory: str, prefix: str, several_reads: bool, show_bases: bool = False) -> None:
-    """Write output reads (see mates.output_reads) to a folder per file name, sorted by record within it.
+#: Where the parts of files lie until all are written; readers skip such a folder.
+_PARTS = "_parts"
 
-    Records go to files by name and by range of their number, so one large sample is written by many tasks."""
-    rows = output.select(file_name(prefix, several_reads).alias("file"), "ord", fastq(header(show_bases), F.col("seq"), F.col("qual")).alias("value"))
-    rows.repartitionByRange("file", "ord").sortWithinPartitions("file", "ord").select("file", "value").write.mode("errorifexists").partitionBy("file").text(directory)
 
+def write_samples(output: DataFrame, directory: str, prefix: str, several_reads: bool, show_bases: bool = False, part_records: int | None = None) -> list[str]:
+    """Write output reads (see mates.output_reads) to a file per sample and read, in the order of their records; return the files.
 
-def collect_files(spark: SparkSession, directory: str) -> list[str]:
-    """Join each folder ``file=NAME`` of a directory to one file NAME beside it, in the order of the parts; refuse to overwrite."""
+    A file is written by one task, or with ``part_records`` is a folder of parts of so many record numbers each, which as many
+    tasks write; a folder reads as one file.  The plan is run once.  All parts are written by Spark's writer to a folder
+    aside and moved to their names when every task is done, so no byte passes the driver, and a run that fails leaves
+    no file.  A folder with files in it is refused."""
+    spark = output.sparkSession
     fs, root = _fs(spark, directory)
-    out = []
-    folders = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("file=")]
-    for folder in folders:
-        target = spark._jvm.org.apache.hadoop.fs.Path(root, folder.getName().removeprefix("file="))
-        if fs.exists(target):
-            raise ExistsError(str(target))
-        sink = fs.create(target, False)
-        parts = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
-        for part in parts:
-            source = fs.open(part)
-            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, sink, 1 << 16, False)
-            source.close()
-        sink.close()
-        fs.delete(folder, True)
-        out.append(str(target))
-    return sorted(out)
+    if fs.exists(root) and any(not x.getPath().getName().startswith((".", "_")) for x in fs.listStatus(root)):
+        raise ExistsError(f"there are files in {directory}, which exists already")
+    part = F.lit(0).cast("bigint") if part_records is None else F.floor(F.col("ord") / part_records).cast("bigint")
+    rows = output.select(file_name(prefix, several_reads).alias("file"), part.alias("part"), "ord", "read_ix", fastq(header(show_bases), F.col("seq"), F.col("qual")).alias("value"))
+    # parts are dealt by name and number: no sampling run of the plan, as ranges would need
+    dealt = rows.repartition("file", "part").sortWithinPartitions("file", "part", "ord", "read_ix").select("file", "part", "value")
+    dealt.write.mode("overwrite").partitionBy("file", "part").text(f"{directory}/{_PARTS}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    moves, staged = [], path(root, _PARTS)
+    for folder in _folders(fs, staged, "file="):
+        target = path(root, unquote(folder.getName().removeprefix("file=")))
+        for one in _folders(fs, folder, "part="):
+            (source,) = [x.getPath() for x in fs.listStatus(one) if x.getPath().getName().startswith("part-")]
+            moves.append((source, target if part_records is None else path(target, f"part-{int(one.getName().removeprefix('part=')):010d}{_suffix(source.getName())}"), target))
+    for source, to, target in moves:
+        if part_records is not None:
+            fs.mkdirs(target)
+        fs.rename(source, to)
+    fs.delete(staged, True)
+    return sorted({str(target) for *_, target in moves})
+
+
+def _folders(fs, folder, start: str) -> list:  # noqa: ANN001
+    return sorted((x.getPath() for x in fs.listStatus(folder) if x.isDirectory() and x.getPath().getName().startswith(start)), key=lambda p: p.getName()) if fs.exists(folder) else []
+
+
+def _suffix(name: str) -> str:
+    """The end of a part's name, which tells how it is compressed."""
+    return "." + name.split(".", 1)[1] if "." in name else ""
 
 
 def write_fasta(reads: DataFrame, directory: str, name: str = "header") -> None:

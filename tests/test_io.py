@@ -6,6 +6,7 @@ import gzip
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from readloom import cli
 from readloom.operators.simulate import Plan, simulate
@@ -87,6 +88,65 @@ def test_command_lines(spark, tmp_path):
     cli.main(["rename", out("all.fq"), "--map", out("map.txt"), "-o", out("renamed")])
 
 
+def output(spark, n: int):
+    """Output reads of two samples and of none, two reads each."""
+    rows = spark.range(n, numPartitions=5).selectExpr("id AS ord", "CASE WHEN id % 5 = 4 THEN 'mismatch' ELSE 'success' END AS outcome", "CASE WHEN id % 5 < 4 THEN element_at(array('AC', 'GT'), int(id % 2 + 1)) END AS barcode")
+    reads = rows.withColumn("read_ix", F.explode(F.array(F.lit(1), F.lit(2))))
+    return reads.select("*", F.concat(F.lit("r"), "ord").alias("name"), F.repeat(F.lit("ACGT"), F.col("read_ix")).alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(None).cast("bigint").alias("fp"), F.lit(None).cast("string").alias("fp_seq"), F.lit(1.5).alias("q"))
+
+
+def lines_of(path) -> list[str]:
+    """A file, or the parts of a folder in the order of their names."""
+    return [x for p in (sorted(path.glob("part-*")) if path.is_dir() else [path]) for x in p.read_text().splitlines()]
+
+
+@pytest.mark.parametrize("part_records", [None, 30, 1000])
+def test_samples_are_written_in_order_and_without_the_driver(spark, tmp_path, part_records, monkeypatch):
+    monkeypatch.setattr(sinks, "write_lines", None)
+    files = sinks.write_samples(output(spark, 200), str(tmp_path / "o"), "p=1", True, part_records=part_records)
+    names = [f"p=1_{m}_READ{k}.fq" for m in ("BC_AC", "BC_GT", "un") for k in (1, 2)]
+    assert [f.rsplit("/", 1)[-1] for f in files] == names and sorted(p.name for p in (tmp_path / "o").iterdir() if p.name[0] not in "._") == names
+    for name in names:
+        got = lines_of(tmp_path / "o" / name)
+        want = [i for i in range(200) if (i % 5 == 4) == ("un" in name) and ("un" in name or i % 2 == ("GT" in name))]
+        assert got[::4] == [f"@r{i};RQ:1.50" for i in want] and set(got[1::4]) == {"ACGT" * int(name[-4])}
+        if part_records:
+            assert len(list((tmp_path / "o" / name).glob("part-*"))) == -(-200 // part_records)
+    if part_records:  # a folder reads as one file
+        assert R.read(spark, [str(tmp_path / "o" / names[0])]).count() == len(lines_of(tmp_path / "o" / names[0])) // 4
+    with pytest.raises(sinks.ExistsError):
+        sinks.write_samples(output(spark, 20), str(tmp_path / "o"), "p=1", True)
+    assert len(lines_of(tmp_path / "o" / names[0])) == 4 * 80
+
+
+def test_a_failed_task_leaves_no_file_and_the_next_run_writes_all(spark, tmp_path):
+    broken = output(spark, 200).withColumn("seq", F.when(F.col("ord") == 150, F.raise_error(F.lit("lost"))).otherwise(F.col("seq")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_samples(broken, str(tmp_path / "o"), "p", True)
+    assert not list(tmp_path.glob("o/*.fq"))
+    assert len(sinks.write_samples(output(spark, 200), str(tmp_path / "o"), "p", True)) == 6
+    assert not list(tmp_path.glob("o/_parts"))
+    assert sinks.write_samples(output(spark, 0), str(tmp_path / "none"), "p", True) == []
+
+
+def test_figures_come_from_the_run_that_writes(spark, tmp_path):
+    """The labels are made once, though they are both written and counted."""
+    from readloom.plans.run import counted, totals
+
+    made = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = output(spark, 300)
+    labelled = rows.mapInArrow(once, rows.schema)
+    done, seen = counted(labelled)
+    sinks.write_samples(done, str(tmp_path / "o"), "p", True)
+    assert made.value == 600 and seen.get == totals(rows).first().asDict() and seen.get["mismatch"] == 120
+
+
 def test_lines_are_not_overwritten(spark, tmp_path):
     sinks.write_lines(spark, ["a"], str(tmp_path / "x"))
     with pytest.raises(sinks.ExistsError):
