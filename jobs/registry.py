@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.queries import _DUST, scratch
+from readloom.queries import _DUST
+from readloom.sources.scratch import scratch
 
 from . import demultiplex, molecules
 from .common import default_config

@@ -10,21 +10,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.sequence import hamming
 from ..plans.layout import least_distance
+from ..sources.scratch import cut
 
-#: A barcode table has at most so many rows; it is then known to be small enough for every executor.
-MOST_BARCODES = 100_000
+#: A table of at most so many barcodes goes to every executor; a larger one is joined with the tags (``nearest_of_table``).
+MOST_BARCODES = 10_000
 #: So many barcodes may stand in a plan as constants; more go to the executors as one table.
 MOST_CONSTANTS = 64
 
 
-def small(barcodes: DataFrame) -> DataFrame:
-    """A barcode table, checked to be small, for a broadcast."""
-    n = barcodes.limit(MOST_BARCODES + 1).count()
-    if n > MOST_BARCODES:
-        raise ValueError(f"more than {MOST_BARCODES} barcodes")
-    return F.broadcast(barcodes)
-
-
 def nearest_barcode(reads: DataFrame, barcodes: list[tuple[str, str]], observed: Column, most: int | None = None) -> DataFrame:
     """Add sample, barcode and distance: the barcode (sample, sequence) with the fewest differing bases, the first in order on ties.
 
@@ -32,7 +25,7 @@ def nearest_barcode(reads: DataFrame, barcodes: list[tuple[str, str]], observed:
     held against each batch's distinct tags."""
     order = sorted(barcodes, key=lambda b: (b[1], b[0]))
     if len(order) > MOST_BARCODES:
-        raise ValueError(f"more than {MOST_BARCODES} barcodes")
+        return nearest_of_table(reads, reads.sparkSession.createDataFrame(order, "sample string, barcode string"), observed, most)
     if len(order) > MOST_CONSTANTS:
         return _tagged(reads, observed, _nearest(order, most), "sample string, barcode string, distance int")
     table = F.array(*[F.struct(F.lit(s).alias("sample"), F.lit(b).alias("barcode")) for s, b in order])
@@ -45,8 +38,6 @@ def nearest_barcode(reads: DataFrame, barcodes: list[tuple[str, str]], observed:
 
 def exact_prefix(reads: DataFrame, barcodes: list[tuple[str, str]]) -> DataFrame:
     """Add sample: that of the first barcode with which the read begins; null if none."""
-    if len(barcodes) > MOST_BARCODES:
-        raise ValueError(f"more than {MOST_BARCODES} barcodes")
     if len(barcodes) > MOST_CONSTANTS:
         return _tagged(reads, F.substring("seq", 1, max(len(b) for _, b in barcodes)), _prefixes(barcodes), "sample string")
     return reads.withColumn("sample", F.coalesce(*[F.when(F.startswith("seq", F.lit(b)), F.lit(s)) for s, b in barcodes], F.lit(None)))
@@ -109,6 +100,72 @@ def _tagged(reads: DataFrame, tag: Column, answer: Callable[[str], Answer], adde
     return reads.select("*", tag.alias("\x00tag")).mapInArrow(run, schema)
 
 
+#: Tags are first looked up with so many places left open; of the few that are left, blocks of these sizes meet all barcodes.
+_OPEN = 2
+_TAG_BLOCK, _CODE_BLOCK = 2_000, 50_000
+
+
+def _masked(text: Column, places: int) -> Column:
+    """The text with each choice of so many places (0 to 2) blotted out: texts with one in common differ there only."""
+    blot = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.lit("\x00"), F.substring(s, i + 1, F.length(s)))
+    n = F.length(text)
+    if places == 0:
+        return F.array(text)
+    if places == 1:
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: blot(text, i)))
+    return F.when(n >= 2, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: blot(blot(text, i), j)))))
+
+
+def _blocks_nearest(tags: pa.Table, codes: pa.Table) -> pa.Table:
+    """Of each tag, the nearest of the barcodes of its length, the first in order on ties."""
+    schema = pa.schema([("tag", pa.string()), ("distance", pa.int32()), ("barcode", pa.string()), ("sample", pa.string())])
+    if not tags.num_rows or not codes.num_rows:
+        return schema.empty_table()
+    rows = sorted(zip(codes["barcode"].to_pylist(), codes["sample"].to_pylist(), strict=True))
+    letters = lambda texts: np.array([[ord(c) for c in t] for t in texts], np.uint32).reshape(len(texts), -1)
+    wanted, known = tags["tag"].to_pylist(), letters([b for b, _ in rows])
+    out = []
+    for tag, code in zip(wanted, letters(wanted), strict=True):
+        differ = (known != code).sum(1)
+        k = int(differ.argmin())
+        out.append((tag, int(differ[k]), *rows[k]))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def nearest_of_table(reads: DataFrame, barcodes: DataFrame, observed: Column, most: int | None = None) -> DataFrame:
+    """As ``nearest_barcode``, for a table (sample, barcode) of any size.
+
+    Distinct tags meet the barcodes by joins on equal texts: as they are, then with one place left open, then with two,
+    each for the tags that the step before left over.  Whatever a step finds is nearest, since nearer ones were found
+    before.  Tags that differ in three places or more from all barcodes of their length are held against these in blocks,
+    unless ``most`` rules that out.  Neither table goes through the driver or is sent to all executors; reads of a frequent
+    tag meet one row."""
+    tagged = reads.withColumn("\x00tag", observed)
+    codes = barcodes.select("sample", "barcode").where(F.col("barcode").isNotNull())
+    left = cut(tagged.where(F.col("\x00tag").isNotNull()).select(F.col("\x00tag").alias("tag")).distinct())
+    kind, found = "tag string, distance int, barcode string, sample string", None
+    for places in range(0, 1 + (_OPEN if most is None else min(most, _OPEN))):
+        a = left.withColumn("key", F.explode(_masked(F.col("tag"), places)))
+        b = codes.withColumn("key", F.explode(_masked(F.col("barcode"), places)))
+        first = a.join(b, "key").groupBy("tag").agg(F.min(F.struct("barcode", "sample")).alias("m"))
+        step = cut(first.select("tag", F.lit(places).alias("distance"), "m.barcode", "m.sample"))
+        left = left.join(step, "tag", "left_anti")
+        found = step if found is None else found.union(step)
+    if most is None or most > _OPEN:
+        far, size = left.withColumn("size", F.length("tag")), F.length("barcode").alias("size")
+        # a row for each length: into how many blocks its barcodes and its tags are dealt
+        shape = codes.groupBy(size).agg(F.ceil(F.count("*") / _CODE_BLOCK).cast("int").alias("n"))
+        shape = shape.join(far.groupBy("size").agg(F.ceil(F.count("*") / _TAG_BLOCK).cast("int").alias("parts")), "size")
+        far = far.join(shape, "size").select("size", "tag", F.pmod(F.xxhash64("tag"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+        near = codes.select("*", size).join(shape, "size").select("size", "barcode", "sample", F.pmod(F.xxhash64("barcode"), F.col("n")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        keys = ("size", "part", "block")
+        met = far.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_blocks_nearest, kind)
+        best = met.groupBy("tag").agg(F.min(F.struct("distance", "barcode", "sample")).alias("m")).select("tag", "m.*")
+        found = found.union(best if most is None else best.where(F.col("distance") <= most))
+    out = tagged.join(found.withColumnRenamed("tag", "\x00tag"), "\x00tag", "left")
+    return out.select(*[f"`{c}`" for c in reads.columns], "sample", "barcode", "distance")
+
+
 def least_distances(reads: DataFrame, group: str, tag: Column) -> DataFrame:
     """(group, least): the least edit distance between the tags of each group's reads, of all groups with a few.
 
@@ -131,8 +188,12 @@ def rename(reads: DataFrame, sample_map: DataFrame) -> DataFrame:
     """(ord, sample, header, seq): reads named ``{sample}_{number} {name} orig_bc= new_bc= bc_diffs=``, numbered per sample.
 
     A name's barcode goes to its sample exactly, or else to the nearest barcode; numbers follow ``ord``."""
-    codes = [(r["sample"], r["barcode"]) for r in small(sample_map).select("sample", "barcode").collect()]
-    found = nearest_barcode(reads.withColumn("observed", name_barcode(F.col("name"))), codes, F.col("observed")).where("sample is not null")
+    named, few = reads.withColumn("observed", name_barcode(F.col("name"))), sample_map.select("sample", "barcode").limit(MOST_BARCODES + 1).collect()
+    if len(few) <= MOST_BARCODES:
+        found = nearest_barcode(named, [(r["sample"], r["barcode"]) for r in few], F.col("observed"))
+    else:
+        found = nearest_of_table(named, sample_map, F.col("observed"))
+    found = found.where("sample is not null")
     n = numbered(found, "sample", "ord")
     header = F.concat_ws(" ", F.concat(F.col("sample"), F.lit("_"), F.col("number")), F.col("name"), F.concat(F.lit("orig_bc="), "observed"), F.concat(F.lit("new_bc="), "barcode"), F.concat(F.lit("bc_diffs="), F.col("distance").cast("string")))
     return n.select("ord", "sample", header.alias("header"), "seq")

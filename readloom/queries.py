@@ -6,9 +6,6 @@ hash each, the same in any engine.  Every query goes through the package's opera
 from __future__ import annotations
 
 import itertools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,6 +17,7 @@ from .plans import layout as L
 from .plans.model import Options, Stats, build
 from .plans.run import Fitted, extract
 from .sources import reads as R, sinks
+from .sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -389,14 +387,6 @@ def q_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.best_threshold(scored).select("q", F.round("sensitivity", 9).alias("sensitivity"), F.round("specificity", 9).alias("specificity"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='readloom-')}/{uuid.uuid4().hex}"
-
-
 def _written(spark: SparkSession, sf_dir: str, record: Column, end: str, head: str | None = None) -> str:
     """A folder of files with a record of each read, in the order of the keys."""
     path = f"{scratch(spark)}.{end}"
