@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
 from ..plans import kernel
+from ..sources.scratch import cut
 from .label import OUTCOMES
 
 #: Bases of a payload that are held against contaminants.
 PROBE = 32
-#: References are sent to the executors in parts of at most so many bases.
+#: References of at most so many bases together are sent to every executor.
 PART_BASES = 2_000_000
-#: All references of a run together have at most so many bases; they pass through the driver.
-MOST_BASES = 256_000_000
 _OTHER = re.compile(r"[^ACGT.]")
 
 
@@ -159,27 +158,123 @@ def match_references(probes: DataFrame, refs: list[tuple[int, str]], errors: int
     return probes.mapInArrow(run, f"{fields}, hit struct<errors:int,reference:int>")
 
 
+#: Bases of a reference in one row while its pieces are taken; a place costs as much as the row is long.
+_CHUNK = 512
+
+
+def _chunks(references: DataFrame, reach: int) -> DataFrame:
+    """(reference, text, own): both strands of all references, in rows of bounded size.
+
+    The text of a row begins ``reach`` bases before its own places, of which there are ``own``, and ends as far behind them; beyond a reference's
+    ends it has bars, which fit no base."""
+    clean = F.regexp_replace(F.translate(F.upper("seq"), "U", "T"), "[^ACGT.]", "N")
+    both = references.where(F.col("seq").isNotNull()).select(F.col("ref_ix").alias("reference"), F.explode(F.array(clean, F.reverse(F.translate(clean, "ACGT", "TGCA")))).alias("s"))
+    bars = F.lit("|" * reach)
+    cut = both.where(F.length("s") > 0).select("reference", F.length("s").alias("n"), F.concat(bars, "s", bars).alias("s"), F.explode(F.sequence(F.lit(0), F.length("s") - 1, F.lit(_CHUNK))).alias("at"))
+    return cut.select("reference", F.substring("s", F.col("at") + 1, F.lit(_CHUNK + 2 * reach)).alias("text"), F.least(F.lit(_CHUNK), F.col("n") - F.col("at")).alias("own"))
+
+
+def _verified(errors: int):  # noqa: ANN202
+    """Of each probe and window, the least edit distance of the probe to any part of the window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            probes, windows = (batch.column(k).to_pylist() for k in (0, 1))
+            if not probes:
+                continue
+            x, n = kernel.encode(probes)
+            codes, _ = kernel.encode(windows)
+            wide = np.frombuffer("".join(windows).encode(), np.uint8).reshape(len(windows), -1)
+            d = kernel.search_windows(x, n, np.where(wide == ord("|"), _References._GAP, codes))
+            keep = d <= errors
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(2).filter(pa.array(keep)), pa.array(d[keep].astype(np.int32))], ["probe", "reference", "errors"])
+
+    return run
+
+
+def seeded_matches(probes: DataFrame, references: DataFrame, errors: int) -> DataFrame:
+    """(probe, hit): the best match (errors, reference) of each distinct probe that has one, for references of any size.
+
+    A probe with at most k errors has, among k + 1 pieces, one that occurs exactly.  So the pieces of all probes are joined
+    with all places of the references, and the window around each place is aligned, once for each probe and text of a window.
+    Pieces that are frequent on both sides are split by adaptive skew handling; places that read alike count once, which
+    is what most of a frequent piece's places do.  Nothing passes the driver but the few lengths that pieces have."""
+    reach = PROBE + 2 * errors
+    parts = errors + 1
+    known = cut(probes.select("probe").where(F.length("probe") > 0).distinct().withColumn("size", F.floor(F.length("probe") / parts).cast("int")))
+    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most PROBE
+    long, found = [x for x in sizes if x >= min(_References.SHORT, PROBE // parts)], []
+    if long:
+        chunks = _chunks(references, reach)
+        wanted = known.where(F.col("size").isin(long)).select("probe", "size", F.explode(F.sequence(F.lit(0), F.lit(errors))).alias("k"))
+        wanted = wanted.withColumn("piece", F.substring("probe", F.col("k") * F.col("size") + 1, F.col("size")))
+        # from some bases before where a probe with the piece would begin to as many behind its end, for each of its pieces
+        def places(size: int) -> Column:
+            window = lambda i, k: F.substring("text", i + reach - k * size - errors, F.lit(reach))
+            return F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.struct(F.substring("text", i + reach, F.lit(size)).alias("piece"), F.array(*[window(i, k) for k in range(parts)]).alias("windows")))
+
+        each = [chunks.select("reference", F.inline(places(n))).withColumn("size", F.lit(n)) for n in long]
+        placed = each[0]
+        for more in each[1:]:
+            placed = placed.unionByName(more)
+        placed = placed.join(wanted.select("size", "piece", "k").distinct(), ["size", "piece"])
+        windows = placed.groupBy("size", "piece", "k", F.element_at("windows", F.col("k") + 1).alias("window")).agg(F.min("reference").alias("reference"))
+        pairs = wanted.join(windows, ["size", "piece", "k"]).groupBy("probe", "window").agg(F.min("reference").alias("reference"))
+        found.append(pairs.select("probe", "window", "reference").mapInArrow(_verified(errors), f"probe string, reference {_kind(references)}, errors int"))
+    short = [x for x in sizes if x not in long]
+    if short:  # probes too short for pieces are aligned with whole rows of the references
+        few = known.where(F.col("size").isin(short)).select("probe", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("part"))
+        rows = _chunks(references, reach).select("reference", "text", F.pmod(F.xxhash64("text"), F.lit(_SPREAD)).cast("int").alias("part"))
+        found.append(few.groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(_aligned(errors), f"probe string, reference {_kind(references)}, errors int"))
+    out = found[0] if found else known.select("probe", F.lit(0).cast(_kind(references)).alias("reference"), F.lit(0).alias("errors")).limit(0)
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("probe").agg(F.min(F.struct("errors", "reference")).alias("hit"))
+
+
+#: Parts of references that short probes are held against.
+_SPREAD = 200
+
+
+def _kind(references: DataFrame) -> str:
+    return references.schema["ref_ix"].dataType.simpleString()
+
+
+def _aligned(errors: int):  # noqa: ANN202
+    """Each probe with every row of a part of the references."""
+
+    def run(probes: pa.Table, rows: pa.Table) -> pa.Table:
+        out: dict[tuple[str, int], int] = {}
+        if probes.num_rows and rows.num_rows:
+            names = probes["probe"].to_pylist()
+            x, n = kernel.encode(names)
+            for text, ix in zip(rows["text"].to_pylist(), rows["reference"].to_pylist(), strict=True):
+                codes = kernel.encode([text])[0][0]
+                codes[np.frombuffer(text.encode(), np.uint8) == ord("|")] = _References._GAP
+                for k in np.flatnonzero((d := kernel.search_many(x, n, codes)) <= errors).tolist():
+                    out[names[k], ix] = min(int(d[k]), out.get((names[k], ix), errors))
+        kind = rows.schema.field("reference").type
+        return pa.table([pa.array([p for p, _ in out], pa.string()), pa.array([ix for _, ix in out], kind), pa.array(list(out.values()), pa.int32())], names=["probe", "reference", "errors"])
+
+    return run
+
+
 def contaminants(reads: DataFrame, references: DataFrame, errors: int = 2) -> DataFrame:
     """Outcome artifact, and contaminant_ix, for successful reads whose first bases match a reference (ref_ix, seq).
 
-    Only reads that are still successful are searched.  References go to the executors in parts of a bounded size; a read keeps its best match."""
+    Only reads that are still successful are searched; a read keeps its best match, the first reference on ties.  References
+    of a bounded size (``PART_BASES``) go to every executor, and reads stay where they are; larger ones are joined with the
+    distinct probes (``seeded_matches``)."""
     total = references.agg(F.sum(F.length("seq"))).first()[0] or 0
-    if total > MOST_BASES:
-        raise ValueError(f"references of {total} bases; the most is {MOST_BASES}")
-    parts, size = [[]], 0
-    for r in references.select("ref_ix", "seq").orderBy("ref_ix").toLocalIterator():
-        if size and size + len(r["seq"]) > PART_BASES:
-            parts.append([])
-            size = 0
-        parts[-1].append((r["ref_ix"], r["seq"]))
-        size += len(r["seq"])
     probe = F.when(F.col("outcome") == "success", F.upper(F.substring(F.col("payloads")[0]["seq"], 1, PROBE)))
-    out = reads.withColumn("best", F.lit(None).cast("struct<errors:int,reference:int>"))
-    for part in parts:
-        if part:
-            out = match_references(out.withColumn("probe", probe), part, errors)
-            out = out.withColumn("best", F.least(F.coalesce("best", "hit"), F.coalesce("hit", "best"))).drop("hit", "probe")
-    return out.withColumn("outcome", F.when(F.col("best").isNotNull(), "artifact").otherwise(F.col("outcome"))).withColumn("contaminant_ix", F.col("best.reference")).drop("best")
+    out = reads.withColumn("hit", F.lit(None).cast(f"struct<errors:int,reference:{_kind(references)}>"))
+    if total > PART_BASES:
+        probed = reads.withColumn("probe", F.regexp_replace(F.translate(probe, "U", "T"), "[^ACGT.]", "N"))
+        out = probed.join(seeded_matches(probed, references, errors), "probe", "left").select(*reads.columns, "hit")
+    elif total:
+        part = [(r["ref_ix"], r["seq"]) for r in references.where(F.col("seq").isNotNull()).select("ref_ix", "seq").orderBy("ref_ix").collect()]
+        out = match_references(reads.withColumn("probe", probe), part, errors).drop("probe")
+    return out.withColumn("outcome", F.when(F.col("hit").isNotNull(), "artifact").otherwise(F.col("outcome"))).withColumn("contaminant_ix", F.col("hit.reference").cast("int")).drop("hit")
 
 
 def flags_without(reads: DataFrame, mask: int = 768) -> DataFrame:
