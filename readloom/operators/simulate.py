@@ -75,8 +75,8 @@ def one(p: Plan, i: int) -> tuple[str, str]:
     return name, seq
 
 
-def simulate(spark: SparkSession, p: Plan, file_ix: int = 0) -> DataFrame:
-    """(file_ix, ord, name, seq, qual)."""
+def simulate(spark: SparkSession, p: Plan, file_ix: int = 0, keys: DataFrame | None = None) -> DataFrame:
+    """(file_ix, ord, name, seq, qual); of the numbers below ``p.reads``, or of those that the first column of ``keys`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +87,7 @@ def simulate(spark: SparkSession, p: Plan, file_ix: int = 0) -> DataFrame:
                 ["file_ix", "ord", "name", "seq", "qual"],
             )
 
-    return spark.range(p.reads).mapInArrow(run, "file_ix int, ord bigint, name string, seq string, qual string")
+    return (spark.range(p.reads) if keys is None else keys).mapInArrow(run, "file_ix int, ord bigint, name string, seq string, qual string")
 
 
 def layout_words(p: Plan) -> str:

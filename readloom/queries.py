@@ -313,10 +313,11 @@ def q_extract_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_simulate_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated reads, labelled and held against their truth."""
-    p = simulate.Plan(reads=4000, barcodes=tuple(b for _, b in BARCODES), read_length=20)
+    """A simulated read for each order, labelled and held against its truth."""
+    keys = reads(spark, sf_dir).select("ord")
+    p = simulate.Plan(reads=keys.count(), barcodes=tuple(b for _, b in BARCODES), read_length=20)
     f = _fitted()
-    got = label.label(simulate.simulate(spark, p), f.model, f.threshold)
+    got = label.label(simulate.simulate(spark, p, keys=spread(keys)), f.model, f.threshold)
     file = F.when(F.col("outcome") == "success", F.col("barcode")).otherwise("un")
     return evaluate.evaluate(got.select(file.alias("file"), "name", F.col("payloads")[0]["seq"].alias("seq")))
 
@@ -381,6 +382,31 @@ def q_label_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ord", "outcome", "barcode", F.col("payloads")[0]["seq"].alias("payload"))
 
 
+def q_label_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy over reads of 96 barcodes, half of them with an error, and random ones that are too short for the layout."""
+    rows, random = _plate(spark, sf_dir), F.col("ord") % 10 == 9
+    truth = F.concat(F.lit("READ;SEQ:"), F.substring("seq", 9, 32), F.lit(";RBC:x;BARNUM:"), (F.col("ord") % 96 + 1).cast("string"))
+    rows = rows.withColumn("name", F.when(random, "RAND;SEQ:NONE;RBC:NONE;BARNUM:0").otherwise(truth)).withColumn("seq", F.when(random, F.substring("seq", 9, 12)).otherwise(F.col("seq")))
+    got = label.label(spread(rows), build(L.parse("B:" + ",".join(PLATE) + " R:N"), BACKGROUND, Options()), 0.0)
+    file = F.when(F.col("outcome") == "success", F.col("barcode")).otherwise("un")
+    return evaluate.evaluate(got.select(file.alias("file"), "name", F.col("payloads")[0]["seq"].alias("seq")))
+
+
+#: An adapter at either end, an optional base, a barcode, a spacer, a UMI and a read.
+_TYPES = f"P:{ADAPTER} O:T B:" + ",".join(b for _, b in BARCODES[:2]) + " S:GATTCA F:NNNN R:N P:CCGGTTAACC"
+
+
+def q_label_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of all sorts of segments; of every third the optional base is missing, and a base of the spacer is wrong in others."""
+    code = F.when(F.col("ord") % 2 == 0, BARCODES[0][1]).otherwise(BARCODES[1][1])
+    spacer = F.when(F.col("ord") % 5 == 1, "GATCCA").otherwise("GATTCA")
+    seq = F.concat(F.lit(ADAPTER), F.when(F.col("ord") % 3 == 0, "").otherwise("T"), code, spacer, F.substring("seq", 29, 4), F.lit("ACACACACACACACACACACAC"), F.lit("CCGGTTAACC"))
+    rows = reads(spark, sf_dir).withColumn("seq", seq).withColumn("qual", F.lit(None).cast("string"))
+    stats = Stats(BACKGROUND.background, 56.0, 56, 8.0, 1.0, 10.0, 1.0)
+    out = label.label(spread(rows), build(L.parse(_TYPES), stats, Options()), 0.0)
+    return out.select("ord", "outcome", "barcode", "fp_seq", F.col("payloads")[0]["seq"].alias("payload"))
+
+
 def q_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold that calibration takes, from fixed confidences."""
     scored = reads(spark, sf_dir).select(((F.col("ord") % 389) / 10).cast("double").alias("q"), ((F.col("o_custkey") * 7) % 389 < F.col("ord") % 389).alias("is_real"))
@@ -508,6 +534,8 @@ def oracle_sql() -> dict[str, str]:
         "split_by_tag": _with() + "SELECT substr(seq, 1, 6) AS part, COUNT(*) AS n FROM reads GROUP BY 1",
         "label_segments": _with(_COMPOSED) + "SELECT ord, 'success' AS outcome, barcode, CAST(list_sum(list_transform(range(1, 5), lambda i: (strpos('ACGT', substr(umi, i, 1)) - 1) * CAST(pow(4, 4 - i) AS BIGINT))) AS BIGINT) AS fp, umi AS fp_seq, seq AS payload, CAST(32 AS BIGINT) AS n_qual FROM composed",
         "label_plate": _with() + "SELECT ord, 'success' AS outcome, list_extract([" + ", ".join(f"'{b}'" for b in PLATE) + "], CAST(ord % 96 + 1 AS INTEGER)) AS barcode, seq AS payload FROM reads",
+        "label_evaluate": _with() + "SELECT 'readloom' AS program, 1.0::DOUBLE AS sensitivity, 1.0::DOUBLE AS specificity, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS kappa, 0.0::DOUBLE AS avg_error, SUM(CASE WHEN ord % 10 <> 9 THEN 1 ELSE 0 END)::BIGINT AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, SUM(CASE WHEN ord % 10 = 9 THEN 1 ELSE 0 END)::BIGINT AS tn, 0::BIGINT AS missed, 1.0::DOUBLE AS sensitivity_all FROM reads",
+        "label_types": _with() + f"SELECT ord, 'success' AS outcome, CASE WHEN ord % 2 = 0 THEN '{BARCODES[0][1]}' ELSE '{BARCODES[1][1]}' END AS barcode, substr(seq, 29, 4) AS fp_seq, 'ACACACACACACACACACACAC' AS payload FROM reads",
         "label_outcomes": _with(_COMPOSED) + "SELECT CASE WHEN 8 + ord % 24 < 16 THEN 'too_short' ELSE 'success' END AS outcome, barcode, COUNT(*) AS n FROM composed GROUP BY ALL",
         "threshold": _with("s AS (SELECT (ord % 389)::DOUBLE / 10 AS q, COUNT(*) FILTER ((o_custkey * 7) % 389 < ord % 389) AS a, COUNT(*) FILTER (NOT (o_custkey * 7) % 389 < ord % 389) AS b FROM reads GROUP BY 1)",
             "t AS (SELECT q, (SUM(a) OVER w)::DOUBLE / (SUM(a) OVER ())::DOUBLE AS x, 1 - (SUM(b) OVER w)::DOUBLE / (SUM(b) OVER ())::DOUBLE AS y FROM s WINDOW w AS (ORDER BY q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
