@@ -5,8 +5,9 @@ clusters, blocks and simple blocks with any lacing into packets with track, time
 cues are read as an index.  The writer stores 8-bit PCM samples in laced simple blocks with cues.
 
 Defined results: a null value has no packets; bytes that end early or hold a broken element give the
-packets before it and a note in ``error``; unknown elements are skipped; an empty table gives an empty
-result; equal bytes give equal packets.
+packets before it and a note in ``error``; unknown elements are skipped, and so is a reference outside of a group of
+blocks; an empty table gives an empty result; equal bytes give equal packets, and repeated rows a row each; texts of any
+length are stored whole, in as many packets as they need; columns but the id and the text or file are not used.
 """
 
 from __future__ import annotations
@@ -213,6 +214,8 @@ def read(data: bytes | None) -> Media:
             return block(at, end, False)
         if ident == REFERENCE:
             first = state["group"]
+            if first is None:  # it tells of a block of its own group only
+                return None
             out.packets[first:] = [(*p[:4], False, p[5]) for p in out.packets[first:]]
             return None
         if end - at > 64 and ident != CODEC:
@@ -271,6 +274,8 @@ def read(data: bytes | None) -> Media:
                     state["group"] = len(out.packets)
                 at = walk(at, stop, ident if size == _UNKNOWN else 0, depth + 1)
                 closed(ident)
+                if ident == BLOCK_GROUP:
+                    state["group"] = None
             elif not short:
                 leaf(ident, at, stop)
                 at = stop
