@@ -241,8 +241,8 @@ _SURE, _UNSURE = 2.0, 0.15
 #: Bounds of the evidence of all elements around a word, and of words that are joined to others in a class: of a token
 #: without and with a word of state, and of all of them beside a word that speaks for content.
 _LOW, _HIGH, _JOINED, _STATE, _BESIDE = -5.0, 1.0, -4.0, -0.3, -0.4
-#: What the words of an element cost together at most, where each weighs less than nothing.
-_COST = 6.0
+#: What the words of an element cost together at most, where each weighs less than nothing: outside of article and main elements, and within.
+_COST, _COST_WITHIN = 6.0, 1.5
 #: Words that tell of the state of a page or part rather than of what it is.  Fixed values.
 STATES = frozenset("open opened closed close on off left right top bottom middle no not non has have with without is enabled disabled active inactive visible invisible hidden fixed sticky free full wide narrow collapsed expanded ready loaded accepted allowed dismissed shown after before below above first last one two three col cols column columns layout page single template type id post category topics format style theme".split())
 
@@ -362,7 +362,7 @@ class Learned:
         held = Counter()
         for k, n in counts.items():
             held[top[k]] += n
-        return [None if gone[k] else self.word + total[k] if t < 0 else max(min(self.word + total[k], -0.01), -_COST / max(held[t], 1)) for k, t in enumerate(top)]
+        return [None if gone[k] else self.word + total[k] if t < 0 else max(min(self.word + total[k], -0.01), -(_COST_WITHIN if page.elements[t][3] else _COST) / max(held[t], 1)) for k, t in enumerate(top)]
 
     def _learn_tokens(self, read: list[tuple[Page, list[tuple[int, int]]]]) -> None:
         inside, outside = Counter(), Counter()
