@@ -35,7 +35,7 @@ def by_rejection(m: Model, rng: np.random.Generator, n: int, least: int) -> list
     return out
 
 
-@pytest.mark.parametrize(("words", "least"), [("B:ACAG,TTGA O:N R:N", 24), ("F:NNN S:GATT G:GGG", 9), ("P:ACGTAC R:N", 1), ("B:AC,GT S:TTT", 6)])
+@pytest.mark.parametrize(("words", "least"), [("B:ACAG,TTGA O:N R:N", 24), ("F:NNN S:GATT G:GGG", 9), ("P:ACGTAC R:N", 1), ("B:AC,GT S:TTT", 5)])
 def test_same_distribution_as_rejection(words, least):
     m, n = model(words), 3000
     got, want = Sampler(m, least).draw(np.random.default_rng(1), n), by_rejection(m, np.random.default_rng(2), n, least)
