@@ -7,7 +7,7 @@ column for each read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -302,27 +302,83 @@ def label(m: Model, seqs: list[str], decode: bool = True) -> Labelled:
 # -- approximate search and overlap -----------------------------------------------------------------
 
 
+def _codes(seq: str) -> np.ndarray:
+    return _LUT[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+
+
 def search_distance(pattern: str, text: str, to_end: bool = False) -> int:
-    """Least edit distance of the pattern to any part of the text, or to one that ends with it."""
-    p, row = _LUT[np.frombuffer(pattern.encode(), np.uint8)], np.arange(len(pattern) + 1)
-    steps = np.arange(len(pattern) + 1)
-    best = len(pattern)
-    for c in _LUT[np.frombuffer(text.encode(), np.uint8)]:
-        new = np.empty_like(row)
-        new[0] = 0
-        new[1:] = np.minimum(row[:-1] + (p != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps  # deletions in the pattern, all at once
-        best = min(best, int(row[-1]))
-    return int(row[-1]) if to_end else best
+    """Least edit distance of the pattern to any part of the text, or to one that ends with it.
+
+    A column of the alignment is two numbers with a bit for each base of the pattern: where the distance grows by one from
+    the base before, and where it shrinks."""
+    places = [0] * (_NO_CODE + 1)
+    for k, c in enumerate(_codes(pattern).tolist()):
+        places[c] |= 1 << k
+    n = len(pattern)
+    every, last = (1 << n) - 1, 1 << n >> 1
+    up, down, now, best = every, 0, n, n
+    for c in _codes(text).tolist():
+        same = places[c]
+        level = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(level | up)), up & level
+        now += bool(more & last) - bool(less & last)
+        best = min(best, now)
+        more, less, same = more << 1 & every, less << 1 & every, same | down
+        up, down = less | (every & ~(same | more)), more & same
+    return now if to_end else best
+
+
+#: Stands for every code that fits no base; its bits are never set.
+_NO_CODE = 6
+#: Bases of a read that fit the bits of one number.
+_WORD = 64
+
+
+def _bits(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(codes, reads): a bit for each place where the read has the code."""
+    bit = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+    out = np.zeros((_NO_CODE + 1, len(x)), np.uint64)
+    live = np.arange(x.shape[1]) < n[:, None]
+    for c in range(_NO_CODE):
+        out[c] = np.where((x == c) & live, bit, np.uint64(0)).sum(1, dtype=np.uint64)
+    return out
 
 
-def search_many(x: np.ndarray, n: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Least edit distance of each read (rows of codes, with lengths) to any part of one text."""
+def _search_bits(columns: Iterable[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """As ``search_distance`` for many reads of at most 64 bases: of each base of the texts, the places with it in every read."""
+    up, down = np.full(len(n), ~np.uint64(0)), np.zeros(len(n), np.uint64)
+    last = np.where(n > 0, np.uint64(1) << np.maximum(n - 1, 0).astype(np.uint64), np.uint64(0))
+    now, best = n.astype(np.int64), n.astype(np.int64)
+    one = np.uint64(1)
+    for same in columns:
+        level = same & up
+        level += up
+        level ^= up
+        level |= same
+        more = level | up
+        np.invert(more, out=more)
+        more |= down
+        level &= up  # where the row shrinks
+        now += (more & last).astype(bool)
+        now -= (level & last).astype(bool)
+        np.minimum(best, now, out=best)
+        more <<= one
+        level <<= one
+        down |= same
+        up = down | more
+        np.invert(up, out=up)
+        up |= level
+        down &= more
+    return best
+
+
+def _search_rows(x: np.ndarray, n: np.ndarray, columns: Iterable[np.ndarray]) -> np.ndarray:
+    """The same for reads of any length, from whole columns of distances."""
     b, width = x.shape
     steps = np.arange(width + 1)
     row = np.broadcast_to(steps, (b, width + 1)).copy()
-    best, rows = n.copy(), np.arange(b)
-    for c in text:
+    best, rows = n.astype(np.int64), np.arange(b)
+    for c in columns:
         new = np.empty_like(row)
         new[:, 0] = 0
         new[:, 1:] = np.minimum(row[:, :-1] + (x != c), row[:, 1:] + 1)
@@ -331,19 +387,21 @@ def search_many(x: np.ndarray, n: np.ndarray, text: np.ndarray) -> np.ndarray:
     return best
 
 
+def search_many(x: np.ndarray, n: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Least edit distance of each read (rows of codes, with lengths) to any part of one text."""
+    if x.shape[1] > _WORD:
+        return _search_rows(x, n, text)
+    bits = _bits(x, n)
+    return _search_bits((bits[c] for c in np.minimum(text, _NO_CODE)), n)
+
+
 def search_windows(x: np.ndarray, n: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Least edit distance of each read (rows of codes, with lengths) to any part of its own window (rows of codes)."""
-    b, width = x.shape
-    steps = np.arange(width + 1, dtype=np.int16)
-    row = np.broadcast_to(steps, (b, width + 1)).copy()
-    best, rows = n.astype(np.int64), np.arange(b)
-    for k in range(windows.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = 0
-        new[:, 1:] = np.minimum(row[:, :-1] + (x != windows[:, k : k + 1]), row[:, 1:] + 1)
-        row = np.minimum.accumulate(new - steps, axis=1) + steps
-        best = np.minimum(best, row[rows, n])
-    return best
+    if x.shape[1] > _WORD:
+        return _search_rows(x, n, (windows[:, k : k + 1] for k in range(windows.shape[1])))
+    bits, rows = _bits(x, n).ravel(), np.arange(len(x))
+    codes = np.minimum(windows, _NO_CODE).T
+    return _search_bits((bits[c * len(x) + rows] for c in codes.astype(np.int64)), n)
 
 
 def right_probability(qual: str | None, n: int) -> np.ndarray:

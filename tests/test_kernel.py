@@ -113,6 +113,36 @@ def test_search_many_equals_one_by_one():
     assert K.search_many(x, n, K.encode([text])[0][0]).tolist() == [K.search_distance(s, text) for s in seqs]
 
 
+@pytest.mark.parametrize("longest", [1, 20, 63, 64, 65, 150])
+def test_bits_equal_whole_columns(longest):
+    rng = np.random.default_rng(longest)
+    make = lambda n: "".join(rng.choice(list("ACGTN."), n, p=[0.3, 0.3, 0.2, 0.1, 0.05, 0.05]))
+    seqs = ["", "A" * longest, *[make(n) for n in rng.integers(0, longest + 1, 60)]]
+    windows = K.encode([make(100) for _ in seqs])[0]
+    for k in range(0, len(seqs), 2):  # most windows hold the read, with few errors
+        part = K.encode([seqs[k]])[0][0].copy()
+        part[rng.integers(0, max(len(part), 1), 2)[: len(part)]] = 0
+        windows[k, 5 : 5 + len(part)] = part[:95]
+    windows[:, 0] = 9  # fits nothing
+    x, n = K.encode(seqs)
+    want = K._search_rows(x, n, (windows[:, k : k + 1] for k in range(100)))
+    assert K.search_windows(x, n, windows).tolist() == want.tolist()
+    assert K.search_many(x, n, windows[1]).tolist() == K._search_rows(x, n, windows[1]).tolist()
+    letters = np.array(list("ACGTN.    x"))
+    assert [K.search_distance(s, "".join(letters[w[1:]])) for s, w in zip(seqs, windows, strict=True)] == want.tolist()
+    assert K.search_windows(x, n, windows[:, :0]).tolist() == n.tolist()
+    assert len(K.search_windows(x[:0], n[:0], windows[:0])) == 0
+
+
+@pytest.mark.parametrize("to_end", [False, True])
+def test_search_distance_of_long_and_odd_texts(to_end):
+    rng = np.random.default_rng(9)
+    for n, size in ((70, 90), (130, 40), (0, 5), (5, 0)):
+        p, t = ("".join(rng.choice(list("ACGT"), k)) for k in (n, size))
+        assert K.search_distance(p, t, to_end) == slow_distance(p, t, to_end)
+    assert K.search_distance("\ud800\u00e9", "NN", to_end) == 0  # letters that are no bases are alike
+
+
 def test_overlap():
     a, b = "ACGTACGTTTGACCATTGACAGG", "TTTGACCATTGACAGGCCCTTA"
     seq, qual, share, at = K.overlap(a, None, b, None, 10)
