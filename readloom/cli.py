@@ -34,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     e.add_argument("--seed", type=int, default=42)
     e.add_argument("--show-umi-bases", action="store_true")
     e.add_argument("--calibration-reads", type=int, default=Options.calibration_reads, help="simulated reads that set the threshold where none is given")
+    e.add_argument("--fit-on-first", action="store_true", help="take a file's figures and layout from its first reads, not from reads all over it")
     e.add_argument("--part-records", type=int, help="write each sample as a folder of parts of so many records, by many tasks; otherwise one task writes one file")
     s = sub.add_parser("simulate", help="simulate reads")
     s.add_argument("-o", "--out", required=True)
@@ -68,7 +69,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
-    o = Options(a.error_rate, a.indels, a.threshold, a.min_length, a.start, a.end, a.dust, a.reference_errors, a.seed, calibration_reads=a.calibration_reads)
+    o = Options(a.error_rate, a.indels, a.threshold, a.min_length, a.start, a.end, a.dust, a.reference_errors, a.seed, calibration_reads=a.calibration_reads, spread=not a.fit_on_first)
     log, all_reads = Run(), R.read(spark, a.files)
     known = R.read_layouts(spark, a.layouts) if a.layouts else []
     fitted = []

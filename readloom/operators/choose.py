@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from ..plans.layout import Layout
 from ..plans.model import Options, build
 from .label import log_likelihoods
-from .stats import prefix, stats_of_all
+from .stats import known_size, sample, stats_of_all
 
 
 def posterior(log_likelihoods_: list[float]) -> np.ndarray:
@@ -18,13 +18,14 @@ def posterior(log_likelihoods_: list[float]) -> np.ndarray:
     return x / x.sum()
 
 
-def choose(reads: DataFrame, layouts: list[Layout], o: Options = Options()) -> tuple[Layout, float]:
-    """The best of the layouts and its probability.  All are scored in one pass over the file's first reads."""
+def choose(reads: DataFrame, layouts: list[Layout], o: Options = Options(), size: int | None = None) -> tuple[Layout, float]:
+    """The best of the layouts and its probability.  All are scored in one pass over some of the file's reads, of which there are ``size``."""
     if len(layouts) == 1:
         return layouts[0], 1.0
-    models = [build(a, s, o) for a, s in zip(layouts, stats_of_all(reads, layouts, o), strict=True)]
+    size = known_size(reads, o) if size is None else size
+    models = [build(a, s, o) for a, s in zip(layouts, stats_of_all(reads, layouts, o, size), strict=True)]
     # one row per layout comes back
-    rows = {r["layout_id"]: r["log_likelihood"] for r in log_likelihoods(prefix(reads, o.search_reads), models).collect()}
+    rows = {r["layout_id"]: r["log_likelihood"] for r in log_likelihoods(sample(reads, o.search_reads, o, size), models).collect()}
     p = posterior([rows.get(i, 0.0) for i in range(len(layouts))])
     best = int(p.argmax())
     return layouts[best], float(p[best])

@@ -38,8 +38,9 @@ class Options:
     dust: float = 100.0
     contaminant_errors: int = 2
     seed: int = 42
-    stats_reads: int = 1_000_001
-    search_reads: int = 100_000
+    stats_reads: int | None = 1_000_001  # of a file, for its figures; None: all
+    search_reads: int | None = 100_000  # of a file, for the choice of its layout; None: all
+    spread: bool = True  # these reads are from all over the file, by a hash of their numbers; else its first ones
     calibration_reads: int = 400_000
 
 

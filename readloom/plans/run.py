@@ -34,8 +34,9 @@ class Run:
 
 def fit(reads: DataFrame, layouts: list[Layout], o: Options = Options(), log: Run | None = None) -> Fitted:
     """Choose a layout for one file, build its model and find its threshold (unless the options set one)."""
-    layout, p = choose.choose(reads, layouts, o)
-    model = build(layout, stats.sequence_stats(reads, layout, o), o)
+    size = stats.known_size(reads, o)
+    layout, p = choose.choose(reads, layouts, o, size)
+    model = build(layout, stats.sequence_stats(reads, layout, o, size), o)
     threshold = o.threshold if o.threshold is not None else 0.0 if layout.plain else calibrate.calibrate(reads.sparkSession, model, o)
     if log:
         log.say(f"layout {layout} (probability {p:.2f}), threshold {threshold:.2f}")
