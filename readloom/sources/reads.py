@@ -1,4 +1,4 @@
-"""Read files as DataFrames: (file_ix, ord, name, seq, qual), from FASTQ, FASTA and SAM.
+"""Read files as DataFrames: (file_ix, ord, name, seq, qual), from FASTQ, FASTA, SAM and BAM.
 
 The files are split by Spark's text reader, so any file system and any codec that Spark knows works, and
 plain files are read in parallel.  Records have several lines: every line gets a number that follows the
@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.demux import numbered
+from .bam import read_bam
 
 #: Kinds by the end of the name; a compression suffix is taken off first.  Fixed values.
-KINDS = {".fa": "fasta", ".fasta": "fasta", ".fq": "fastq", ".fastq": "fastq", ".fastaq": "fastq", ".sam": "sam"}
+KINDS = {".fa": "fasta", ".fasta": "fasta", ".fq": "fastq", ".fastq": "fastq", ".fastaq": "fastq", ".sam": "sam", ".bam": "bam"}
 CODECS = (".gz", ".bz2")
 SCHEMA = "file_ix int, ord bigint, name string, seq string, qual string"
 
@@ -29,12 +30,10 @@ def kind_of(path: str) -> str:
     name = path.rsplit("/", 1)[-1].lower()
     for codec in CODECS:
         name = name.removesuffix(codec)
-    if name.endswith(".bam"):
-        raise FormatError(f"{path}: BAM files have to be converted to SAM")
     for end, kind in KINDS.items():
         if name.endswith(end):
             return kind
-    raise FormatError(f"{path}: not a FASTQ, FASTA or SAM file by its name")
+    raise FormatError(f"{path}: not a FASTQ, FASTA, SAM or BAM file by its name")
 
 
 #: Blocks of files whose first numbers are sent to every task; beyond, lines are shuffled to them.
@@ -147,7 +146,7 @@ def read(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFram
     out = None
     for ix, path in enumerate(paths):
         kind = kind_of(path)
-        part = read_fastq(spark, path, ix, strict) if kind == "fastq" else read_fasta(spark, path, ix) if kind == "fasta" else read_sam(spark, path, ix).select("file_ix", "ord", "name", "seq", "qual")
+        part = read_fastq(spark, path, ix, strict) if kind == "fastq" else read_fasta(spark, path, ix) if kind == "fasta" else (read_bam if kind == "bam" else read_sam)(spark, path, ix).select("file_ix", "ord", "name", "seq", "qual")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise FormatError("no files")

@@ -63,7 +63,7 @@ def test_fasta_sam_and_lists(spark, tmp_path):
     assert [tuple(r) for r in R.read_tags(spark, str(tmp_path / "t.txt")).collect()] == [(0, "Tag1", "ACGT"), (1, "Tag2", "TTGA")]
     (tmp_path / "m.txt").write_text("# s b\ns1 acgt x\n\n")
     assert [tuple(r) for r in R.read_sample_map(spark, str(tmp_path / "m.txt")).collect()] == [("s1", "ACGT")]
-    for name in ("x.bam", "x.txt"):
+    for name in ("x.cram", "x.txt"):
         with pytest.raises(R.FormatError):
             R.kind_of(name)
 
