@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.layout import Layout
 from ..plans.model import Options, build
@@ -11,6 +11,20 @@ from .label import log_likelihoods
 from .stats import known_size, sample, stats_of_all
 
 
+def concatenate(*lists: DataFrame) -> DataFrame:
+    """(layout): the layouts of several lists, each once and without blanks around it; empty lines and comments are none.
+
+    Every list is reduced to its distinct layouts where it is read."""
+    out = None
+    for one in lists:
+        line = one.select(F.regexp_replace(F.trim(F.regexp_replace(one.columns[0], r"\s+", " ")), " *#.*$", "").alias("layout"))
+        part = line.where("layout <> ''")
+        out = part if out is None else out.union(part)
+    if out is None:
+        raise ValueError("no lists of layouts")
+    return out.distinct()
+
+
 def posterior(log_likelihoods_: list[float]) -> np.ndarray:
     """Of layouts that are equally likely before: their probabilities given the reads."""
     x = np.array(log_likelihoods_, float)

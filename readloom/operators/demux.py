@@ -166,17 +166,31 @@ def nearest_of_table(reads: DataFrame, barcodes: DataFrame, observed: Column, mo
     return out.select(*[f"`{c}`" for c in reads.columns], "sample", "barcode", "distance")
 
 
+def _shorter(text: Column, places: int) -> Column:
+    """The text and all that are left of it without up to so many of its places (1 or 2)."""
+    without = lambda s: F.when(F.length(s) >= 1, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))).otherwise(F.array(s))
+    once = F.array_union(F.array(text), without(text))
+    return once if places == 1 else F.array_distinct(F.flatten(F.transform(once, lambda s: F.array_union(F.array(s), without(s)))))
+
+
 def least_distances(reads: DataFrame, group: str, tag: Column) -> DataFrame:
     """(group, least): the least edit distance between the tags of each group's reads, of all groups with a few.
 
-    A tag that a group has twice makes it 0; only groups without one have their tags (of which there are no more than
-    there can be different ones) held against each other."""
-    one = reads.where(F.col(group).isNotNull() & F.col("ord").isNotNull()).groupBy(group, tag.alias("b")).agg((F.min("ord") < F.max("ord")).alias("again"))
+    A tag that a group has twice makes it 0.  Of the groups without one, tags that become the same text by leaving out a
+    place of each are compared first, then, in the groups where that finds none so near, those that do by two places: so few
+    tags can become one text that no group makes all its pairs.  Only in groups whose tags all differ in three places or more,
+    which are the fewer the nearer tags have to be told apart, is each tag held against each other."""
+    one = cut(reads.where(F.col(group).isNotNull() & F.col("ord").isNotNull()).groupBy(group, tag.alias("b")).agg((F.min("ord") < F.max("ord")).alias("again")))
     per = one.groupBy(group).agg(F.max("again").alias("any"), F.count("*").alias("n"))
     zero = per.where("any").select(group, F.lit(0).cast("bigint").alias("least"))
-    rest = one.join(per.where("not any and n > 1"), group).select(group, "b")
+    rest, found = one.join(per.where("not any and n > 1"), group).select(group, "b"), zero
+    for places in (1, 2):
+        keyed = rest.select(group, "b", F.explode(_shorter(F.col("b"), places)).alias("key"))
+        near = keyed.alias("x").join(keyed.alias("y"), [group, "key"]).where("x.b < y.b").withColumn("d", F.levenshtein("x.b", "y.b", places)).where("d >= 0")
+        step = cut(near.groupBy(group).agg(F.min("d").cast("bigint").alias("least")))
+        found, rest = found.union(step), rest.join(step, group, "left_anti")
     both = rest.alias("x").join(rest.alias("y"), group).where("x.b < y.b")
-    return zero.union(both.groupBy(group).agg(F.min(F.levenshtein("x.b", "y.b")).cast("bigint").alias("least")))
+    return found.union(both.groupBy(group).agg(F.min(F.levenshtein("x.b", "y.b")).cast("bigint").alias("least")))
 
 
 def name_barcode(name: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import sequence as S
-from .operators import calibrate, demux, evaluate, filters, label, mates, pairs, simulate, stats, umi
+from .operators import calibrate, choose, demux, evaluate, filters, label, mates, pairs, simulate, stats, umi
 from .operators.choose import posterior
 from .plans import layout as L
 from .plans.model import Options, Stats, build
@@ -280,10 +280,10 @@ def q_low_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_distinct_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layouts of two lists, each once."""
+    """Layouts of two lists, each once: of the first three bases of every read, and of the three behind them."""
     r = reads(spark, sf_dir)
-    part = lambda k, n: r.where(F.col("ord") % n == k).select(F.concat(F.lit("B:"), F.substring("seq", 1, 3), F.lit(" R:N")).alias("layout"))
-    return part(0, 2).union(part(0, 3)).distinct()
+    part = lambda at: r.select(F.concat(F.lit("B:"), F.substring("seq", at, 3), F.lit(" R:N")).alias("layout"))
+    return choose.concatenate(part(1), part(4))
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -548,5 +548,5 @@ def oracle_sql() -> dict[str, str]:
         "numbered": _with() + "SELECT ord, substr(seq, 1, 1) AS sample, row_number() OVER (PARTITION BY substr(seq, 1, 1) ORDER BY ord) AS number FROM reads",
         "summary": _with(_FILES) + ", n AS (SELECT outcome, COUNT(*) AS n FROM files GROUP BY outcome) SELECT outcome, n, round(100.0::DOUBLE * n / (SELECT COUNT(*) FROM files), 4) AS percent FROM n",
         "low_complexity": _with(_FILES) + f", d AS (SELECT CASE WHEN {dust} > 8 THEN 'low_complexity' ELSE outcome END AS outcome FROM files) SELECT outcome, COUNT(*) AS n FROM d GROUP BY outcome",
-        "distinct_layouts": _with() + "SELECT 'B:' || substr(seq, 1, 3) || ' R:N' AS layout FROM reads WHERE ord % 2 = 0 UNION SELECT 'B:' || substr(seq, 1, 3) || ' R:N' FROM reads WHERE ord % 3 = 0",
+        "distinct_layouts": _with() + "SELECT 'B:' || substr(seq, 1, 3) || ' R:N' AS layout FROM reads UNION SELECT 'B:' || substr(seq, 4, 3) || ' R:N' FROM reads",
     }

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from readloom.operators import demux
+from readloom.operators import choose, demux
 
 
 def levenshtein(a, b):
@@ -32,3 +32,29 @@ def test_barcode_distance_by_brute_force(spark):
     want[9] = 0  # more reads than barcodes
     got = demux.least_distances(spark.createDataFrame(rows, "o_custkey long, ord long, seq string"), "o_custkey", F.substring("seq", 1, 6))
     assert {x["o_custkey"]: x["least"] for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_tags_of_all_distances(spark):
+    r = random.Random(11)
+    rows, n = [], 0
+    for c in range(60):  # groups whose tags are far apart, with a pair at a known number of edits in most
+        tags = ["".join(r.choice("ACGTN") for _ in range(r.choice((0, 1, 9, 14)))) for _ in range(r.randint(1, 6))]
+        near = list(tags[-1])
+        for _ in range(c % 5):
+            i = r.randrange(len(near) + 1)
+            near[i : i + r.randint(0, 1)] = r.choice(("", "A", "C", "GT"))
+        for t in [*tags, "".join(near)]:
+            rows.append((c, n := n + 1, t))
+    want = {}
+    for k, (c, _, s) in enumerate(rows):
+        for d, _, t in rows[:k]:
+            if c == d:
+                want[c] = min(want.get(c, 99), levenshtein(s, t))
+    got = demux.least_distances(spark.createDataFrame(rows, "g long, ord long, seq string"), "g", F.col("seq"))
+    assert {x["g"]: x["least"] for x in got.collect()} == want and len(set(want.values())) > 3
+
+
+def test_concatenated_layouts(spark):
+    lists = [spark.createDataFrame(x, "value string") for x in ([("B:ACG R:N",), ("  R:N ",), ("",), (None,)], [("R:N # all of it",), ("# none",), ("B:ACG\tR:N",)])]
+    assert sorted(r["layout"] for r in choose.concatenate(*lists).collect()) == ["B:ACG R:N", "R:N"]
+    assert choose.concatenate(lists[0].limit(0)).count() == 0
