@@ -322,10 +322,31 @@ def q_simulate_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluate(got.select(file.alias("file"), "name", F.col("payloads")[0]["seq"].alias("seq")))
 
 
+#: Contaminants: two of a repeated word, and one that is not.
+_CONTAMINANTS = ("ACGT" * 20, "GATTACA" * 12, "TTGCAGGATCCGTTAACGCATGACCTGAAGTCTCGGATAACCTTGCAAGCGTATTCGACAG")
+
+
+def _held_against(spark: SparkSession, rows: DataFrame, refs: tuple[str, ...]) -> DataFrame:
+    got = label.label(spread(rows), build(L.parse("R:N"), BACKGROUND, Options()), 0.0)
+    return filters.contaminants(got, spark.createDataFrame(list(enumerate(refs)), "ref_ix int, seq string"))
+
+
 def q_contaminants_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = label.label(spread(reads(spark, sf_dir)), build(L.parse("R:N"), BACKGROUND, Options()), 0.0)
-    refs = spark.createDataFrame([(0, "ACGT" * 20), (1, "GATTACA" * 12)], "ref_ix int, seq string")
-    return filters.contaminants(got, refs).groupBy("outcome", "contaminant_ix").agg(F.count("*").alias("n"))
+    return _held_against(spark, reads(spark, sf_dir), _CONTAMINANTS[:2]).groupBy("outcome", "contaminant_ix").agg(F.count("*").alias("n"))
+
+
+def q_contaminants_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads from contaminants, with up to four errors of every sort, half of them from the other strand; two errors are allowed."""
+    piece = F.substring(F.element_at(F.array(*map(F.lit, _CONTAMINANTS)), (F.col("ord") % 3 + 1).cast("int")), (F.col("ord") % 23 + 1).cast("int"), F.lit(36))
+    e, own = F.floor(F.col("ord") / 4) % 5, lambda k: F.substring("seq", k, 1)
+    part = lambda a, n: F.substring(F.col("piece"), a, n)
+    middle = F.when(e >= 2, part(11, 4)).otherwise(part(10, 5))  # a base left out
+    more = F.when(e >= 3, F.concat(own(2), own(3))).otherwise("")  # two put in
+    rows = reads(spark, sf_dir).withColumn("piece", piece)
+    seq = F.concat(part(1, 4), F.when(e >= 1, own(1)).otherwise(part(5, 1)), part(6, 4), middle, part(15, 6), more, part(21, 4), F.when(e >= 4, own(4)).otherwise(part(25, 1)), part(26, 11))
+    cut = F.substring(seq, 1, 32)
+    rows = rows.withColumn("seq", F.when(F.col("ord") % 2 == 0, cut).otherwise(S.reverse_complement(cut))).withColumn("qual", F.lit(None).cast("string"))
+    return _held_against(spark, rows.drop("piece"), _CONTAMINANTS).select("ord", "outcome", F.col("contaminant_ix").cast("bigint").alias("contaminant_ix"))
 
 
 #: A barcode, a UMI of four bases, a spacer and a read.
@@ -467,6 +488,21 @@ _MOLECULES = """mol AS (SELECT CAST(list_sum(list_transform(range(1, 4), lambda
 per AS (SELECT chrom, COUNT(*) AS with_umi, CAST(SUM(n) AS BIGINT) AS without_umi FROM mol GROUP BY chrom)"""
 
 
+def _windows(many: int) -> tuple[str, str]:
+    """The first contaminants, and all their parts on both strands that two errors can turn into 32 bases."""
+    refs = ", ".join(f"({k}, '{r}')" for k, r in enumerate(_CONTAMINANTS[:many]))
+    return f"refs AS (SELECT * FROM (VALUES {refs}) AS v(ref, s))", """windows AS (SELECT DISTINCT ref, substr(t, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS w
+      FROM (SELECT ref, s AS t FROM refs UNION ALL SELECT ref, reverse(translate(s, 'ACGT', 'TGCA')) FROM refs), range(1, 85) AS a(i), range(30, 35) AS b(n) WHERE i + n <= length(t) + 1)"""
+
+
+def _nearest_windows(rows: str) -> str:
+    """The nearest contaminant of each distinct read, the first on ties, where no more than two errors lie between."""
+    return f"near AS (SELECT seq, ref FROM (SELECT p.seq, w.ref, row_number() OVER (PARTITION BY p.seq ORDER BY levenshtein(p.seq, w.w), w.ref) AS k FROM (SELECT DISTINCT seq FROM {rows}) p JOIN windows w ON levenshtein(p.seq, w.w) <= 2) WHERE k = 1)"
+
+
+_PIECES = "pieces AS (SELECT ord, seq, CAST(ord // 4 % 5 AS BIGINT) AS e, substr((SELECT list(s ORDER BY ref) FROM refs)[CAST(ord % 3 + 1 AS BIGINT)], CAST(ord % 23 + 1 AS BIGINT), 36) AS p FROM reads)"
+
+
 def oracle_sql() -> dict[str, str]:
     dust = _DUST.format(s="seq")
     prefixes = " ".join(f"WHEN starts_with(seq, '{ADAPTER[len(ADAPTER) - k:]}') THEN {k}" for k in range(len(ADAPTER), 3, -1))
@@ -548,5 +584,8 @@ def oracle_sql() -> dict[str, str]:
         "numbered": _with() + "SELECT ord, substr(seq, 1, 1) AS sample, row_number() OVER (PARTITION BY substr(seq, 1, 1) ORDER BY ord) AS number FROM reads",
         "summary": _with(_FILES) + ", n AS (SELECT outcome, COUNT(*) AS n FROM files GROUP BY outcome) SELECT outcome, n, round(100.0::DOUBLE * n / (SELECT COUNT(*) FROM files), 4) AS percent FROM n",
         "low_complexity": _with(_FILES) + f", d AS (SELECT CASE WHEN {dust} > 8 THEN 'low_complexity' ELSE outcome END AS outcome FROM files) SELECT outcome, COUNT(*) AS n FROM d GROUP BY outcome",
+        "contaminants_errors": _with(*_windows(2), _nearest_windows("reads")) + "SELECT CASE WHEN n.ref IS NULL THEN 'success' ELSE 'artifact' END AS outcome, CAST(n.ref AS INTEGER) AS contaminant_ix, COUNT(*) AS n FROM reads r LEFT JOIN near n ON n.seq = r.seq GROUP BY 1, 2",
+        "contaminants_near": _with(*_windows(3), _PIECES, "made AS (SELECT ord, CASE WHEN ord % 2 = 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END AS seq FROM (SELECT ord, substr(substr(p, 1, 4) || CASE WHEN e >= 1 THEN substr(seq, 1, 1) ELSE substr(p, 5, 1) END || substr(p, 6, 4) || CASE WHEN e >= 2 THEN substr(p, 11, 4) ELSE substr(p, 10, 5) END || substr(p, 15, 6) || CASE WHEN e >= 3 THEN substr(seq, 2, 2) ELSE '' END || substr(p, 21, 4) || CASE WHEN e >= 4 THEN substr(seq, 4, 1) ELSE substr(p, 25, 1) END || substr(p, 26, 11), 1, 32) AS seq FROM pieces))", _nearest_windows("made"))
+        + "SELECT r.ord, CASE WHEN n.ref IS NULL THEN 'success' ELSE 'artifact' END AS outcome, CAST(n.ref AS BIGINT) AS contaminant_ix FROM made r LEFT JOIN near n ON n.seq = r.seq",
         "distinct_layouts": _with() + "SELECT 'B:' || substr(seq, 1, 3) || ' R:N' AS layout FROM reads UNION SELECT 'B:' || substr(seq, 4, 3) || ' R:N' FROM reads",
     }
