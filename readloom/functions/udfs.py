@@ -18,7 +18,10 @@ def register_edit_search(spark: SparkSession) -> None:
     def make(to_end: bool):  # noqa: ANN202
         @F.pandas_udf("int")
         def search(pattern: pd.Series, text: pd.Series) -> pd.Series:
-            return pd.Series([None if p is None or t is None else kernel.search_distance(p, t, to_end) for p, t in zip(pattern, text, strict=True)], dtype="Int32")
+            known = pattern.notna() & text.notna()
+            out = pd.Series(pd.NA, index=pattern.index, dtype="Int32")
+            out[known] = kernel.search_pairs(pattern[known].tolist(), text[known].tolist(), to_end)
+            return out
 
         return search
 

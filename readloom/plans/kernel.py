@@ -344,13 +344,15 @@ def _bits(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search_bits(columns: Iterable[np.ndarray], n: np.ndarray) -> np.ndarray:
-    """As ``search_distance`` for many reads of at most 64 bases: of each base of the texts, the places with it in every read."""
+def _search_bits(columns: Iterable[np.ndarray], n: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """As ``search_distance`` for many reads of at most 64 bases: of each base of the texts, the places with it in every read.
+
+    With ``ends``, the lengths of the texts, to a part that ends with the text."""
     up, down = np.full(len(n), ~np.uint64(0)), np.zeros(len(n), np.uint64)
     last = np.where(n > 0, np.uint64(1) << np.maximum(n - 1, 0).astype(np.uint64), np.uint64(0))
     now, best = n.astype(np.int64), n.astype(np.int64)
-    one = np.uint64(1)
-    for same in columns:
+    one, at_end = np.uint64(1), best.copy()
+    for done, same in enumerate(columns, 1):
         level = same & up
         level += up
         level ^= up
@@ -362,6 +364,8 @@ def _search_bits(columns: Iterable[np.ndarray], n: np.ndarray) -> np.ndarray:
         now += (more & last).astype(bool)
         now -= (level & last).astype(bool)
         np.minimum(best, now, out=best)
+        if ends is not None:
+            np.copyto(at_end, now, where=ends == done)
         more <<= one
         level <<= one
         down |= same
@@ -369,7 +373,7 @@ def _search_bits(columns: Iterable[np.ndarray], n: np.ndarray) -> np.ndarray:
         np.invert(up, out=up)
         up |= level
         down &= more
-    return best
+    return best if ends is None else at_end
 
 
 def _search_rows(x: np.ndarray, n: np.ndarray, columns: Iterable[np.ndarray]) -> np.ndarray:
@@ -404,6 +408,29 @@ def search_windows(x: np.ndarray, n: np.ndarray, windows: np.ndarray) -> np.ndar
     return _search_bits((bits[c * len(x) + rows] for c in codes.astype(np.int64)), n)
 
 
+#: Bases of texts that are searched together.
+_TEXT_CELLS = 4_000_000
+
+
+def search_pairs(patterns: list[str], texts: list[str], to_end: bool = False) -> np.ndarray:
+    """``search_distance`` of each pattern and its own text; texts of like lengths are searched together."""
+    out, size = np.zeros(len(patterns), np.int64), np.fromiter(map(len, texts), np.int64, len(texts))
+    short = np.fromiter((len(p) <= _WORD for p in patterns), bool, len(patterns))
+    for k in np.flatnonzero(~short).tolist():
+        out[k] = search_distance(patterns[k], texts[k], to_end)
+    left = np.flatnonzero(short)
+    left = left[np.argsort(size[left], kind="stable")]
+    while len(left):
+        fit = np.arange(1, len(left) + 1) * size[left] <= _TEXT_CELLS
+        some, left = np.split(left, [max(int(fit.sum()), 1)])
+        x, n = encode([patterns[k] for k in some])
+        codes, width = encode([texts[k] for k in some])
+        codes[np.arange(codes.shape[1]) >= width[:, None]] = _NO_CODE  # behind the text nothing comes nearer
+        bits, rows = _bits(x, n).ravel(), np.arange(len(some))
+        out[some] = _search_bits((bits[c * len(some) + rows] for c in codes.T.astype(np.int64)), n, width if to_end else None)
+    return out
+
+
 def right_probability(qual: str | None, n: int) -> np.ndarray:
     """Of every base: the probability that it is right."""
     if not qual:

@@ -143,6 +143,19 @@ def test_search_distance_of_long_and_odd_texts(to_end):
     assert K.search_distance("\ud800\u00e9", "NN", to_end) == 0  # letters that are no bases are alike
 
 
+@pytest.mark.parametrize("to_end", [False, True])
+def test_pairs_equal_one_by_one(to_end, monkeypatch):
+    rng = np.random.default_rng(12)
+    make = lambda n: "".join(rng.choice(list("ACGTN"), n))
+    patterns = ["", "ACGT", "\u00e9\ud800", *[make(n) for n in rng.integers(0, 70, 200)]]
+    texts = ["ACGT", "", "NN", *[make(n) for n in rng.integers(0, 120, 200)]]
+    want = [K.search_distance(p, t, to_end) for p, t in zip(patterns, texts, strict=True)]
+    assert K.search_pairs(patterns, texts, to_end).tolist() == want
+    monkeypatch.setattr(K, "_TEXT_CELLS", 300)
+    assert K.search_pairs(patterns, texts, to_end).tolist() == want
+    assert K.search_pairs([], [], to_end).tolist() == []
+
+
 def test_overlap():
     a, b = "ACGTACGTTTGACCATTGACAGG", "TTTGACCATTGACAGGCCCTTA"
     seq, qual, share, at = K.overlap(a, None, b, None, 10)
