@@ -21,5 +21,12 @@ def side_by_side(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def correlation(both: DataFrame) -> DataFrame:
-    """One row: the Pearson correlation of columns a and b."""
-    return both.agg(F.corr("a", "b").alias("r"))
+    """One row: the Pearson correlation of columns a and b, over the rows that have both.
+
+    It is not a number where a or b is the same in all of them (Spark's own ``corr`` divides by zero there), and null without such rows."""
+    known = F.col("a").isNotNull() & F.col("b").isNotNull()
+    a, b = (F.when(known, F.col(c).cast("double")) for c in "ab")
+    r = F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    nan = F.lit(float("nan"))
+    flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
+    return both.agg(F.when(F.count(F.when(known, 1)) > 0, F.when(flat, nan).otherwise(F.coalesce(r, nan))).alias("r"))
