@@ -8,8 +8,8 @@ white-space separated chunks does most of the work.
 The vocabulary file is a parameter (its path, or bytes).  The supported form is the one of
 ``word_bpe_49k.json``: NFC, white space runs to one space, lower case, a pattern split, a byte-level
 alphabet, and an end-of-word suffix.  Added tokens in a text are taken literally before normalising.
-What is a letter, a number and the lower case of a letter differs between versions of Unicode; it is taken from the
-tokenizers library where that is installed in the driver's environment (``tables``), once for all code points.
+What is a letter, a number and the lower case of a letter differs between versions of Unicode; all three are stored as the
+tokenizers library sees them (``letters``), so ids do not depend on what is installed.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; equal texts get
 equal ids; an empty table gives an empty result; the input's other columns are kept unless they have
@@ -33,6 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import letters
 from .common import give_back, to_python
 
 #: White space of the vocabulary's pattern language (Unicode White_Space).  Fixed values.
@@ -91,24 +92,22 @@ def _ranges(points: list[int]) -> str:
     return "".join(out)
 
 
+def _points(text: str) -> set[int]:
+    ends = ([int(x, 16) for x in part.split("-")] for part in text.split())
+    return {p for e in ends for p in range(e[0], e[-1] + 1)}
+
+
 @lru_cache(maxsize=1)
 def tables() -> Tables:
-    """From the library's own splitting and lower-casing of every code point; nothing without the library."""
-    try:
-        from tokenizers import Regex, normalizers, pre_tokenizers
-    except ImportError:
-        return Tables()
-    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    theirs, differ = {}, set()
-    for name in ("L", "N"):
-        split = pre_tokenizers.Split(Regex(rf"\p{{{name}}}+"), "removed", invert=True)
-        parts = ["".join(map(chr, every[i : i + 20_000])) for i in range(0, len(every), 20_000)]
-        theirs[name] = {ord(c) for part in parts for run, _ in split.pre_tokenize_str(part) for c in run}
-        differ |= theirs[name] ^ {ord(c) for part in parts for run in regex.findall(rf"\p{{{name}}}+", part) for c in run}
-    lower = normalizers.Lowercase()
-    cased = [c for c in map(chr, every) if c != "|"]
-    pairs = zip(cased, lower.normalize_str("|".join(cased)).split("|"), strict=True)
-    return Tables(_ranges(sorted(theirs["L"])), _ranges(sorted(theirs["N"])), _ranges(sorted(differ)), tuple((c, w) for c, w in pairs if w != c.lower()))
+    """From the stored letters, numbers and lower case, held against those of this process for every code point."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    whole = "".join(every)
+    theirs, differ = {"L": _points(letters.LETTERS), "N": _points(letters.NUMBERS)}, set()
+    for name, points in theirs.items():
+        differ |= points ^ {ord(c) for run in regex.findall(rf"\p{{{name}}}+", whole) for c in run}
+    pairs = (pair.split(":") for pair in letters.LOWER.split())
+    lower = {chr(int(c, 16)): "".join(chr(int(x, 16)) for x in w.split("+")) for c, w in pairs}
+    return Tables(_ranges(sorted(theirs["L"])), _ranges(sorted(theirs["N"])), _ranges(sorted(differ)), tuple((c, lower.get(c, c)) for c in every if lower.get(c, c) != c.lower()))
 
 
 class Codec:
