@@ -105,6 +105,12 @@ _OPEN = 2
 _TAG_BLOCK, _CODE_BLOCK = 2_000, 50_000
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """The right side of a join, never sent whole to all: Spark takes the size of a small compressed file for that of the
+    many rows that come of it, and would put them together in the driver."""
+    return rows.hint("merge")
+
+
 def _masked(text: Column, places: int) -> Column:
     """The text with each choice of so many places (0 to 2) blotted out: texts with one in common differ there only."""
     blot = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.lit("\x00"), F.substring(s, i + 1, F.length(s)))
@@ -147,9 +153,9 @@ def nearest_of_table(reads: DataFrame, barcodes: DataFrame, observed: Column, mo
     for places in range(0, 1 + (_OPEN if most is None else min(most, _OPEN))):
         a = left.withColumn("key", F.explode(_masked(F.col("tag"), places)))
         b = codes.withColumn("key", F.explode(_masked(F.col("barcode"), places)))
-        first = a.join(b, "key").groupBy("tag").agg(F.min(F.struct("barcode", "sample")).alias("m"))
+        first = a.join(_shuffled(b), "key").groupBy("tag").agg(F.min(F.struct("barcode", "sample")).alias("m"))
         step = cut(first.select("tag", F.lit(places).alias("distance"), "m.barcode", "m.sample"))
-        left = left.join(step, "tag", "left_anti")
+        left = left.join(_shuffled(step), "tag", "left_anti")
         found = step if found is None else found.union(step)
     if most is None or most > _OPEN:
         far, size = left.withColumn("size", F.length("tag")), F.length("barcode").alias("size")
@@ -162,7 +168,7 @@ def nearest_of_table(reads: DataFrame, barcodes: DataFrame, observed: Column, mo
         met = far.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_blocks_nearest, kind)
         best = met.groupBy("tag").agg(F.min(F.struct("distance", "barcode", "sample")).alias("m")).select("tag", "m.*")
         found = found.union(best if most is None else best.where(F.col("distance") <= most))
-    out = tagged.join(found.withColumnRenamed("tag", "\x00tag"), "\x00tag", "left")
+    out = tagged.join(_shuffled(found.withColumnRenamed("tag", "\x00tag")), "\x00tag", "left")
     return out.select(*[f"`{c}`" for c in reads.columns], "sample", "barcode", "distance")
 
 
@@ -183,13 +189,13 @@ def least_distances(reads: DataFrame, group: str, tag: Column) -> DataFrame:
     one = cut(reads.where(F.col(group).isNotNull() & F.col("ord").isNotNull()).groupBy(group, tag.alias("b")).agg((F.min("ord") < F.max("ord")).alias("again")))
     per = one.groupBy(group).agg(F.max("again").alias("any"), F.count("*").alias("n"))
     zero = per.where("any").select(group, F.lit(0).cast("bigint").alias("least"))
-    rest, found = one.join(per.where("not any and n > 1"), group).select(group, "b"), zero
+    rest, found = one.join(_shuffled(per.where("not any and n > 1")), group).select(group, "b"), zero
     for places in (1, 2):
         keyed = rest.select(group, "b", F.explode(_shorter(F.col("b"), places)).alias("key"))
-        near = keyed.alias("x").join(keyed.alias("y"), [group, "key"]).where("x.b < y.b").withColumn("d", F.levenshtein("x.b", "y.b", places)).where("d >= 0")
+        near = keyed.alias("x").join(_shuffled(keyed.alias("y")), [group, "key"]).where("x.b < y.b").withColumn("d", F.levenshtein("x.b", "y.b", places)).where("d >= 0")
         step = cut(near.groupBy(group).agg(F.min("d").cast("bigint").alias("least")))
-        found, rest = found.union(step), rest.join(step, group, "left_anti")
-    both = rest.alias("x").join(rest.alias("y"), group).where("x.b < y.b")
+        found, rest = found.union(step), rest.join(_shuffled(step), group, "left_anti")
+    both = rest.alias("x").join(_shuffled(rest.alias("y")), group).where("x.b < y.b")
     return found.union(both.groupBy(group).agg(F.min(F.levenshtein("x.b", "y.b")).cast("bigint").alias("least")))
 
 
