@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,19 @@ class Plan:
     end_loss: int = 0
     seed: int = 42
 
-    @property
+    @cached_property
     def used(self) -> tuple[str, ...]:
         return self.barcodes[: self.barcode_count or len(self.barcodes)]
 
-    @property
+    @cached_property
     def real(self) -> int:
         """Reads that are not random; the fraction is a number of single precision."""
         return int(self.reads * (1.0 - float(np.float32(self.random_fraction))))
 
 
+_BASES = np.frombuffer(b"ACGT", np.uint8)
+
+
 def mutate(seq: str, rate: float, indels: float, rng: np.random.Generator) -> str:
     """Each base fails with ``rate``: an insertion after it or its deletion (half each of ``indels``), else another base."""
     out = []
@@ -57,7 +61,7 @@ def mutate(seq: str, rate: float, indels: float, rng: np.random.Generator) -> st
 def one(p: Plan, i: int) -> tuple[str, str]:
     """Name and bases of read i; the first ``real`` reads are of the layout, the others random."""
     rng = np.random.default_rng((p.seed, i))
-    draw = lambda n: "".join(np.array(list("ACGT"))[rng.integers(0, 4, n)])
+    draw = lambda n: _BASES[rng.integers(0, 4, n)].tobytes().decode()
     length = p.read_length + (int(rng.integers(-p.read_length_mod, p.read_length_mod + 1)) if p.read_length_mod else 0)
     if i < p.real:
         k = int(rng.integers(len(p.used))) if p.used else -1
