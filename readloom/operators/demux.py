@@ -29,11 +29,14 @@ def nearest_barcode(reads: DataFrame, barcodes: list[tuple[str, str]], observed:
     if len(order) > MOST_CONSTANTS:
         return _tagged(reads, observed, _nearest(order, most), "sample string, barcode string, distance int")
     table = F.array(*[F.struct(F.lit(s).alias("sample"), F.lit(b).alias("barcode")) for s, b in order])
-    scored = F.filter(F.transform(table, lambda b: F.struct(hamming(observed, b["barcode"]).alias("distance"), b["barcode"].alias("barcode"), b["sample"].alias("sample"))), lambda x: x["distance"].isNotNull())
-    out = reads.withColumn("nearest", F.array_min(scored))
+    tag = F.col("\x00tag")
+    scored = F.filter(F.transform(table, lambda b: F.struct(hamming(tag, b["barcode"]).alias("distance"), b["barcode"].alias("barcode"), b["sample"].alias("sample"))), lambda x: x["distance"].isNotNull())
+    nearest = F.array_min(scored)
     if most is not None:
-        out = out.withColumn("nearest", F.when(F.col("nearest.distance") <= most, F.col("nearest")))
-    return out.select("*", "nearest.sample", "nearest.barcode", "nearest.distance").drop("nearest")
+        nearest = F.when(nearest["distance"] <= most, nearest)
+    # a generator is evaluated once, where plain columns would be for each field and again for each filter on them
+    out = reads.withColumn("\x00tag", observed).select("*", F.inline_outer(F.array(nearest)).alias("\x00distance", "\x00barcode", "\x00sample"))
+    return out.select(*[f"`{c}`" for c in reads.columns], *[F.col(f"\x00{c}").alias(c) for c in ("sample", "barcode", "distance")])
 
 
 def exact_prefix(reads: DataFrame, barcodes: list[tuple[str, str]]) -> DataFrame:
@@ -219,7 +222,7 @@ def rename(reads: DataFrame, sample_map: DataFrame) -> DataFrame:
     return n.select("ord", "sample", header.alias("header"), "seq")
 
 
-def numbered(reads: DataFrame, group: str, order: str, block: int = 1 << 20) -> DataFrame:
+def numbered(reads: DataFrame, group: str, order: str, block: int = 1 << 16) -> DataFrame:
     """Add number: 1, 2, ... within each group by order.
 
     Groups are counted in blocks of the order first, so that no task holds a whole group: a number is the count

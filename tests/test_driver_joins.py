@@ -17,3 +17,9 @@ def test_no_table_is_sent_to_all(spark, data, monkeypatch):
     seen(demux.least_distances(r, "o_custkey", F.substring("seq", 1, 6)))
     seen(demux.nearest_of_table(r, codes, F.substring("seq", 1, 8), 1))
     assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_the_nearest_barcode_is_found_once_for_all_fields(spark, data):
+    found = demux.nearest_barcode(Q.reads(spark, data), Q.BARCODES, F.substring("seq", 1, 6)).where("sample is not null and distance < 4")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min") == 1
