@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WHITE, cut
+from .common import cut
 
 THRESHOLD = 0.8
 RARITY_BITS = 18
@@ -37,10 +37,17 @@ CROWD, SLICES = 4, 32
 SHORT = 80
 
 
-def _words(line: Column) -> Column:
-    """The words of a line, with empty strings between adjoining spaces."""
-    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, WHITE, " ")).otherwise(line)
-    return F.split(plain, " ")
+def _plain(text: Column) -> Column:
+    """The text with a space for each character that separates words but does not end a line."""
+    odd = F.lit(False)
+    for c in "\t\v\f\r":  # byte searches, which take far less than a pattern
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
+
+
+def _hashes(line: Column) -> Column:
+    """The hashes of the words of a line of plain text; an empty string between adjoining spaces is no word."""
+    return F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def _every(counted: DataFrame, bits: int) -> DataFrame:
@@ -53,7 +60,7 @@ def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> DataFrame:
     (by exclusive or) into a long that begins with the rank of that value's number of words.
 
     The array's size does not depend on the input."""
-    words = docs.select(F.explode(_words(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counted = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     flip = 1 << (bits - 1)  # signed longs sort by this bit first
     order = F.sort_array(F.collect_list(F.struct("n", "b")))
@@ -63,8 +70,8 @@ def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> DataFrame:
 
 def _ordered(line: Column, turn: Column, bits: int) -> Column:
     """The set of a line's words as longs, rarest first."""
-    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: h.bitwiseXOR(F.get(turn, F.shiftrightunsigned(h, 64 - bits).cast("int"))))))
+    # entries are never null; where Spark knows that, it sorts plain longs
+    return F.sort_array(F.transform(F.array_distinct(_hashes(line)), lambda h: h.bitwiseXOR(F.coalesce(turn[F.shiftrightunsigned(h, 64 - bits)], F.lit(0).cast("long")))))
 
 
 class _Sieve:
@@ -120,7 +127,9 @@ def _rows(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("doc", "row", "version", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    """(*PLACE, version, s) for every line that has a word; s is plain."""
+    lines = rows.select("doc", "row", "version", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "s"))
+    return lines.where(F.trim("s") != "")
 
 
 def _after(a: str, b: str) -> Column:
@@ -155,8 +164,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     place2 = [f"{c}2" for c in PLACE]
     wanted = pairs.select(*PLACE).union(pairs.select(*place2)).distinct()
     wanted = cut(wanted)
-    text = _Sieve(wanted, *PLACE).split(_lines(rows).where("s <> ''").select(*PLACE, "s"), *PLACE)[0].join(wanted, [*PLACE])
-    sets = cut(text.select(*PLACE, F.array_distinct(F.transform(F.array_remove(_words(F.col("s")), ""), lambda w: F.xxhash64(w))).alias("words")))
+    some = rows.where(_Sieve(wanted, "doc").hit("doc"))  # other rows need not be taken apart
+    text = _Sieve(wanted, *PLACE).split(_lines(some).select(*PLACE, "s"), *PLACE)[0].join(wanted, [*PLACE])
+    sets = cut(text.select(*PLACE, F.array_distinct(_hashes(F.col("s"))).alias("words")))
     other = sets.select(*[F.col(c).alias(f"{c}2") for c in PLACE], F.col("words").alias("words2"))
     both = pairs.join(sets, [*PLACE]).join(other, place2)
     common = F.size(F.array_intersect("words", "words2"))
@@ -172,20 +182,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     keys = F.col("keys")
     turn = rarity(docs, bits)
     # the optimizer puts the subquery in the place of the column, so no row holds the array
-    # blank lines go by their text: a condition on the words would compute them once more
-    worded = _lines(rows).where(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
-    lines = worded.select("*", turn.scalar().alias("turn")).select(*PLACE, "version", _ordered(F.col("s"), F.col("turn"), bits).alias("keys"))
+    lines = _lines(rows).select("*", turn.scalar().alias("turn")).select(*PLACE, "version", _ordered(F.col("s"), F.col("turn"), bits).alias("keys"))
 
     def parity(words: Column) -> Column:
         return F.aggregate(words, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
     # one sketch of all words, or for large sets two, of the words whose hash has the next bit clear or set
-    long = F.size(keys) > SHORT
-    halves = [F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) == 0), F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) != 0)]
-    sketches = [F.when(long, parity(halves[0])).otherwise(parity(keys)).alias("bits"), F.when(long, parity(halves[1])).otherwise(0).alias("odd")]
+    odd = F.when(F.size(keys) > SHORT, parity(F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(0)
     # the prefix, and never less than the words that lead
     first = F.when(F.size(keys) >= least_joined(threshold), F.transform(F.slice(keys, F.lit(1), F.greatest(prefix_length(F.size(keys), threshold), F.lit(LEADS))), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    wide = cut(lines.select(*PLACE, "version", F.size(keys).alias("n"), F.xxhash64("keys").alias("sig1"), F.xxhash64("keys", F.lit(1)).alias("sig2"), *sketches, first.alias("first")))
+    wide = lines.select(*PLACE, "version", F.size(keys).alias("n"), F.xxhash64("keys").alias("sig1"), F.xxhash64("keys", F.lit(1)).alias("sig2"), parity(keys).alias("all"), odd.alias("odd"), first.alias("first"))
+    wide = cut(wide.withColumn("bits", F.col("all").bitwiseXOR(F.col("odd"))).drop("all"))
     forms = cut(wide.groupBy("sig1", "sig2").agg(F.min(F.struct(*PLACE, "n", "bits", "odd", "first")).alias("f"), F.count("*").alias("copies")).select("sig1", "sig2", "f.*", "copies"))
     lines = cut(wide.select(*PLACE, "version", "sig1", "sig2"))
     del wide
@@ -193,6 +200,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     mixed = F.sort_array(F.transform("first", lambda k: F.xxhash64(k)))
     leads = F.array(*[F.xxhash64(F.get("mixed", F.lit(i)), F.get("mixed", F.lit(j))) for j in range(LEADS) for i in range(j)])
     lead = forms.where("first is not null").withColumn("mixed", mixed).select(*PLACE, "n", "bits", "odd", F.lit(0).alias("at"), F.explode(leads).alias("key"))
+    # most keys are those of one form; they go before whole rows are sorted and sent
+    shared = lead.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    lead = cut(_Sieve(shared, "key").split(lead, "key")[0])
     head = lead.groupBy("key").agg(F.min(F.struct(*PLACE, "n", "bits", "odd", "at")).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "m", "r.*")
     head = cut(head)
     near = lead.alias("a").join(head.alias("b"), "key").where(_after("a", "b") & _possible("a", "b", threshold))
@@ -207,15 +217,19 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     near = left.alias("a").join(heads.alias("b"), "key").where(_after("a", "b") & _possible("a", "b", threshold))
     settled = cut(settled.union(_verified(_pairs(near), rows, threshold)))
 
-    marked = forms.where("first is not null").join(settled.withColumn("settled", F.lit(True)), [*PLACE], "left")
+    del lead, head, crowds, crowd, heads, left, near  # their checkpoints make room for the join
+    some, others = _Sieve(settled, *PLACE).split(forms.where("first is not null"), *PLACE)
+    some = some.join(settled.withColumn("settled", F.lit(True)), [*PLACE], "left")
     prefix = F.slice("first", F.lit(1), prefix_length(F.col("n"), threshold))
+    marked = some.unionByName(others.withColumn("settled", F.lit(None).cast("boolean")))
     marked = marked.select(*PLACE, "n", "bits", "odd", F.when(F.col("settled"), 0).otherwise(1).alias("open"), F.posexplode(prefix).alias("at", "key"))
     # the condition on the later form names both sides: pushed below the join, it would keep the sides from sharing one shuffle
     later_is_open = F.col("a.open") * 2 + F.col("b.open") >= 2
     near = marked.alias("a").join(marked.alias("b"), "key").where(later_is_open & _after("a", "b") & _possible("a", "b", threshold))
-    matched = settled.union(_verified(_pairs(near), rows, threshold)).withColumn("matched", F.lit(True))
+    matched = cut(settled.union(_verified(_pairs(near), rows, threshold)))
 
-    verdict = forms.join(matched, [*PLACE], "left").where("copies > 1 or matched").select("sig1", "sig2", *[F.col(c).alias(f"{c}1") for c in PLACE], "matched")
+    repeated = forms.where((F.col("copies") > 1) | _Sieve(matched, *PLACE).hit(*PLACE))
+    verdict = repeated.join(matched.withColumn("matched", F.lit(True)), [*PLACE], "left").where("copies > 1 or matched").select("sig1", "sig2", *[F.col(c).alias(f"{c}1") for c in PLACE], "matched")
     gone = lines.join(verdict, ["sig1", "sig2"]).where(F.col("matched").isNotNull() | _beyond([F.col(c) for c in PLACE], [F.col(f"{c}1") for c in PLACE]))
     return gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 

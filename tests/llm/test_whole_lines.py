@@ -57,3 +57,38 @@ def test_short_lines_at_any_threshold(spark, threshold):
     rows = [(1, "a b c"), (2, "a b c d"), (3, "e f"), (4, "e f g"), (5, "h"), (6, "h i"), (7, "j k l m n"), (8, "j k l m n o")]
     got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == cleaned(spark, rows, threshold)
+
+
+def test_words_are_parted_by_every_white_character(spark):
+    rows = [(1, "a b c d e f g h i j\r\nk\tl\x0bm\x0cn  o p q r s t "), (2, "  a\tb\x0bc\x0cd e f g h i\r\n\t\x0b\r\n k l m n o p q r s u"), (3, " \t \n\nnew words only here"), (4, "a b"), (5, None)]
+    got = {r["doc_id"]: r["text"] for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\t\x0b\r", 3: rows[2][1], 4: "a b", 5: None}
+
+
+def test_ordered_words_are_plain_longs(spark):
+    """Arrays that may hold nulls are sorted as boxed objects."""
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([("b a  b\tc ",)], "s string").withColumn("turn", F.array(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    keys = lines.select(L._ordered(L._plain(F.col("s")), F.col("turn"), 1).alias("keys"), F.array_sort(F.array(*[F.xxhash64(F.lit(w)) for w in "abc"])).alias("words"))
+    assert not keys.schema["keys"].dataType.containsNull
+    assert keys.where("keys = words").count() == 1
+
+
+def test_leads_of_one_form_are_not_sent(spark, monkeypatch):
+    """Of the keys that lead to earlier forms, only those that several forms may have are written and joined."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)]
+    rows += [(100 + i, " ".join([f"v{k}" for k in range(20)] + [f"u{i}"])) for i in range(5)]
+    sizes = []
+
+    def counted(df, real=L.cut):
+        out = real(df)
+        if "key" in out.columns and "bits" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "cut", counted)
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == cleaned(spark, rows)
+    # 65 forms have six keys each
+    assert sizes and max(sizes) <= 40
